@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
-from .common import read_table, word_count, written
+from . import bpe, mixing, quality, token_io
+from .common import read_table, shared_dir, word_count, written
 
 WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -17,6 +20,12 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/plumbline/tokens-{uuid.uuid4().hex}"
+    token_io.write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out)
+    return token_io.document_digests(spark, out)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
@@ -28,6 +37,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, source, len({WORD_SQL})::BIGINT AS size,
              md5(concat_ws('|', 'mix', doc_id::VARCHAR, coalesce(text, ''))) AS u FROM documents),
@@ -51,8 +65,8 @@ FROM o GROUP BY doc_id, size, source_size, target, source, u
 
 
 def queries() -> dict:
-    own = {"op2_quality_rules": op2_quality_rules, "op7_mix_sources": op7_mix_sources}
-    return own
+    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict:
