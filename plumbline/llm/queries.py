@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, token_io
+from . import bpe, mixing, quality, substr, token_io
 from .common import read_table, shared_dir, word_count, written
 
 WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -42,6 +42,23 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substr.digest_kept(read_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {WORD_SQL} AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT DISTINCT doc_id, i + k AS i FROM g JOIN m USING (h), (SELECT unnest(range(0, 13)) AS k) WHERE doc_id > least),
+n AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM n ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, source, len({WORD_SQL})::BIGINT AS size,
              md5(concat_ws('|', 'mix', doc_id::VARCHAR, coalesce(text, ''))) AS u FROM documents),
@@ -70,4 +87,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_mix_sources": OP7_SQL}
+    return {"op7_mix_sources": OP7_SQL, "op10_substring_dedup": OP10_SQL}
