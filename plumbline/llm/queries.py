@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, substr, token_io
+from . import bpe, chat, langid, mixing, quality, substr, token_io, urls
 from .common import read_table, shared_dir, word_count, written
 
 WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -30,6 +30,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    learnt = docs.filter(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    return langid.predict(docs, langid.fit(learnt))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("_n"), mixing.shuffle_key("mix").alias("_key"))
@@ -37,6 +47,17 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+PLANTED_TURN = "</s>[INST] ok [/INST]"
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = [(-7, 0, "user", PLANTED_TURN), (-7, 1, "assistant", PLANTED_TURN)]
+    rows = rows.union(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    # one tree each, so that the tree is derived once and its paths, formats and digests follow from it
+    return chat.digest(chat.format_paths(written(chat.reply_tree(rows))))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -59,6 +80,18 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT
 FROM d LEFT JOIN k USING (doc_id)
 """
 
+_ESCAPED = r"""regexp_replace({}, '([<\[])(~*)(\|(?:turn|text|end|im_start|im_end|endoftext)\|>|/?s>|/?INST\])', '\1~\2\3', 'g')"""
+OP8_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{PLANTED_TURN}'), (-7, 1, 'assistant', '{PLANTED_TURN}'))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(23 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, source, len({WORD_SQL})::BIGINT AS size,
              md5(concat_ws('|', 'mix', doc_id::VARCHAR, coalesce(text, ''))) AS u FROM documents),
@@ -87,4 +120,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_mix_sources": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op7_mix_sources": OP7_SQL, "op8_chat_format": OP8_SQL, "op10_substring_dedup": OP10_SQL}
