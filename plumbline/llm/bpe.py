@@ -166,8 +166,11 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
     return thin.mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
 
 
-def digest_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every whole text is encoded and its ids decoded again."""
+def digest_documents(
+    docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for): every whole text is encoded and its
+    ids decoded again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, cache = _worker(path)
@@ -179,11 +182,14 @@ def digest_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
                 done += size
                 ids_hex.append(hashlib.sha256(b",".join(map(written.__getitem__, own))).hexdigest())
                 text_hex.append(hashlib.sha256(replay.decode(own)).hexdigest())
-            yield pa.record_batch(
-                [rows.column(0), pa.array(sizes, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
-                names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [rows.column(0), pa.array(sizes, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
+            names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), ids.astype(np.int32)))
+                names.append("ids")
+            yield pa.record_batch(columns, names=names)
 
     thin = docs.select(id_column, text_column)
     kind = thin.schema[id_column].dataType.simpleString()
-    return thin.mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return thin.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, quality, substr, token_io, urls
+from . import ann, bpe, chat, langid, mixing, quality, simhash, substr, token_io, urls
 from .common import read_table, shared_dir, word_count, written
 
 WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -36,10 +36,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(learnt))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("_n"), mixing.shuffle_key("mix").alias("_key"))
@@ -92,6 +101,19 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+OP4_SQL = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS norm FROM e),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] * q.v[i]),
+        lambda a, b: a + b) / (c.norm * q.norm) AS score
+      FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM p QUALIFY rank <= 5
+"""
+
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, source, len({WORD_SQL})::BIGINT AS size,
              md5(concat_ws('|', 'mix', doc_id::VARCHAR, coalesce(text, ''))) AS u FROM documents),
@@ -120,4 +142,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_mix_sources": OP7_SQL, "op8_chat_format": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op4_nearest_neighbours": OP4_SQL, "op7_mix_sources": OP7_SQL, "op8_chat_format": OP8_SQL, "op10_substring_dedup": OP10_SQL}
