@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .pieces import mixed
 from .wordarrays import (
     NULL_ID,
     batch_words,
@@ -116,7 +117,10 @@ def window_repeats(hashes, docs, _pos, _block: int) -> tuple[np.ndarray, np.ndar
 
 
 def _exchange(records: DataFrame, buckets: int, hash_bytes: int, decide, block: int) -> DataFrame:
-    """PLACES rows: the places that decide() marks among all records of a bucket, and the settled ones."""
+    """PLACES, one row a document: the places that decide() marks among all records of a bucket, and the
+    settled ones. Places leave a bucket packed by ranges of documents, so that the number of rows follows the
+    documents and not documents times buckets."""
+    ranges = max(1, buckets // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, done = [], []
@@ -134,18 +138,35 @@ def _exchange(records: DataFrame, buckets: int, hash_bytes: int, decide, block:
             del parts
             _, marked = decide(hashes, docs, pos, block)
             done.append((docs[marked], pos[marked]))
-        for docs, pos in done:
-            yield from _places(docs, pos)
+        if not done:
+            return
+        docs, pos = (np.concatenate(x) for x in zip(*done, strict=True))
+        of = (mixed(docs.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+        order = np.lexsort((pos, docs, of))
+        docs, pos, of = docs[order], pos[order], of[order]
+        cuts = np.append(0, np.flatnonzero(of[1:] != of[:-1]) + 1)
+        for at in range(0, len(cuts) if len(of) else 0, 64):
+            ends = np.append(cuts[1:], len(of))[at : at + 64].tolist()
+            own = [(int(of[a]), pack(docs[a:b].view(np.uint64), docs[a:b], pos[a:b], 0)) for a, b in zip(cuts[at : at + 64].tolist(), ends, strict=True)]
+            yield pa.record_batch([pa.array([x for x, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], names=["range", "data"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(x, 0)[1:] for batch in batches for x in batch.column(1).to_pylist()]
+        if parts:
+            yield from _places(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    return records.repartition(buckets, "bucket").mapInArrow(run, PLACES)
+    marked = records.repartition(buckets, "bucket").mapInArrow(run, "range int, data binary")
+    return marked.repartition(ranges, "range").mapInArrow(merge, PLACES)
 
 
 def _places(docs: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document: its positions as 4-byte integers."""
+    """One row for each document: its positions, each once, as 4-byte integers."""
     if not len(docs):
         return
     order = np.lexsort((pos, docs))
-    docs, data = docs[order], pos[order].astype("<u4").tobytes()
+    docs, pos = docs[order], pos[order]
+    new = np.append(True, (docs[1:] != docs[:-1]) | (pos[1:] != pos[:-1]))
+    docs, data = docs[new], pos[new].astype("<u4").tobytes()
     cuts = np.append(0, np.flatnonzero(docs[1:] != docs[:-1]) + 1)
     ends = np.append(cuts[1:], len(docs))
     for at in range(0, len(cuts), 5000):
@@ -154,13 +175,12 @@ def _places(docs: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(docs[a]), pa.array(places, pa.binary())], names=["key", "places"])
 
 
-def _positions(parts: list | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(parts), "<u4").astype(np.int64)) if parts else np.zeros(0, np.int64)
+def _positions(places: bytes | None) -> np.ndarray:
+    return np.frombuffer(places or b"", "<u4").astype(np.int64)
 
 
 def repeat_places(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(keyed, repeats): docs with _key (doc_id, never null) and PLACES rows of repeated windows' starts, which
-    may name a place more than once."""
+    """(keyed, repeats): docs with _key (doc_id, never null) and PLACES rows of repeated windows' starts."""
     block = (width + 1) // 2
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
     slim = keyed.select("_key", "text")
@@ -178,7 +198,7 @@ def repeat_places(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
             yield from _records(buckets, 5, hashes, own, pos, (settled, hit))
 
     hits = _exchange(slim.mapInArrow(probes, RECORDS), buckets, 5, anchor_hits, block)
-    hits = written(hits.groupBy("key").agg(F.collect_list("places").alias("places")))
+    hits = written(hits)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, 1):
@@ -202,7 +222,7 @@ def repeat_places(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
     near = slim.join(hits.withColumnRenamed("key", "_k"), F.col("_key") == F.col("_k"), "left").select("_key", "text", "places")
     repeats = _exchange(near.mapInArrow(windows, RECORDS), buckets, 8, window_repeats, block)
-    return keyed, repeats.groupBy("key").agg(F.collect_list("places").alias("places"))
+    return keyed, repeats
 
 
 def covered(places: np.ndarray, n: int, width: int) -> np.ndarray:
