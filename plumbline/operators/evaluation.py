@@ -8,6 +8,7 @@ definite negative does.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -235,9 +236,9 @@ def describe(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def tiered_cost(tokens: Column, cutoff: int, short_price: str, long_price: str) -> Column:
-    """Exact cost of tokens at a price per million that depends on the length."""
-    price = F.when(tokens > cutoff, F.lit(long_price).cast("decimal(18,6)")).otherwise(F.lit(short_price).cast("decimal(18,6)"))
-    return (tokens.cast("decimal(18,0)") * price / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(38,12)")
+    """Exact cost of tokens at a price per million that depends on the length; prices have up to six places."""
+    each = lambda price: F.lit(Decimal(price) / 1_000_000).cast("decimal(18,12)")
+    return tokens.cast("decimal(18,0)") * F.when(tokens > cutoff, each(long_price)).otherwise(each(short_price))
 
 
 def fused(states: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import architecture, evaluation
+    from . import architecture, evaluation, facts
 
-    return [architecture, evaluation]
+    return [architecture, evaluation, facts]
 
 
 def all_queries() -> dict:
