@@ -125,7 +125,7 @@ def security_outcomes(spark, sf_dir):
 
 
 @query(
-    """, b AS (SELECT case_id, n_chars > 1000 = (quality = 1) AS x, language = 'en' = (quality = 1) AS y FROM judged WHERE quality IS NOT NULL),
+    """, b AS (SELECT case_id, (n_chars > 1000) = (quality = 1) AS x, (language = 'en') = (quality = 1) AS y FROM judged WHERE quality IS NOT NULL),
 c AS (SELECT count(*) FILTER (x AND y)::BIGINT AS "both", count(*) FILTER (x AND NOT y)::BIGINT AS first, count(*) FILTER (NOT x AND y)::BIGINT AS second, count(*) FILTER (NOT x AND NOT y)::BIGINT AS neither FROM b)
 SELECT *, 100.0::DOUBLE * (first - second) / ("both" + first + second + neither)::DOUBLE AS delta_points FROM c""",
     "judged",
