@@ -54,15 +54,21 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     own = links.select(F.col("tree").alias("t"), F.col("message").alias("m"))
     # a parent that is not there makes a root
     links = links.join(own, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("m")), "left")
-    jump = checkpointed(links.select("tree", "message", F.col("m").alias("up"), F.when(F.col("m").isNull(), 0).otherwise(1).cast("long").alias("steps")))
-    jumps = [jump]
-    bound = math.ceil(math.log2(max(2, jump.count()))) + 1
-    while jump.filter(F.col("up").isNotNull()).limit(1).count() and len(jumps) <= bound:
-        there = jump.select(F.col("tree").alias("t"), F.col("message").alias("m"), F.col("up").alias("further"), F.col("steps").alias("more"))
-        near = jump.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")), "left")
-        jump = checkpointed(near.select("tree", "message", F.col("further").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
-        jumps.append(jump)
-    depth = jump.filter(F.col("up").isNull()).select("tree", "message", F.col("steps").alias("depth"))
+    links = checkpointed(links.select("tree", "message", F.col("m").alias("up")))
+    depth = links.filter("up is null").select("tree", "message", F.lit(0).cast("long").alias("depth"))
+    climbing, jumps = links.filter("up is not null"), []
+    bound = math.ceil(math.log2(max(2, links.count()))) + 1
+    # only messages that have not met their root climb on; what is left after `bound` rounds hangs on a cycle
+    while climbing.limit(1).count() and len(jumps) <= bound:
+        k = len(jumps)
+        jumps.append(climbing)
+        there = climbing.select(F.col("tree").alias("t"), F.col("message").alias("m"), F.col("up").alias("further"), F.lit(None).cast("long").alias("below"))
+        there = there.union(depth.select("tree", "message", F.lit(None).cast(messages.schema["parent"].dataType), "depth"))
+        near = climbing.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")))
+        near = checkpointed(near.select("tree", "message", "further", (F.col("below") + 2**k).alias("depth")))
+        depth = depth.union(near.filter("depth is not null").select("tree", "message", "depth"))
+        climbing = near.filter("further is not null").select("tree", "message", F.col("further").alias("up"))
+    depth = checkpointed(depth)
     inner = messages.select(F.col("tree").alias("t"), F.col("parent").alias("m")).filter("m is not null").distinct()
     same = lambda a, b: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.message") == F.col(f"{b}.message"))
     scored = messages.select("tree", "message", "score").alias("s").join(depth.alias("d"), same("s", "d")).select("s.tree", "s.message", "score", "depth")
@@ -71,7 +77,7 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaf = leaf.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= branches)
     paths = leaf.select("tree", F.col("message").alias("leaf"), "message", "depth")
     for k in range(len(jumps)):  # after round k, all ancestors up to 2**(k+1) - 1 steps away are there
-        step = jumps[k].filter(F.col("up").isNotNull()).select(F.col("tree").alias("t"), F.col("message").alias("m"), "up")
+        step = jumps[k].select(F.col("tree").alias("t"), F.col("message").alias("m"), "up")
         above = paths.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("m")))
         paths = paths.union(above.select("tree", "leaf", F.col("up").alias("message"), (F.col("depth") - 2**k)))
         if k % 4 == 3:
