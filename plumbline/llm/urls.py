@@ -3,7 +3,7 @@
 Parsing and rules are built-in column functions. The model is a vector of `buckets` weights (128 KB) trained on the
 driver from a small labelled URL table by full-batch gradient descent from zero, so the same table always gives
 the same weights. A url's features are the n-grams (3 to 5 characters) of its host and, hashed apart, of its
-path; its logit is bias + (sum of weights) / sqrt(number of n-grams). Scoring is a narrow map over batches.
+path, each once; its logit is bias + (sum of weights) / sqrt(number of n-grams). Scoring is a narrow map over batches.
 
 Cases: a null url, or one without ://, has empty host and path, no rule, and the verdict of the bias; repeated
 rows are judged alike; very long urls are read whole; only the id and url columns are read, others may be there.
@@ -38,6 +38,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
 BLOCKED_NAMES = (
     "cheap-pills spam-farm casino-bonus free-money lottery-win adult-chat xxx-videos crack-downloads fake-watches"
     " payday-loans miracle-diet click-bait link-farm phishing-login bet-online poker-cash replica-bags pills-shop"
+    " ads-server popup-ads track-click adult-dating"
 ).split()
 ALLOWED_NAMES = (
     "library museum weather university recipes gardening history science newsroom travel railway hospital football"
@@ -94,10 +95,11 @@ def _grams(column: pa.Array, buckets: int, salt: int) -> tuple[np.ndarray, np.nd
 
 
 def features(hosts: pa.Array, paths: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets and rows of all n-grams, and 1 / sqrt(number of n-grams) of each row."""
+    """Buckets and rows of all n-grams, each once a row, and 1 / sqrt(number of them) of each row."""
     a, i = _grams(hosts, buckets, 0x1000)
     b, j = _grams(paths, buckets, 0x2000)
-    bucket, row = np.concatenate([a, b]), np.concatenate([i, j])
+    each = np.unique(np.concatenate([i, j]) * buckets + np.concatenate([a, b]))
+    row, bucket = np.divmod(each, buckets)
     return bucket, row, 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(hosts)), 1))
 
 
@@ -106,8 +108,11 @@ def logits(hosts: pa.Array, paths: pa.Array, weights: np.ndarray) -> np.ndarray:
     return weights[-1] + np.bincount(row, weights[bucket], len(hosts)) * scale
 
 
-def train(table: Sequence[tuple[str, int]], buckets: int = 16_384, rounds: int = 400, rate: float = 4.0, l2: float = 1e-4) -> np.ndarray:
-    """Weights by bucket, then the bias."""
+def train(
+    table: Sequence[tuple[str, int]], buckets: int = 16_384, rounds: int = 400, rate: float = 4.0, l2: float = 1e-4, prior: float = 0.1
+) -> np.ndarray:
+    """Weights by bucket, then the bias: the log odds of `prior`, the share of urls to block. It is fixed, as a small table
+    says nothing of shares, so a url without known n-grams is allowed."""
     import re
 
     split = [re.search(r"://([^/?#]*)([^?#]*)", url) for url, _ in table]
@@ -116,12 +121,12 @@ def train(table: Sequence[tuple[str, int]], buckets: int = 16_384, rounds: int =
     y = np.array([label for _, label in table], float)
     bucket, row, scale = features(hosts, paths, buckets)
     value, weights = scale[row], np.zeros(buckets + 1)
+    weights[-1] = np.log(prior / (1 - prior))
     for _ in range(rounds):
         z = weights[-1] + np.bincount(row, weights[bucket] * value, len(y))
         error = (1 / (1 + np.exp(-z)) - y) / len(y)
         slope = np.bincount(bucket, error[row] * value, buckets)
         weights[:-1] -= rate * (slope + l2 * weights[:-1])
-        weights[-1] -= rate * error.sum()
     return weights
 
 
