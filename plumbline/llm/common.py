@@ -41,12 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: With this setting the shuffle files of a finished statement go at once, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df as a table written to the shared folder and read back: lineage ends here, and a lost
-    executor costs the re-reading of a file. Later shuffles of df's own plan are released."""
+    """df as a table written to the shared folder and read back: lineage ends here, and a lost executor costs the
+    re-reading of a file. The shuffle files of the write are removed when it is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
