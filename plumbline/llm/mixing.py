@@ -68,7 +68,7 @@ def mix_sources(
     share: float = 1.5,
     passes: int = 2,
     seed: str = "mix",
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 2_000,
     size: Column | None = None,
     key: Column | None = None,
 ) -> DataFrame:
