@@ -218,3 +218,27 @@ def top_k(rows: DataFrame, metric: str, key: str, k: int = 5) -> DataFrame:
     over everything: each task keeps k rows."""
     best = rows.filter(F.col(metric).isNotNull()).orderBy(F.col(metric).desc(), key).limit(k)
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.col(metric).desc(), key)))
+
+
+def layer_groups(subjects: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """subjects (v, label, strength) -> one row for each name (label), used or not: members, weak, moderate, strong, and
+    internal, outgoing, incoming edges."""
+    per = subjects.groupBy("label").agg(F.count(F.lit(1)).alias("members"), *[F.count_if(F.col("strength") == s).alias(n) for n, s in (("weak", WEAK), ("moderate", MODERATE), ("strong", STRONG))])
+    links = cohesion(edges, subjects.select("v", "label"), 0).select("label", "internal", "outgoing", "incoming")
+    return names.select("label").join(per, "label", "left").join(links, "label", "left").na.fill(0)
+
+
+def coverage(rows: DataFrame) -> DataFrame:
+    """rows (subject, role, layer): how many have a role and a layer, and the shares."""
+    known = lambda c: F.count_if(F.col(c).isNotNull() & (F.col(c) != "UNKNOWN"))
+    out = rows.agg(F.count(F.lit(1)).alias("subjects"), known("role").alias("with_role"), known("layer").alias("with_layer"))
+    share = lambda c: F.try_divide(F.col(c).cast("double"), F.col("subjects").cast("double"))
+    return out.withColumns({"role_coverage": share("with_role"), "layer_coverage": share("with_layer")})
+
+
+def direction_evidence(edges: DataFrame, layers_: DataFrame, order: dict[str, int]) -> DataFrame:
+    """(subject, evidence): weak evidence that a subject depends on a lower layer; it never changes a label."""
+    rows = labelled(edges, layers_)
+    rank = lambda c: lookup(F.col(c), {k: str(v) for k, v in order.items()}).cast("int")
+    down = rows.filter(rank("src_label") < rank("dst_label"))
+    return down.groupBy(F.col("src").alias("subject")).agg(F.array_join(F.array_sort(F.collect_set("dst_label")), ",").alias("evidence"))

@@ -262,3 +262,65 @@ def intent_diagnostic(rows: DataFrame, pair: str) -> DataFrame:
     per = rows.groupBy(pair).agg(*[F.max(F.when(F.col("role") == r, F.col("confirmed"))).alias(r.lower()) for r in ("CONTROL", "MUTATION")])
     c, m = F.coalesce("control", F.lit(False)), F.coalesce("mutation", F.lit(False))
     return per.select(pair, F.when(c & m, "FULLY_CONFIRMED").when(m, "CONTROL_NOT_CONFIRMED").when(c, "MUTATION_NOT_CONFIRMED").otherwise("BOTH_NOT_CONFIRMED").alias("diagnosis"))
+
+
+def scoped_extras(positives: DataFrame, rule_scopes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Unmatched positive predictions (prediction_id, rule_id, paths array) with scope: scoped_extra_fp if their rule is fully
+    annotated (rule_scopes: rule_id) or every path lies under an annotated prefix (prefixes: prefix), else out_of_scope.
+    Paths are exploded to their prefixes, so the prefix test is an equi-join."""
+    whole = positives.join(rule_scopes.select("rule_id").distinct().withColumn("_whole", F.lit(True)), "rule_id", "left")
+    each = positives.select("prediction_id", F.posexplode("paths").alias("i", "path"))
+    parts = F.split("path", "/")
+    ups = each.select("prediction_id", "i", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("prefix"))
+    under = ups.join(prefixes.select("prefix").distinct(), "prefix", "left_semi").groupBy("prediction_id").agg(F.count_distinct("i").alias("_n"))
+    out = whole.join(under, "prediction_id", "left")
+    inside = F.coalesce("_whole", F.lit(False)) | ((F.size("paths") > 0) & (F.col("_n") == F.size("paths")))
+    return out.withColumn("scope", F.when(F.coalesce(inside, F.lit(False)), "scoped_extra_fp").otherwise("out_of_scope")).drop("_whole", "_n")
+
+
+def review_violations(events: DataFrame) -> DataFrame:
+    """events (case_id, reviewer, seq, role REVIEWER or ADJUDICATOR, supersedes) -> (case_id, problem): more than two
+    reviewers, an adjudicator who reviewed, an amendment that does not name the event it replaces."""
+    last = F.lag("seq").over(W.partitionBy("case_id", "reviewer", "role").orderBy("seq"))
+    wrong = events.withColumn("_last", last).filter(~F.col("supersedes").eqNullSafe(F.col("_last"))).select("case_id", F.lit("supersedes").alias("problem"))
+    per = events.groupBy("case_id").agg(
+        F.collect_set(F.when(F.col("role") == "REVIEWER", F.col("reviewer"))).alias("r"), F.collect_set(F.when(F.col("role") == "ADJUDICATOR", F.col("reviewer"))).alias("a")
+    )
+    many = per.filter(F.size("r") > 2).select("case_id", F.lit("reviewers"))
+    both = per.filter(F.arrays_overlap("r", "a")).select("case_id", F.lit("adjudicator"))
+    return wrong.union(many).union(both).distinct()
+
+
+def training_rows(anchors: DataFrame, truth: DataFrame) -> DataFrame:
+    """anchors (anchor_id, case_id, features_complete) joined to truth (case_id, label, split): eligible, and why not."""
+    rows = anchors.join(truth, "case_id", "left")
+    why = F.array_compact(
+        F.array(
+            F.when(F.col("label").isNull(), "NO_TRUTH"),
+            F.when(F.col("label") == "UNKNOWN", "UNKNOWN_LABEL"),
+            F.when(F.col("split") == "TEST", "HELD_OUT"),
+            F.when(~F.col("features_complete"), "FEATURES_MISSING"),
+        )
+    )
+    return rows.withColumns({"reasons": F.array_join(why, ","), "eligible": F.size(why) == 0})
+
+
+def readiness(rows: DataFrame, minimum: int) -> DataFrame:
+    """rows (rule_id, split, label) -> counts of each rule and split, and what is missing for a fit."""
+    out = rows.groupBy("rule_id", "split").agg(F.count_if(F.col("label") == "POSITIVE").alias("positives"), F.count_if(F.col("label") == "NEGATIVE").alias("negatives"))
+    why = F.array_compact(F.array(F.when(F.col("positives") < minimum, "FEW_POSITIVES"), F.when(F.col("negatives") < minimum, "FEW_NEGATIVES")))
+    return out.withColumn("reasons", F.array_join(why, ","))
+
+
+#: Ablations: which channels each variant may use.
+ABLATIONS = {"A1": ("static",), "A2": ("graph",), "A3": ("semantic",), "A4": ("static", "graph"), "A5": ("static", "semantic"), "A6": ("graph", "semantic"), "A7": ("static", "graph", "semantic")}
+
+
+def ablated(rows: DataFrame, channels: Sequence[str] = ("static", "graph", "semantic")) -> DataFrame:
+    """rows (case_id, truth, and a state column for each channel) -> one row a case and variant with the first decided state
+    of its channels in list order. Variants are an array that is exploded, not a join."""
+    variants = []
+    for name, used in ABLATIONS.items():
+        state = F.coalesce(*[F.when(F.col(c).isin("SUPPORTED", "NOT_SUPPORTED"), F.col(c)) for c in channels if c in used], F.lit("INSUFFICIENT"))
+        variants.append(F.struct(F.lit(name).alias("variant"), state.alias("decision")))
+    return rows.select("case_id", "truth", F.explode(F.array(*variants)).alias("v")).select("case_id", "truth", "v.variant", "v.decision")

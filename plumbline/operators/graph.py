@@ -347,3 +347,19 @@ def guard(vertices: DataFrame, edges: DataFrame, max_nodes: int = 10_000, max_ed
     """Why the graph is over its analysis limits; empty if it is not."""
     found = {"nodes": (vertices.limit(max_nodes + 1).count(), max_nodes), "edges": (edges.limit(max_edges + 1).count(), max_edges)}
     return [f"more than {most} {what}" for what, (n, most) in found.items() if n > most]
+
+
+def node_rollup(members: DataFrame) -> DataFrame:
+    """members (owner, node, kind) -> member_count (symbols but the owner itself) and method_count of each owner."""
+    inner = F.col("node") != F.col("owner")
+    return members.filter("owner is not null").groupBy("owner").agg(F.count_if(inner).alias("member_count"), F.count_if(inner & F.col("kind").isin("METHOD", "CONSTRUCTOR")).alias("method_count"))
+
+
+def with_proof_in(edges: DataFrame, relations: Sequence[str]) -> DataFrame:
+    """Edges with at least one proof of the relations. proofs: array of structs with relation."""
+    return edges.filter(F.exists("proofs", lambda p: p["relation"].isin(*relations)))
+
+
+def analysis_status(invalid: Column, diagnostics: Column) -> Column:
+    """INVALID, INCOMPLETE if there is any diagnostic, else COMPLETE."""
+    return F.when(invalid, "INVALID").when(diagnostics > 0, "INCOMPLETE").otherwise("COMPLETE")

@@ -121,3 +121,20 @@ def model_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = out.union(missing_references(nodes, "parent", nodes, "node", "node parent", "node")).union(roots)
     wrong = edges.filter("occurrences <> proofs + truncated").select(F.lit("proof count").alias("check"), F.col("edge").cast("string").alias("id"))
     return out.union(wrong)
+
+
+def at_granularity(found: DataFrame, nodes: DataFrame, kind: str, max_depth: int = 32) -> DataFrame:
+    """found (id, node) -> (id, target): the node of the wanted kind: itself, its nearest ancestor of that kind, or for a FILE
+    its only child of that kind; null if there is none or several."""
+    from .graph import owners_of
+
+    up = owners_of(nodes, (kind,), max_depth)
+    child = nodes.filter(F.col("kind") == kind).groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("child"))
+    rows = found.join(up, "node", "left").join(child, "node", "left").join(nodes.select("node", F.col("kind").alias("_k")), "node", "left")
+    only = F.when((F.col("_k") == "FILE") & (F.col("n") == 1), F.col("child"))
+    return rows.select("id", F.coalesce("owner", only).alias("target"))
+
+
+def completeness(outcomes: DataFrame) -> DataFrame:
+    """outcomes (group, status, errors): valid if nothing is an error, complete if every file was parsed without errors."""
+    return outcomes.groupBy("group").agg(F.bool_and(F.col("status") != "ERROR").alias("valid"), F.bool_and((F.col("status") == "PARSED") & (F.col("errors") == 0)).alias("complete"), F.count(F.lit(1)).alias("files"))

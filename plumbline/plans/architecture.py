@@ -399,3 +399,38 @@ def module_cohesion(spark, sf_dir):
 @query(_METRICS + "SELECT v, ca, row_number() OVER (ORDER BY ca DESC, v)::INTEGER AS rank FROM i ORDER BY ca DESC, v LIMIT 5", "arc", "component")
 def topology_top_k(spark, sf_dir):
     return D.top_k(_metrics(spark, sf_dir).select("v", "ca"), "ca", "v", 5)
+
+
+@query(
+    """, x AS (SELECT a.layer AS s, b.layer AS d FROM arc JOIN component a ON src = a.v JOIN component b ON dst = b.v), n AS (SELECT r_name AS label FROM region UNION ALL SELECT 'NOWHERE')
+SELECT label, (SELECT count(*) FROM component WHERE layer = label)::BIGINT AS members, (SELECT count(*) FROM component WHERE layer = label AND nationkey % 3 = 0)::BIGINT AS weak, (SELECT count(*) FROM component WHERE layer = label AND nationkey % 3 = 1)::BIGINT AS moderate,
+ (SELECT count(*) FROM component WHERE layer = label AND nationkey % 3 = 2)::BIGINT AS strong, (SELECT count(*) FROM x WHERE s = label AND d = label)::BIGINT AS internal, (SELECT count(*) FROM x WHERE s = label AND d <> label)::BIGINT AS outgoing,
+ (SELECT count(*) FROM x WHERE s <> label AND d = label)::BIGINT AS incoming FROM n""",
+    "arc",
+    "component",
+)
+def layer_groups(spark, sf_dir):
+    subjects = relation(spark, sf_dir, "component").select("v", F.col("layer").alias("label"), (F.col("nationkey") % 3 + 1).alias("strength"))
+    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("label")).union(spark.createDataFrame([("NOWHERE",)], "label string"))
+    return D.layer_groups(subjects, relation(spark, sf_dir, "arc"), names)
+
+
+@query("SELECT 'n' || s_nationkey AS owner, count(*)::BIGINT AS member_count, count(*) FILTER (s_suppkey % 2 = 0)::BIGINT AS method_count FROM supplier GROUP BY s_nationkey")
+def node_rollup(spark, sf_dir):
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("owner"), F.concat(F.lit("s"), k).alias("node"), F.when(k % 2 == 0, "METHOD").otherwise("FIELD").alias("kind"))
+    own = rows.select("owner", F.col("owner").alias("node"), F.lit("CLASS").alias("kind")).distinct()
+    return G.node_rollup(rows.union(own))
+
+
+@query("SELECT a.v AS subject, string_agg(DISTINCT b.layer, ',' ORDER BY b.layer) AS evidence FROM arc JOIN component a ON src = a.v JOIN component b ON dst = b.v WHERE a.layer < b.layer GROUP BY a.v", "arc", "component")
+def direction_evidence(spark, sf_dir):
+    order = {n: i for i, n in enumerate(("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))}
+    return D.direction_evidence(relation(spark, sf_dir, "arc"), _labels(spark, sf_dir), order)
+
+
+@query()
+def circular_findings(spark, sf_dir):
+    from .repository import cycle_findings
+
+    return cycle_findings(relation(spark, sf_dir, "sparse"), "ARCH003")

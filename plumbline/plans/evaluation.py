@@ -252,6 +252,78 @@ def construction_intent(spark, sf_dir):
     return V.intent_diagnostic(rows, "o_custkey")
 
 
+@query(
+    """WITH p AS (SELECT o_orderkey, o_orderpriority AS r, o_orderkey % 4 AS a, o_custkey % 3 AS b FROM orders WHERE o_orderkey % 6 = 0)
+SELECT o_orderkey AS prediction_id, CASE WHEN r = '1-URGENT' OR (a IN (0, 1) AND b IN (0, 1)) THEN 'scoped_extra_fp' ELSE 'out_of_scope' END AS scope FROM p"""
+)
+def scoped_extras(spark, sf_dir):
+    part = lambda head, c, n: F.concat(F.lit(f"{head}/d"), (F.col(c) % n).cast("string"), F.lit("/f.java"))
+    rows = table(spark, sf_dir, "orders").filter("o_orderkey % 6 = 0")
+    rows = rows.select(F.col("o_orderkey").alias("prediction_id"), F.col("o_orderpriority").alias("rule_id"), F.array(part("a", "o_orderkey", 4), part("b", "o_custkey", 3)).alias("paths"))
+    rules = spark.createDataFrame([("1-URGENT",)], "rule_id string")
+    known = spark.createDataFrame([(x,) for x in ("a/d0", "a/d1", "b/d0", "b/d1", "zz")], "prefix string")
+    return V.scoped_extras(rows, rules, known).select("prediction_id", "scope")
+
+
+@query(
+    """WITH e AS (SELECT o_custkey AS c, o_orderkey % 4 AS r, o_orderkey AS seq, CASE WHEN o_orderkey % 10 = 0 THEN 'ADJUDICATOR' ELSE 'REVIEWER' END AS role, CASE WHEN o_orderkey % 7 = 0 THEN -1 END AS odd FROM orders),
+l AS (SELECT *, lag(seq) OVER (PARTITION BY c, r, role ORDER BY seq) AS last FROM e)
+SELECT DISTINCT c AS case_id, 'supersedes' AS problem FROM l WHERE odd IS NOT NULL
+UNION ALL SELECT c, 'reviewers' FROM e WHERE role = 'REVIEWER' GROUP BY c HAVING count(DISTINCT r) > 2
+UNION ALL SELECT DISTINCT a.c, 'adjudicator' FROM e a JOIN e b ON a.c = b.c AND a.r = b.r WHERE a.role = 'ADJUDICATOR' AND b.role = 'REVIEWER'"""
+)
+def review_violations(spark, sf_dir):
+    from pyspark.sql.window import Window as W
+
+    k = F.col("o_orderkey")
+    e = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), (k % 4).alias("reviewer"), k.alias("seq"), F.when(k % 10 == 0, "ADJUDICATOR").otherwise("REVIEWER").alias("role"))
+    last = F.lag("seq").over(W.partitionBy("case_id", "reviewer", "role").orderBy("seq"))
+    return V.review_violations(e.withColumn("supersedes", F.when(F.col("seq") % 7 == 0, -1).otherwise(last)))
+
+
+@query(
+    """, t AS (SELECT case_id, truth, CASE WHEN family < 'src2' THEN 'TEST' ELSE 'TRAIN' END AS split, n_chars FROM judged WHERE case_id % 5 > 0),
+a AS (SELECT doc_id AS anchor_id, n_chars > 500 AS ok FROM documents), j AS (SELECT anchor_id, concat_ws(',', CASE WHEN truth IS NULL THEN 'NO_TRUTH' END, CASE WHEN truth = 'UNKNOWN' THEN 'UNKNOWN_LABEL' END,
+  CASE WHEN split = 'TEST' THEN 'HELD_OUT' END, CASE WHEN NOT ok THEN 'FEATURES_MISSING' END) AS reasons FROM a LEFT JOIN t ON anchor_id = case_id)
+SELECT anchor_id, reasons, reasons = '' AS eligible FROM j""",
+    "judged",
+)
+def training_rows(spark, sf_dir):
+    truth = _judged(spark, sf_dir).filter("case_id % 5 > 0").select("case_id", F.col("truth").alias("label"), F.when(F.col("family") < "src2", "TEST").otherwise("TRAIN").alias("split"))
+    anchors = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("anchor_id"), F.col("doc_id").alias("case_id"), (F.col("n_chars") > 500).alias("features_complete"))
+    return V.training_rows(anchors, truth).select("anchor_id", "reasons", "eligible")
+
+
+@query(
+    """, r AS (SELECT language AS rule_id, CASE WHEN case_id % 2 = 0 THEN 'TRAIN' ELSE 'TEST' END AS split, count(*) FILTER (truth = 'POSITIVE')::BIGINT AS positives, count(*) FILTER (truth = 'NEGATIVE')::BIGINT AS negatives FROM judged GROUP BY ALL)
+SELECT *, concat_ws(',', CASE WHEN positives < 15 THEN 'FEW_POSITIVES' END, CASE WHEN negatives < 15 THEN 'FEW_NEGATIVES' END) AS reasons FROM r""",
+    "judged",
+)
+def readiness(spark, sf_dir):
+    rows = _judged(spark, sf_dir).select(F.col("language").alias("rule_id"), F.when(F.col("case_id") % 2 == 0, "TRAIN").otherwise("TEST").alias("split"), F.col("truth").alias("label"))
+    return V.readiness(rows, 15)
+
+
+@query(
+    """, c AS (SELECT case_id, truth, CASE case_id % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'INSUFFICIENT' END AS s, CASE case_id % 4 WHEN 0 THEN 'NOT_SUPPORTED' WHEN 1 THEN 'SUPPORTED' END AS g, decision AS m FROM decided),
+d AS (SELECT truth, unnest([{'variant': 'A1', 'd': CASE WHEN s = 'SUPPORTED' THEN s END}, {'variant': 'A2', 'd': g}, {'variant': 'A3', 'd': CASE WHEN m LIKE '%SUPPORTED' THEN m END}, {'variant': 'A4', 'd': coalesce(CASE WHEN s = 'SUPPORTED' THEN s END, g)},
+ {'variant': 'A5', 'd': coalesce(CASE WHEN s = 'SUPPORTED' THEN s END, CASE WHEN m LIKE '%SUPPORTED' THEN m END)}, {'variant': 'A6', 'd': coalesce(g, CASE WHEN m LIKE '%SUPPORTED' THEN m END)},
+ {'variant': 'A7', 'd': coalesce(CASE WHEN s = 'SUPPORTED' THEN s END, g, CASE WHEN m LIKE '%SUPPORTED' THEN m END)}], recursive := true) FROM c)
+SELECT variant, truth, coalesce(d, 'INSUFFICIENT') AS decision, count(*)::BIGINT AS cases FROM d GROUP BY ALL""",
+    "decided",
+)
+def ablations(spark, sf_dir):
+    k = F.col("case_id")
+    rows = relation(spark, sf_dir, "decided").select(
+        "case_id",
+        "truth",
+        F.when(k % 3 == 0, "SUPPORTED").when(k % 3 == 1, "INSUFFICIENT").alias("static"),
+        F.when(k % 4 == 0, "NOT_SUPPORTED").when(k % 4 == 1, "SUPPORTED").alias("graph"),
+        F.col("decision").alias("semantic"),
+    )
+    return V.ablated(rows).groupBy("variant", "truth", "decision").agg(F.count(F.lit(1)).alias("cases"))
+
+
 # -- calibration ------------------------------------------------------------------------------------------------
 
 

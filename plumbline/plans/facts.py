@@ -285,3 +285,25 @@ def hourly_edges(spark, sf_dir):
     from plumbline.streaming.edges import windowed_edges
 
     return windowed_edges(table(spark, sf_dir, "events")).drop("users")
+
+
+@query("""SELECT o_orderpriority AS "group", bool_and(o_orderkey % 997 > 0) AS valid, bool_and(o_orderkey % 997 > 0 AND o_orderkey % 3 < 3) AS complete, count(*)::BIGINT AS files FROM orders GROUP BY 1""")
+def build_completeness(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("group"), F.when(k % 997 == 0, "ERROR").otherwise("PARSED").alias("status"), F.lit(0).alias("errors"))
+    return R.completeness(rows)
+
+
+@query("SELECT s_suppkey AS id, 'r' || n_regionkey AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def granularity_climb(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.lit("METHOD").alias("kind"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey"), F.lit("CLASS"), F.lit(None).cast("string"))
+    return R.at_granularity(s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("node")), n.union(r), "CLASS")
+
+
+@query(r"""WITH h AS (SELECT DISTINCT replace(regexp_extract(url, '://([^/?#]*)', 1), '-', '') AS p FROM pages), x AS (SELECT DISTINCT array_to_string(str_split(p, '.')[1:k], '.') AS package FROM h, LATERAL (SELECT unnest(range(1, len(str_split(p, '.')) + 1)) AS k))
+SELECT package, CASE WHEN package LIKE '%.%' THEN regexp_replace(package, '\.[^.]*$', '') END AS parent FROM x""")
+def package_hierarchy(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_extract("url", "://([^/?#]*)", 1), "-", "").alias("package"))
+    return R.package_prefixes(rows)
