@@ -17,8 +17,7 @@ from plumbline.llm.queries import trusted_ids
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality.judge(docs, trusted_ids(spark, sf_dir), columns=tuple(docs.columns))
-    return judged.filter("kept").select(*docs.columns)
+    return quality.accepted(docs, trusted_ids(spark, sf_dir))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken."""
-    return mixing.mixed_rows(mixing.mix_sources(docs), docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def shuffle_key(seed: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
 
 
-def mix_sources(
+def _mixed(
     docs: DataFrame,
     weights: Sequence[float] = (3.0, 1.0, 2.0),
     share: float = 1.5,
@@ -72,12 +72,11 @@ def mix_sources(
     size: Column | None = None,
     key: Column | None = None,
 ) -> DataFrame:
-    """docs (doc_id, text, source, ...) with size, source_size, target, copies (times the mix takes the
-    document) and taken (copies * size). `size` replaces the word count and `key` the shuffle key."""
+    """A struct _doc of all columns of docs, and OUTPUT."""
     size = word_count(F.col("text")) if size is None else size
     key = shuffle_key(seed) if key is None else key
-    rows = docs.withColumns({"_size": size.cast("long"), "_u": key})
-    rows = rows.drop(*[c for c in docs.columns if c.lower() in OUTPUT])
+    # what passes through is one struct, so that no name of docs meets a name used here
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "source", size.cast("long").alias("_size"), key.alias("_u"))
     slim = written(rows.select("source", "_size", "_u"))
     sizes = slim.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     sizes = checkpointed(sizes)
@@ -106,7 +105,7 @@ def mix_sources(
     for p in range(passes):
         copies = copies + F.coalesce((F.col("_u") <= F.col(f"_k{p}")).cast("int"), F.lit(0))
     return out.select(
-        *[c for c in docs.columns if c.lower() not in OUTPUT],
+        "_doc",
         F.col("_size").alias("size"),
         "source_size",
         "target",
@@ -115,6 +114,20 @@ def mix_sources(
     )
 
 
+def mix_sources(docs: DataFrame, **settings) -> DataFrame:
+    """docs (doc_id, text, source, ...) with size, source_size, target, copies (times the mix takes the document) and taken
+    (copies * size). settings: those of the signature above; `size` replaces the word count, `key` the shuffle key."""
+    keep = [c for c in docs.columns if c.lower() not in OUTPUT]
+    return _mixed(docs, **settings).select(*[F.col("_doc")[c].alias(c) for c in keep], *OUTPUT)
+
+
+def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with all its columns and no others."""
+    rows = _mixed(docs, **settings).filter(F.col("copies") > 0)
+    rows = rows.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+
+
 def _finish(p: int) -> Column:
     """The virtual finish time of a document's copy in pass p."""
     return (F.col("_cum") + F.col("source_size") * F.lit(p)) / F.col("_weight")
@@ -155,8 +168,3 @@ def _cut(placed: DataFrame, passes: int, budget: float, last: float, n_rows: int
     greatest = F.max(F.struct("f", "a", "u")).alias("k")
     found = fits.filter(F.col("upto") <= room).agg(greatest).first()["k"]
     return found or copies.filter(F.col("bin") < first["bin"]).agg(greatest).first()["k"]
-
-
-def mixed_rows(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    return mixed.filter(F.col("copies") > 0).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)

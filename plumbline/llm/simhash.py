@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, written
+from .common import checkpointed, fresh, written
 from .graphs import components
 
 SEED, SHINGLE = 42, 3
@@ -136,5 +136,6 @@ def classes(docs: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64)
 def keep_one(docs: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64) -> DataFrame:
     """The document with the smallest doc_id of each component; rows that repeat its doc_id stay with it."""
     found = classes(docs, bits, segments, crowd)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    name = fresh(*docs.columns, base="_stay")
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

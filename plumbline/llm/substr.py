@@ -15,7 +15,7 @@ joins read the same exchange.
 
 Cases: a null or empty text has no words; a null doc_id counts as smaller than every other; rows with the same
 doc_id never remove from each other and share their removed places; very long texts are processed whole; an
-empty table gives an empty table; columns named like a helper (places, key) are not allowed to clash in docs.
+empty table gives an empty table; extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 from .pieces import mixed
 from .wordarrays import (
     NULL_ID,
@@ -179,11 +179,15 @@ def _positions(places: bytes | None) -> np.ndarray:
     return np.frombuffer(places or b"", "<u4").astype(np.int64)
 
 
-def repeat_places(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(keyed, repeats): docs with _key (doc_id, never null) and PLACES rows of repeated windows' starts."""
+def _key_of() -> Column:
+    """doc_id, never null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+
+
+def repeat_places(docs: DataFrame, width: int) -> DataFrame:
+    """PLACES rows: the starts of repeated windows of each document that has any."""
     block = (width + 1) // 2
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    slim = keyed.select("_key", "text")
+    slim = docs.select(_key_of().alias("_key"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
@@ -221,8 +225,7 @@ def repeat_places(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
             yield from _records(buckets, 8, hashes, own, pos, (settled, repeat))
 
     near = slim.join(hits.withColumnRenamed("key", "_k"), F.col("_key") == F.col("_k"), "left").select("_key", "text", "places")
-    repeats = _exchange(near.mapInArrow(windows, RECORDS), buckets, 8, window_repeats, block)
-    return keyed, repeats
+    return _exchange(near.mapInArrow(windows, RECORDS), buckets, 8, window_repeats, block)
 
 
 def covered(places: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -243,7 +246,7 @@ def _kept_words(text: str | None, places: np.ndarray, width: int) -> tuple[list[
 
 def digest_kept(docs: DataFrame, width: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    keyed, repeats = repeat_places(docs, width)
+    repeats = repeat_places(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,14 +260,14 @@ def digest_kept(docs: DataFrame, width: int = 13) -> DataFrame:
             ids = pc.if_else(pc.equal(ids, NULL_ID), null, ids)
             yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    slim = keyed.select("_key", "text").join(repeats, F.col("_key") == F.col("key"), "left").select("_key", "text", "places")
+    slim = docs.select(_key_of().alias("_key"), "text").join(repeats, F.col("_key") == F.col("key"), "left").select("_key", "text", "places")
     return slim.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     """docs with the words of repeated passages taken out of text; a text that loses nothing stays as it is,
     another becomes its kept words joined by single spaces. Other columns pass through."""
-    keyed, repeats = repeat_places(docs, width)
+    repeats = repeat_places(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,5 +280,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, schema=pa.schema([batch.schema.field(i) for i in range(batch.num_columns - 1)]))
 
-    joined = keyed.join(repeats, F.col("_key") == F.col("key"), "left").select(*docs.columns, "places")
+    key, other, places = (fresh(*docs.columns, base=b) for b in ("_key", "_other", "_places"))
+    repeats = repeats.select(F.col("key").alias(other), F.col("places").alias(places))
+    joined = docs.withColumn(key, _key_of()).join(repeats, F.col(key) == F.col(other), "left").select(*docs.columns, places)
     return joined.mapInArrow(run, docs.schema)

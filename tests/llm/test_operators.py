@@ -55,7 +55,7 @@ def docs(spark, rows):
 
 def clashing(df):
     """df with extra columns named like helpers and outputs."""
-    return df.withColumns({c: F.lit("x") for c in ("size", "kept", "fp", "n_words", "copies", "target", "llr", "rule", "verdict", "score", "rank")})
+    return df.withColumns({c: F.lit("x") for c in ("size", "kept", "fp", "n_words", "copies", "target", "llr", "rule", "verdict", "score", "rank", "key", "places", "_key", "_stay", "_size", "_u", "_s", "_at", "_doc", "_words", "_hashes", "_ratio", "_t", "_k0")})
 
 
 def words(text):
@@ -215,9 +215,12 @@ def pair(a, b):
 def test_quality_on_empty_tables_and_filters(spark, docs):
     none = spark.createDataFrame([], "doc_id long")
     assert quality.judge(docs.limit(0), none).count() == 0
-    judged = quality.judge(docs, none, columns=tuple(docs.columns))
+    odd = clashing(docs).drop(*quality.OUTPUT)
+    judged = quality.judge(odd, none, columns=tuple(odd.columns))
     assert {r["llr"] for r in judged.collect()} <= {0.0, None}
     assert judged.filter("kept").count() == sum(r["kept"] for r in judged.collect())
+    stay = quality.accepted(clashing(docs), none)
+    assert stay.columns == clashing(docs).columns and stay.count() == judged.filter("kept").count()
 
 
 # -- 3: language ----------------------------------------------------------------------------------------------------
@@ -335,7 +338,7 @@ def test_simhash_classes(spark, docs, rows):
     key = lambda r: tuple((x is not None, x or 0) for x in (r[0], int(r[1], 16), r[2]))
     assert sorted((tuple(r) for r in found), key=key) == sorted(want, key=key)
     assert simhash.classes(docs.limit(0)).count() == 0
-    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    kept = {r["doc_id"] for r in simhash.keep_one(clashing(docs)).collect()}
     assert 25 not in kept and 3 in kept and 32 in kept
 
 
@@ -392,8 +395,8 @@ def test_mixing(spark, docs, rows):
     for s in size:
         assert abs(sum(r["taken"] for r in got if r["source"] == s) - target[s]) <= 2 * largest
     assert mixing.mix_sources(docs.limit(0)).count() == 0
-    mixed = mixing.mix_sources(docs)
-    assert mixing.mixed_rows(mixed, docs.columns).count() == sum(r["copies"] for r in mixed.collect())
+    mixed = mixing.mixed_rows(clashing(docs))
+    assert mixed.columns == clashing(docs).columns and mixed.count() == sum(r["copies"] for r in mixing.mix_sources(docs).collect())
 
 
 # -- 8: chat --------------------------------------------------------------------------------------------------------
@@ -448,8 +451,8 @@ def test_substring_dedup(spark, docs, rows):
         kept = hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
         assert (len(w), len(gone), kept) in {(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got[i]}
     assert substr.digest_kept(docs.limit(0)).count() == 0
-    whole = substr.remove_repeats(docs)
-    assert whole.columns == docs.columns and whole.count() == len(rows)
+    whole = substr.remove_repeats(clashing(docs))
+    assert whole.columns == clashing(docs).columns and whole.count() == len(rows)
     same = {(r["doc_id"], r["text"]) for r in whole.collect()}
     assert (30, rows[22][1]) in same and (25, "") in same
 
@@ -480,6 +483,7 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
 
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
     spark.createDataFrame([(0, 1, 0), (1, 1, None), (2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = clashing(docs)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     now, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
