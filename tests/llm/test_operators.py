@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -303,6 +304,15 @@ def test_url_filter(spark):
     assert (weights == urls.train(urls.labelled_urls())).all()
 
 
+def test_url_model_on_forms_it_has_not_seen():
+    weights = urls.train(urls.labelled_urls())
+    for topics, least, most in ((urls.BLOCKED_TOPICS, 0.7, 1.0), (urls.ALLOWED_TOPICS, 0.0, 0.02)):
+        hosts = [form.format(t) for t in topics for form in ("get-{}.example", "{}-zone.example")]
+        assert not set(hosts) & {u.split("/")[2] for u, _ in urls.labelled_urls()}
+        block = urls.logits(pa.array(hosts), pa.array(["/5"] * len(hosts)), weights) >= 0
+        assert least <= block.mean() <= most
+
+
 # -- 6: near-duplicates ---------------------------------------------------------------------------------------------
 
 
