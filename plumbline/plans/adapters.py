@@ -30,6 +30,12 @@ RELATIONS = {
     "ranked_step": """SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY event_id) AS rn FROM step WHERE dst IS NOT NULL AND src <> dst""",
     "sparse": """SELECT DISTINCT src, dst FROM ranked_step WHERE rn <= 1""",
     "twofold": """SELECT DISTINCT src, dst FROM ranked_step WHERE rn <= 1 + src % 2""",
+    # all successors, and those of the earlier and the later half of the events
+    "follow": """SELECT DISTINCT src, dst FROM step WHERE dst IS NOT NULL AND src <> dst""",
+    "follow_earlier": """SELECT DISTINCT src, dst FROM step WHERE dst IS NOT NULL AND src <> dst AND event_id <= (SELECT avg(event_id) FROM events)""",
+    "follow_later": """SELECT DISTINCT src, dst FROM step WHERE dst IS NOT NULL AND src <> dst AND event_id > (SELECT avg(event_id) FROM events)""",
+    # all pairs of components that depend
+    "link": """SELECT DISTINCT src, dst FROM dep""",
     "user_vertex": """SELECT DISTINCT user_id AS v FROM events""",
     "file": """SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*/?', '') AS path,
         regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/.*$', '') AS host FROM pages""",
@@ -42,6 +48,19 @@ RELATIONS = {
         WHEN prediction = 'ABSTAIN' THEN 'INSUFFICIENT' ELSE 'NOT_APPLICABLE' END AS decision FROM judged""",
 }
 
+# name -> (function, SQL) over a part of the tables: not registered, tests compare the two
+PARTS: dict = {}
+
+
+def part(sql: str, *names: str, recursive: bool = False):
+    """Keeps the SQL of a part with the function that reads the same part. The registered query of the name reads all."""
+
+    def add(f):
+        PARTS[f.__name__] = f, oracle(sql, *names, recursive=recursive)
+        return f
+
+    return add
+
 
 def needed(*names: str) -> list[str]:
     """The relations that names rest on, in order, themselves included."""

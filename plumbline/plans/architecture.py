@@ -10,7 +10,7 @@ from plumbline.operators import conformance as C
 from plumbline.operators import discovery as D
 from plumbline.operators import graph as G
 
-from .adapters import oracle, relation, table
+from .adapters import oracle, part, relation, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -171,8 +171,8 @@ i AS (SELECT *, CASE WHEN ca + ce > 0 THEN ce::DOUBLE / (ca + ce)::DOUBLE END AS
 """
 
 
-def _metrics(spark, sf_dir):
-    return G.node_metrics(relation(spark, sf_dir, "component").select("v"), relation(spark, sf_dir, "arc"))
+def _metrics(spark, sf_dir, edges="arc"):
+    return G.node_metrics(relation(spark, sf_dir, "component").select("v"), relation(spark, sf_dir, edges))
 
 
 @query(_METRICS + "SELECT *, in_degree / 24.0::DOUBLE AS in_centrality, out_degree / 24.0::DOUBLE AS out_centrality FROM i", "arc", "component")
@@ -180,28 +180,43 @@ def node_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir)
 
 
-@query(
+@query()
+def node_metrics_all_pairs(spark, sf_dir):
+    return _metrics(spark, sf_dir, "link")
+
+
+@part(
     _METRICS
     + """SELECT 'ARCH101' AS rule_id, v AS subject, NULL::VARCHAR AS object FROM i WHERE total_neighbors >= 6 UNION ALL SELECT 'ARCH102', v, NULL FROM i WHERE ca >= 5
 UNION ALL SELECT 'ARCH104', a.src, a.dst FROM arc a JOIN i x ON a.src = x.v JOIN i y ON a.dst = y.v WHERE a.src <> a.dst AND y.instability - x.instability >= 0.2 - 1e-13""",
     "arc",
     "component",
 )
-def graph_candidates(spark, sf_dir):
+def graph_candidates_part(spark, sf_dir):
     return G.candidates(_metrics(spark, sf_dir), relation(spark, sf_dir, "arc"), coupling=6, hub=5, members=3, methods=3, delta=0.2, central=0.1)
 
 
+@query()
+def graph_candidates(spark, sf_dir):
+    return G.candidates(_metrics(spark, sf_dir, "link"), relation(spark, sf_dir, "link"), coupling=6, hub=5, members=3, methods=3, delta=0.2, central=0.1)
+
+
 _REACH = """, e AS (SELECT src, dst FROM {0} WHERE src <> dst), reach(s, t) AS (SELECT src, dst FROM e UNION SELECT s, dst FROM reach JOIN e ON t = src),
 c AS (SELECT v, least(v, coalesce((SELECT min(a.t) FROM reach a JOIN reach b ON a.s = b.t AND a.t = b.s WHERE a.s = v), v)) AS component FROM user_vertex)
 """
 
 
-@query(_REACH.format("twofold") + "SELECT * FROM c", "twofold", "user_vertex", recursive=True)
-def strong_components(spark, sf_dir):
+@part(_REACH.format("twofold") + "SELECT * FROM c", "twofold", "user_vertex", recursive=True)
+def strong_components_part(spark, sf_dir):
     return G.scc(relation(spark, sf_dir, "user_vertex"), relation(spark, sf_dir, "twofold"))
 
 
-@query(
+@query()
+def strong_components(spark, sf_dir):
+    return G.scc(relation(spark, sf_dir, "user_vertex"), relation(spark, sf_dir, "follow"))
+
+
+@part(
     _REACH.format("sparse")
     + """SELECT c.component, count(*)::BIGINT AS size, (SELECT count(*) FROM e JOIN c a ON src = a.v JOIN c b ON dst = b.v WHERE a.component = c.component AND b.component = c.component)::BIGINT AS internal_edges,
  count(*) > 1 AS is_cyclic FROM c GROUP BY c.component""",
@@ -209,39 +224,56 @@ def strong_components(spark, sf_dir):
     "user_vertex",
     recursive=True,
 )
-def component_summary(spark, sf_dir):
+def component_summary_part(spark, sf_dir):
     e = relation(spark, sf_dir, "sparse")
     return G.scc_summary(G.scc(relation(spark, sf_dir, "user_vertex"), e), e)
 
 
+@query()
+def component_summary(spark, sf_dir):
+    e = relation(spark, sf_dir, "follow")
+    return G.scc_summary(G.scc(relation(spark, sf_dir, "user_vertex"), e), e)
+
+
 @query()
 def cycle_proofs(spark, sf_dir):
-    e = relation(spark, sf_dir, "sparse")
+    e = relation(spark, sf_dir, "follow")
     return G.cycle_proofs(G.scc(relation(spark, sf_dir, "user_vertex"), e), e)
 
 
-@query(
+@part(
     """, e AS (SELECT src, dst FROM twofold), w(v, d) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, d + 1 FROM w JOIN e ON v = src WHERE d < 4)
 SELECT v, min(d)::INTEGER AS dist FROM w GROUP BY v""",
     "twofold",
     recursive=True,
 )
-def k_hop(spark, sf_dir):
+def k_hop_part(spark, sf_dir):
     return G.neighbourhood(spark.createDataFrame([(1,)], "v long"), relation(spark, sf_dir, "twofold"), 4, max_nodes=100_000)
 
 
-@query(
+@query()
+def k_hop(spark, sf_dir):
+    return G.neighbourhood(spark.createDataFrame([(1,)], "v long"), relation(spark, sf_dir, "follow"), 4, max_nodes=100_000)
+
+
+@part(
     """, w(s, v, d) AS (SELECT v, v, 0 FROM user_vertex WHERE v % 10 = 3 UNION SELECT s, dst, d + 1 FROM w JOIN twofold ON v = src WHERE d < 6)
 SELECT s, v, min(d)::INTEGER AS dist FROM w GROUP BY s, v""",
     "twofold",
     "user_vertex",
     recursive=True,
 )
-def path_lengths(spark, sf_dir):
+def path_lengths_part(spark, sf_dir):
     s = relation(spark, sf_dir, "user_vertex").filter("v % 10 = 3").select(F.col("v").alias("s"))
     return G.distances(s, relation(spark, sf_dir, "twofold"), 6).drop("paths")
 
 
+@query()
+def path_lengths(spark, sf_dir):
+    s = relation(spark, sf_dir, "user_vertex").filter("v % 10 = 3").select(F.col("v").alias("s"))
+    return G.distances(s, relation(spark, sf_dir, "follow"), 6).drop("paths")
+
+
 def _ranks(rounds: int) -> str:
     out = ", o AS (SELECT src, count(*) AS deg FROM twofold GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM user_vertex),\np0 AS MATERIALIZED (SELECT v, 1 / n AS r FROM user_vertex, n)"
     for k in range(1, rounds + 1):
@@ -251,13 +283,19 @@ p{k} AS MATERIALIZED (SELECT v, 0.15 / n + 0.85 * (SELECT coalesce(sum(r), 0) FR
     return out + f"\nSELECT v, round(r, 9) AS rank FROM p{rounds}"
 
 
-@query(_ranks(6), "twofold", "user_vertex")
-def pagerank_six_rounds(spark, sf_dir):
+@part(_ranks(6), "twofold", "user_vertex")
+def pagerank_six_rounds_part(spark, sf_dir):
     ranks, _ = G.pagerank(relation(spark, sf_dir, "user_vertex"), relation(spark, sf_dir, "twofold"), rounds=6, fixed=True)
     return ranks.select("v", F.round("rank", 9).alias("rank"))
 
 
-@query(
+@query()
+def pagerank_six_rounds(spark, sf_dir):
+    ranks, _ = G.pagerank(relation(spark, sf_dir, "user_vertex"), relation(spark, sf_dir, "follow"), rounds=6, fixed=True)
+    return ranks.select("v", F.round("rank", 9).alias("rank"))
+
+
+@part(
     """, w(s, v, d) AS (SELECT v, v, 0 FROM component UNION SELECT s, dst, d + 1 FROM w JOIN arc ON v = src WHERE d < 24),
 d AS MATERIALIZED (SELECT s, v, min(d) AS d FROM w GROUP BY s, v),
 k(s, v, d, n) AS (SELECT v, v, 0, 1::DOUBLE FROM component UNION ALL
@@ -269,11 +307,17 @@ SELECT v, round(coalesce(b, 0) / (24 * 23)::DOUBLE, 9) AS betweenness FROM compo
     "component",
     recursive=True,
 )
-def betweenness(spark, sf_dir):
+def betweenness_part(spark, sf_dir):
     b = G.betweenness(relation(spark, sf_dir, "component").select("v"), relation(spark, sf_dir, "arc"))
     return b.select("v", F.round("betweenness", 9).alias("betweenness"))
 
 
+@query()
+def betweenness(spark, sf_dir):
+    b = G.betweenness(relation(spark, sf_dir, "component").select("v"), relation(spark, sf_dir, "link"))
+    return b.select("v", F.round("betweenness", 9).alias("betweenness"))
+
+
 @query(
     """, p(child, parent) AS (SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
   UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region),
@@ -379,12 +423,17 @@ def _labels(spark, sf_dir):
     return relation(spark, sf_dir, "component").select("v", F.col("layer").alias("label"))
 
 
-@query("SELECT a.layer AS src_label, b.layer AS dst_label, count(*)::BIGINT AS edges FROM arc JOIN component a ON src = a.v JOIN component b ON dst = b.v GROUP BY ALL", "arc", "component")
-def dependency_matrix(spark, sf_dir):
+@part("SELECT a.layer AS src_label, b.layer AS dst_label, count(*)::BIGINT AS edges FROM arc JOIN component a ON src = a.v JOIN component b ON dst = b.v GROUP BY ALL", "arc", "component")
+def dependency_matrix_part(spark, sf_dir):
     return D.matrix(relation(spark, sf_dir, "arc"), _labels(spark, sf_dir))
 
 
-@query(
+@query()
+def dependency_matrix(spark, sf_dir):
+    return D.matrix(relation(spark, sf_dir, "link"), _labels(spark, sf_dir))
+
+
+@part(
     """, x AS (SELECT a.layer AS s, b.layer AS d FROM arc JOIN component a ON src = a.v JOIN component b ON dst = b.v),
 y AS (SELECT layer AS label, count(*)::BIGINT AS members, (SELECT count(*) FROM x WHERE s = layer AND d = layer)::BIGINT AS internal,
  (SELECT count(*) FROM x WHERE s = layer AND d <> layer)::BIGINT AS outgoing, (SELECT count(*) FROM x WHERE s <> layer AND d = layer)::BIGINT AS incoming FROM component GROUP BY layer)
@@ -392,16 +441,26 @@ SELECT *, internal / nullif(internal + outgoing + incoming, 0)::DOUBLE AS ratio,
     "arc",
     "component",
 )
-def module_cohesion(spark, sf_dir):
+def module_cohesion_part(spark, sf_dir):
     return D.cohesion(relation(spark, sf_dir, "arc"), _labels(spark, sf_dir))
 
 
-@query(_METRICS + "SELECT v, ca, row_number() OVER (ORDER BY ca DESC, v)::INTEGER AS rank FROM i ORDER BY ca DESC, v LIMIT 5", "arc", "component")
-def topology_top_k(spark, sf_dir):
+@query()
+def module_cohesion(spark, sf_dir):
+    return D.cohesion(relation(spark, sf_dir, "link"), _labels(spark, sf_dir))
+
+
+@part(_METRICS + "SELECT v, ca, row_number() OVER (ORDER BY ca DESC, v)::INTEGER AS rank FROM i ORDER BY ca DESC, v LIMIT 5", "arc", "component")
+def topology_top_k_part(spark, sf_dir):
     return D.top_k(_metrics(spark, sf_dir).select("v", "ca"), "ca", "v", 5)
 
 
-@query(
+@query()
+def topology_top_k(spark, sf_dir):
+    return D.top_k(_metrics(spark, sf_dir, "link").select("v", "ca"), "ca", "v", 5)
+
+
+@part(
     """, x AS (SELECT a.layer AS s, b.layer AS d FROM arc JOIN component a ON src = a.v JOIN component b ON dst = b.v), n AS (SELECT r_name AS label FROM region UNION ALL SELECT 'NOWHERE')
 SELECT label, (SELECT count(*) FROM component WHERE layer = label)::BIGINT AS members, (SELECT count(*) FROM component WHERE layer = label AND nationkey % 3 = 0)::BIGINT AS weak, (SELECT count(*) FROM component WHERE layer = label AND nationkey % 3 = 1)::BIGINT AS moderate,
  (SELECT count(*) FROM component WHERE layer = label AND nationkey % 3 = 2)::BIGINT AS strong, (SELECT count(*) FROM x WHERE s = label AND d = label)::BIGINT AS internal, (SELECT count(*) FROM x WHERE s = label AND d <> label)::BIGINT AS outgoing,
@@ -409,12 +468,19 @@ SELECT label, (SELECT count(*) FROM component WHERE layer = label)::BIGINT AS me
     "arc",
     "component",
 )
-def layer_groups(spark, sf_dir):
+def layer_groups_part(spark, sf_dir):
     subjects = relation(spark, sf_dir, "component").select("v", F.col("layer").alias("label"), (F.col("nationkey") % 3 + 1).alias("strength"))
     names = table(spark, sf_dir, "region").select(F.col("r_name").alias("label")).union(spark.createDataFrame([("NOWHERE",)], "label string"))
     return D.layer_groups(subjects, relation(spark, sf_dir, "arc"), names)
 
 
+@query()
+def layer_groups(spark, sf_dir):
+    subjects = relation(spark, sf_dir, "component").select("v", F.col("layer").alias("label"), (F.col("nationkey") % 3 + 1).alias("strength"))
+    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("label")).union(spark.createDataFrame([("NOWHERE",)], "label string"))
+    return D.layer_groups(subjects, relation(spark, sf_dir, "link"), names)
+
+
 @query("SELECT 'n' || s_nationkey AS owner, count(*)::BIGINT AS member_count, count(*) FILTER (s_suppkey % 2 = 0)::BIGINT AS method_count FROM supplier GROUP BY s_nationkey")
 def node_rollup(spark, sf_dir):
     k = F.col("s_suppkey")
@@ -423,14 +489,20 @@ def node_rollup(spark, sf_dir):
     return G.node_rollup(rows.union(own))
 
 
-@query("SELECT a.v AS subject, string_agg(DISTINCT b.layer, ',' ORDER BY b.layer) AS evidence FROM arc JOIN component a ON src = a.v JOIN component b ON dst = b.v WHERE a.layer < b.layer GROUP BY a.v", "arc", "component")
-def direction_evidence(spark, sf_dir):
+@part("SELECT a.v AS subject, string_agg(DISTINCT b.layer, ',' ORDER BY b.layer) AS evidence FROM arc JOIN component a ON src = a.v JOIN component b ON dst = b.v WHERE a.layer < b.layer GROUP BY a.v", "arc", "component")
+def direction_evidence_part(spark, sf_dir):
     order = {n: i for i, n in enumerate(("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))}
     return D.direction_evidence(relation(spark, sf_dir, "arc"), _labels(spark, sf_dir), order)
 
 
+@query()
+def direction_evidence(spark, sf_dir):
+    order = {n: i for i, n in enumerate(("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))}
+    return D.direction_evidence(relation(spark, sf_dir, "link"), _labels(spark, sf_dir), order)
+
+
 @query()
 def circular_findings(spark, sf_dir):
     from .repository import cycle_findings
 
-    return cycle_findings(relation(spark, sf_dir, "sparse"), "ARCH003")
+    return cycle_findings(relation(spark, sf_dir, "follow"), "ARCH003")

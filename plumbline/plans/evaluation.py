@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import calibration as K
 from plumbline.operators import evaluation as V
 
-from .adapters import oracle, relation, table
+from .adapters import oracle, part, relation, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -237,11 +237,16 @@ def fused_state(spark, sf_dir):
     return rows.select("family", "language", V.fused(F.col("s")).alias("state"))
 
 
-@query("SELECT src, dst, 'ADDED' AS change FROM twofold ANTI JOIN sparse USING (src, dst) UNION ALL SELECT src, dst, 'REMOVED' FROM sparse ANTI JOIN twofold USING (src, dst)", "twofold", "sparse")
-def edge_difference(spark, sf_dir):
+@part("SELECT src, dst, 'ADDED' AS change FROM twofold ANTI JOIN sparse USING (src, dst) UNION ALL SELECT src, dst, 'REMOVED' FROM sparse ANTI JOIN twofold USING (src, dst)", "twofold", "sparse")
+def edge_difference_part(spark, sf_dir):
     return V.edge_difference(relation(spark, sf_dir, "sparse"), relation(spark, sf_dir, "twofold"))
 
 
+@query()
+def edge_difference(spark, sf_dir):
+    return V.edge_difference(relation(spark, sf_dir, "follow_earlier"), relation(spark, sf_dir, "follow_later"))
+
+
 @query(
     """WITH r AS (SELECT o_custkey, bool_or(o_totalprice > 100000) FILTER (o_orderkey % 2 = 0) AS c, bool_or(o_totalprice > 200000) FILTER (o_orderkey % 2 = 1) AS m FROM orders GROUP BY o_custkey)
 SELECT o_custkey, CASE WHEN c AND m THEN 'FULLY_CONFIRMED' WHEN m THEN 'CONTROL_NOT_CONFIRMED' WHEN c THEN 'MUTATION_NOT_CONFIRMED' ELSE 'BOTH_NOT_CONFIRMED' END AS diagnosis FROM r"""

@@ -9,7 +9,7 @@ from plumbline.operators import resolution as R
 from plumbline.operators import security as S
 from plumbline.sources import intake as I
 
-from .adapters import oracle, relation, table
+from .adapters import oracle, part, relation, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -209,12 +209,18 @@ def context_targets(spark, sf_dir):
     return H.targets(e, 40)
 
 
-@query("""WITH b AS (SELECT src AS node, min(dst % 4) AS priority FROM twofold GROUP BY src) SELECT node, priority, (SELECT min(t.dst % 9) FROM twofold t WHERE t.src = b.node AND t.dst % 4 = b.priority) AS distance FROM b ORDER BY priority, distance, node LIMIT 20""".replace("WITH b AS", ", b AS", 1), "twofold")
-def context_selection(spark, sf_dir):
+@part("""WITH b AS (SELECT src AS node, min(dst % 4) AS priority FROM twofold GROUP BY src) SELECT node, priority, (SELECT min(t.dst % 9) FROM twofold t WHERE t.src = b.node AND t.dst % 4 = b.priority) AS distance FROM b ORDER BY priority, distance, node LIMIT 20""".replace("WITH b AS", ", b AS", 1), "twofold")
+def context_selection_part(spark, sf_dir):
     rows = relation(spark, sf_dir, "twofold").select(F.col("src").alias("node"), (F.col("dst") % 4).alias("priority"), (F.col("dst") % 9).alias("distance"))
     return H.context_nodes(rows, 20)
 
 
+@query()
+def context_selection(spark, sf_dir):
+    rows = relation(spark, sf_dir, "follow").select(F.col("src").alias("node"), (F.col("dst") % 4).alias("priority"), (F.col("dst") % 9).alias("distance"))
+    return H.context_nodes(rows, 20)
+
+
 @query()
 def fragment_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").filter("l_partkey % 10 = 0").select(
