@@ -73,13 +73,13 @@ def hash_budget(spark, sf_dir):
 # -- resolution -------------------------------------------------------------------------------------------------
 
 
-@query(
+@part(
     """, h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([A-Za-z]+)', 1)) AS word FROM pages), r AS (SELECT DISTINCT word FROM h),
 d AS (SELECT DISTINCT lower(word) AS word, page_id FROM h WHERE page_id % 9 = 0),
 n AS (SELECT r.word, count(d.page_id)::BIGINT AS candidates, min(d.page_id) AS one FROM r LEFT JOIN d ON lower(r.word) = d.word GROUP BY r.word)
 SELECT word, candidates, CASE candidates WHEN 0 THEN 'UNRESOLVED' WHEN 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status, CASE WHEN candidates = 1 THEN one END AS target FROM n""".replace(", h AS", "WITH h AS", 1)
 )
-def resolve_status(spark, sf_dir):
+def resolve_status_part(spark, sf_dir):
     h = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)'), F.lit(1))).alias("word"))
     refs = h.select("word").distinct()
     found = h.filter("page_id % 9 = 0").select(F.lower("word").alias("w"), F.col("page_id").alias("t"))
@@ -87,7 +87,16 @@ def resolve_status(spark, sf_dir):
     return R.choose(refs, found, "word", "t")
 
 
-@query(
+@query()
+def resolve_status(spark, sf_dir):
+    h = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)'), F.lit(1))).alias("word"))
+    refs = h.select("word").distinct()
+    found = h.select(F.lower("word").alias("w"), F.col("page_id").alias("t"))
+    found = refs.join(found, F.lower("word") == F.col("w")).select("word", "t")
+    return R.choose(refs, found, "word", "t")
+
+
+@part(
     """WITH r AS (SELECT o_orderkey AS ref, o_custkey AS k FROM orders WHERE o_orderkey % 20 = 1),
 s AS (SELECT ref, 0 AS i, c_custkey AS t FROM r JOIN customer ON k = c_custkey AND c_custkey % 3 = 0 UNION ALL SELECT ref, 1, c_custkey FROM r JOIN customer ON k // 2 = c_custkey // 2 AND c_custkey % 5 < 3
   UNION ALL SELECT ref, 2, c_custkey FROM r JOIN customer ON k // 4 = c_custkey // 4),
@@ -95,7 +104,7 @@ g AS (SELECT ref, i, count(DISTINCT t) AS n, min(t) AS t FROM s GROUP BY ALL), f
 SELECT r.ref, ['CONTAINER', 'IMPORT', 'GLOBAL'][f.i + 1] AS method, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 1 AND f.i < 2 THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS status, CASE WHEN n = 1 AND f.i < 2 THEN t END AS target
 FROM r LEFT JOIN f ON r.ref = f.ref LEFT JOIN g ON g.ref = f.ref AND g.i = f.i"""
 )
-def resolution_ladder(spark, sf_dir):
+def resolution_ladder_part(spark, sf_dir):
     refs = table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 1").select(F.col("o_orderkey").alias("ref"), F.col("o_custkey").alias("k"))
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("t"))
     near = lambda n: F.floor(F.col("k") / n) == F.floor(F.col("t") / n)
@@ -103,11 +112,20 @@ def resolution_ladder(spark, sf_dir):
     return R.ladder(refs, [(m, d.select("ref", "t"), may) for m, d, may in stages], "ref", "t").drop("k")
 
 
-@query(
+@query()
+def resolution_ladder(spark, sf_dir):
+    refs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref"), F.col("o_custkey").alias("k"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("t"))
+    near = lambda n: F.floor(F.col("k") / n) == F.floor(F.col("t") / n)
+    stages = [("CONTAINER", refs.join(c.filter("t % 3 = 0"), F.col("k") == F.col("t")), True), ("IMPORT", refs.join(c.filter("t % 5 < 3"), near(2)), True), ("GLOBAL", refs.join(c, near(4)), False)]
+    return R.ladder(refs, [(m, d.select("ref", "t"), may) for m, d, may in stages], "ref", "t").drop("k")
+
+
+@part(
     """SELECT o_orderkey, count(*) FILTER (l_linenumber IS NOT NULL)::BIGINT AS overloads FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey
  AND (o_custkey % 10 = 0 OR (o_custkey % 7 >= l_linenumber - 1 AND (l_returnflag = 'R' OR o_custkey % 7 <= l_linenumber + 1))) WHERE o_orderkey % 10 = 3 GROUP BY o_orderkey"""
 )
-def arity_join(spark, sf_dir):
+def arity_join_part(spark, sf_dir):
     o = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 3")
     n = F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey") % 7)
     fits = R.arity_fits(n, F.col("l_linenumber") - 1, F.col("l_linenumber") + 1, F.col("l_returnflag") == "R")
@@ -115,6 +133,15 @@ def arity_join(spark, sf_dir):
     return rows.groupBy("o_orderkey").agg(F.count("l_linenumber").alias("overloads"))
 
 
+@query()
+def arity_join(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    n = F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey") % 7)
+    fits = R.arity_fits(n, F.col("l_linenumber") - 1, F.col("l_linenumber") + 1, F.col("l_returnflag") == "R")
+    rows = o.join(table(spark, sf_dir, "lineitem"), (F.col("o_orderkey") == F.col("l_orderkey")) & fits, "left")
+    return rows.groupBy("o_orderkey").agg(F.count("l_linenumber").alias("overloads"))
+
+
 @query(
     """WITH r AS (SELECT l_suppkey AS source, l_returnflag AS target, l_linestatus AS kind, count(*) AS n, count(*) FILTER (k <= 3) AS kept, string_agg(l_orderkey || ':' || l_linenumber, ',' ORDER BY l_orderkey, l_linenumber) FILTER (k <= 3) AS proofs
  FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) GROUP BY ALL)
@@ -128,12 +155,12 @@ def provenance_top_k(spark, sf_dir):
     return out.withColumn("proofs", F.array_join(F.transform("proofs", lambda p: F.concat_ws(":", p["line"], p["col"])), ","))
 
 
-@query(
+@part(
     """WITH n AS (SELECT n_nationkey AS k, n_regionkey AS p FROM nation), e AS (SELECT o_orderkey AS edge, o_custkey % 27 AS src, o_custkey % 26 AS dst, o_orderkey % 4 AS occ, least(o_orderkey % 4, 2) AS pr FROM orders WHERE o_orderkey % 50 = 7)
 SELECT 'edge src' AS "check", edge::VARCHAR AS id FROM e WHERE src NOT IN (SELECT k FROM n) UNION ALL SELECT 'edge dst', edge::VARCHAR FROM e WHERE dst NOT IN (SELECT k FROM n)
 UNION ALL SELECT 'proof count', edge::VARCHAR FROM e WHERE occ <> pr UNION ALL SELECT 'one root', count(*)::VARCHAR FROM n WHERE k < 5 HAVING count(*) <> 1"""
 )
-def model_violations(spark, sf_dir):
+def model_violations_part(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") >= 5, F.col("n_regionkey")).alias("parent"))
     c, o = F.col("o_custkey"), F.col("o_orderkey")
     e = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 7").select(
@@ -142,6 +169,16 @@ def model_violations(spark, sf_dir):
     return R.model_violations(n, e)
 
 
+@query()
+def model_violations(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") >= 5, F.col("n_regionkey")).alias("parent"))
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    e = table(spark, sf_dir, "orders").select(
+        o.alias("edge"), (c % 27).cast("int").alias("src"), (c % 26).cast("int").alias("dst"), (o % 4).alias("occurrences"), F.least(o % 4, F.lit(2)).alias("proofs"), F.lit(0).alias("truncated")
+    )
+    return R.model_violations(n, e)
+
+
 # -- security ---------------------------------------------------------------------------------------------------
 
 _PAIRS = r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\w+ ?[=:] ?"?[A-Za-z0-9_+/\-]{16,}')) AS hit FROM documents),
@@ -223,13 +260,13 @@ def context_selection(spark, sf_dir):
 
 @query()
 def fragment_merge(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_partkey % 10 = 0").select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").cast("string").alias("file"), F.col("l_linenumber").cast("long").alias("priority"), (F.col("l_orderkey") % 500).alias("start"), (F.col("l_orderkey") % 500 + F.col("l_quantity")).cast("long").alias("end")
     )
     return H.fragments(rows)
 
 
-@query(
+@part(
     """WITH c AS (SELECT c_custkey AS case_id, 's' || c_nationkey AS subject, CASE WHEN c_custkey % 2 = 0 THEN 's' || (c_nationkey + 1) % 25 END AS object FROM customer WHERE c_custkey % 15 = 0),
 e AS (SELECT s_suppkey AS evidence_id, CASE WHEN s_suppkey % 3 = 0 THEN 'r' || n_regionkey ELSE 's' || s_nationkey END AS subject, CASE WHEN s_suppkey % 3 = 1 THEN 's' || (s_nationkey + 1) % 25 END AS object FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 u AS (SELECT 's' || n_nationkey AS child, 'r' || n_regionkey AS ancestor FROM nation), g AS (SELECT 's' || n_nationkey AS a, 's' || (n_nationkey + 5) % 25 AS b FROM nation),
@@ -238,7 +275,7 @@ m AS (SELECT case_id, evidence_id, CASE WHEN c.subject = e.subject AND c.object
   WHEN c.object IS NULL AND EXISTS (SELECT 1 FROM g WHERE (a = c.subject AND b = e.subject) OR (b = c.subject AND a = e.subject)) THEN 4 END AS k FROM c CROSS JOIN e)
 SELECT case_id, evidence_id, ['EXACT_SUBJECT_PAIR', 'EXACT_SUBJECT', 'CONTAINMENT_OWNER', 'DIRECT_GRAPH_RELATION'][k] AS method FROM m WHERE k IS NOT NULL"""
 )
-def evidence_alignment(spark, sf_dir):
+def evidence_alignment_part(spark, sf_dir):
     s = lambda c: F.concat(F.lit("s"), c)
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     cases = table(spark, sf_dir, "customer").filter("c_custkey % 15 = 0").select(k.alias("case_id"), s(n).alias("subject"), F.when(k % 2 == 0, s((n + 1) % 25)).alias("object"))
@@ -251,6 +288,20 @@ def evidence_alignment(spark, sf_dir):
     return H.align(cases, e, up, g)
 
 
+@query()
+def evidence_alignment(spark, sf_dir):
+    s = lambda c: F.concat(F.lit("s"), c)
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    cases = table(spark, sf_dir, "customer").select(k.alias("case_id"), s(n).alias("subject"), F.when(k % 2 == 0, s((n + 1) % 25)).alias("object"))
+    nation = table(spark, sf_dir, "nation")
+    p, m = F.col("s_suppkey"), F.col("s_nationkey")
+    e = table(spark, sf_dir, "supplier").join(nation, m == F.col("n_nationkey"))
+    e = e.select(p.alias("evidence_id"), F.when(p % 3 == 0, F.concat(F.lit("r"), "n_regionkey")).otherwise(s(m)).alias("subject"), F.when(p % 3 == 1, s((m + 1) % 25)).alias("object"))
+    up = nation.select(s(F.col("n_nationkey")).alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("ancestor"))
+    g = nation.select(s(F.col("n_nationkey")).alias("src"), s((F.col("n_nationkey") + 5) % 25).alias("dst"))
+    return H.align(cases, e, up, g)
+
+
 @query(
     """SELECT doc_id, CASE WHEN quality IS NULL THEN 'MISSING' WHEN doc_id % 3 <> 0 OR doc_id % 2 = 0 THEN 'NEUTRAL' WHEN quality = 1 THEN 'SUPPORTING' ELSE 'CONTRADICTING' END AS agreement,
  CASE WHEN doc_id % 10 = 0 THEN 'CONFIRMED' WHEN toxic = 1 OR quality IS NOT NULL THEN 'REVIEW' ELSE 'INSUFFICIENT' END AS decision, concat_ws(',', CASE WHEN coalesce(toxic = 1, false) THEN 'graph' END, CASE WHEN doc_id % 10 = 0 THEN 'proof' END) AS reasons

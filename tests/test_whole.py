@@ -156,3 +156,36 @@ def test_component_graph_has_all_pairs(spark, con):
             if v not in (s, t) and s != t and (s, v) in dist and (v, t) in dist and dist[s, v] + dist[v, t] == dist[s, t]:
                 want[v] += ways[s, v] * ways[v, t] / ways[s, t]
     assert dict(run(spark, "betweenness")) == pytest.approx({v: x / (24 * 23) for v, x in want.items()}, abs=2e-9)
+
+
+# the condition that makes the SQL of a part a part
+CONDITIONS = {
+    "resolve_status": " WHERE page_id % 9 = 0",
+    "resolution_ladder": " WHERE o_orderkey % 20 = 1",
+    "arity_join": " WHERE o_orderkey % 10 = 3",
+    "model_violations": " WHERE o_orderkey % 50 = 7",
+    "evidence_alignment": " WHERE c_custkey % 15 = 0",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONDITIONS))
+def test_whole_equals_sql_without_the_condition(spark, con, name):
+    sql = PARTS[f"{name}_part"][1]
+    assert sql.count(CONDITIONS[name]) == 1
+    assert same(entry.queries()[name](spark, DATA), con, sql.replace(CONDITIONS[name], ""))
+
+
+def test_fragments_of_all_files(spark, con):
+    files = defaultdict(list)
+    for f, p, a, b in con.execute("select l_partkey::varchar, l_linenumber, l_orderkey % 500, (l_orderkey % 500 + l_quantity)::bigint from lineitem").fetchall():
+        files[f].append((p, a, b))
+    want = []
+    for f, x in files.items():
+        kept = []
+        for p, a, b in sorted(x):
+            a = max(1, a - 2)
+            b = min(b + 2, a + 119)
+            if all(b < y or a > z for _, y, z in kept):
+                kept.append((p, a, b))
+        want += [(f, *k) for k in kept]
+    assert sorted(run(spark, "fragment_merge")) == sorted(want)
