@@ -146,19 +146,27 @@ def kappa_by_stratum(spark, sf_dir):
     return V.kappa(_judged(spark, sf_dir), "quality", "toxic", ["language"])
 
 
-@query(
+@part(
     """WITH r AS (SELECT o_custkey AS case_id, 'clerk' || (o_orderkey % 3) AS reviewer, max(CASE WHEN o_totalprice > 150000 THEN 'YES' ELSE 'NO' END) AS label FROM orders WHERE o_custkey % 10 = 1 GROUP BY ALL),
 p AS (SELECT case_id, string_agg(reviewer, '/' ORDER BY reviewer) AS raters, min_by(label, reviewer) AS a, max_by(label, reviewer) AS b FROM r GROUP BY case_id HAVING count(*) = 2),
 n AS (SELECT raters, count(*)::BIGINT AS n, count(*) FILTER (a = b)::BIGINT AS agree, count(*) FILTER (a = 'YES') * count(*) FILTER (b = 'YES') + count(*) FILTER (a = 'NO') * count(*) FILTER (b = 'NO') AS ch FROM p GROUP BY raters)
 SELECT raters, n, agree, agree::DOUBLE / n::DOUBLE AS observed, ch::DOUBLE / (n * n)::DOUBLE AS expected, (n * agree - ch)::DOUBLE / nullif(n * n - ch, 0)::DOUBLE AS kappa FROM n"""
 )
-def kappa_rater_pairs(spark, sf_dir):
+def kappa_rater_pairs_part(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").filter("o_custkey % 10 = 1")
     label = F.max(F.when(F.col("o_totalprice") > 150000, "YES").otherwise("NO"))
     reviews = rows.groupBy(F.col("o_custkey").alias("case_id"), F.concat(F.lit("clerk"), F.col("o_orderkey") % 3).alias("reviewer")).agg(label.alias("label"))
     return V.kappa(V.reviewer_pairs(reviews), "a", "b", ["raters"])
 
 
+@query()
+def kappa_rater_pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    label = F.max(F.when(F.col("o_totalprice") > 150000, "YES").otherwise("NO"))
+    reviews = rows.groupBy(F.col("o_custkey").alias("case_id"), F.concat(F.lit("clerk"), F.col("o_orderkey") % 3).alias("reviewer")).agg(label.alias("label"))
+    return V.kappa(V.reviewer_pairs(reviews), "a", "b", ["raters"])
+
+
 @query(
     """, f AS (SELECT family, row_number() OVER (ORDER BY sha256('s1:' || family), family) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT family FROM judged))
 SELECT family, CASE WHEN r <= greatest(n // 5, 1) THEN 'TEST' WHEN r <= 2 * greatest(n // 5, 1) THEN 'VALIDATION' ELSE 'TRAIN' END AS split FROM f""",
@@ -178,18 +186,25 @@ def split_leakage(spark, sf_dir):
     return V.leakage(rows, "content")
 
 
-@query(
+@part(
     """WITH c AS (SELECT c_custkey, string_agg(DISTINCT o_orderpriority || '|' || o_orderstatus, ',' ORDER BY o_orderpriority || '|' || o_orderstatus) AS sig
   FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderkey % 5 = 0 GROUP BY c_custkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY sha256('s2:' || c_custkey), c_custkey) AS r, count(*) OVER (PARTITION BY sig) AS n FROM c)
 SELECT c_custkey, CASE WHEN n = 1 OR r <= greatest(1, least(n - 1, floor(n * 0.75))) THEN 'TRAIN' ELSE 'TEST' END AS split FROM r"""
 )
-def grouped_split(spark, sf_dir):
+def grouped_split_part(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").withColumnRenamed("o_custkey", "c_custkey")
     rows = rows.join(table(spark, sf_dir, "customer"), "c_custkey")
     return V.grouped_split(rows, "c_custkey", ["o_orderpriority", "o_orderstatus"], "s2")
 
 
+@query()
+def grouped_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    rows = rows.join(table(spark, sf_dir, "customer"), "c_custkey")
+    return V.grouped_split(rows, "c_custkey", ["o_orderpriority", "o_orderstatus"], "s2")
+
+
 @query(
     """WITH d AS (SELECT doc_id, n_chars, sha256(doc_id::VARCHAR) AS h FROM documents), t AS (SELECT *, (3 * (row_number() OVER (ORDER BY n_chars, h) - 1)) // (SELECT count(*) FROM d) AS t FROM d),
 i AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY h) AS i FROM t)
@@ -257,11 +272,11 @@ def construction_intent(spark, sf_dir):
     return V.intent_diagnostic(rows, "o_custkey")
 
 
-@query(
+@part(
     """WITH p AS (SELECT o_orderkey, o_orderpriority AS r, o_orderkey % 4 AS a, o_custkey % 3 AS b FROM orders WHERE o_orderkey % 6 = 0)
 SELECT o_orderkey AS prediction_id, CASE WHEN r = '1-URGENT' OR (a IN (0, 1) AND b IN (0, 1)) THEN 'scoped_extra_fp' ELSE 'out_of_scope' END AS scope FROM p"""
 )
-def scoped_extras(spark, sf_dir):
+def scoped_extras_part(spark, sf_dir):
     part = lambda head, c, n: F.concat(F.lit(f"{head}/d"), (F.col(c) % n).cast("string"), F.lit("/f.java"))
     rows = table(spark, sf_dir, "orders").filter("o_orderkey % 6 = 0")
     rows = rows.select(F.col("o_orderkey").alias("prediction_id"), F.col("o_orderpriority").alias("rule_id"), F.array(part("a", "o_orderkey", 4), part("b", "o_custkey", 3)).alias("paths"))
@@ -270,6 +285,16 @@ def scoped_extras(spark, sf_dir):
     return V.scoped_extras(rows, rules, known).select("prediction_id", "scope")
 
 
+@query()
+def scoped_extras(spark, sf_dir):
+    part = lambda head, c, n: F.concat(F.lit(f"{head}/d"), (F.col(c) % n).cast("string"), F.lit("/f.java"))
+    rows = table(spark, sf_dir, "orders")
+    rows = rows.select(F.col("o_orderkey").alias("prediction_id"), F.col("o_orderpriority").alias("rule_id"), F.array(part("a", "o_orderkey", 4), part("b", "o_custkey", 3)).alias("paths"))
+    rules = spark.createDataFrame([("1-URGENT",)], "rule_id string")
+    known = spark.createDataFrame([(x,) for x in ("a/d0", "a/d1", "b/d0", "b/d1", "zz")], "prefix string")
+    return V.scoped_extras(rows, rules, known).select("prediction_id", "scope")
+
+
 @query(
     """WITH e AS (SELECT o_custkey AS c, o_orderkey % 4 AS r, o_orderkey AS seq, CASE WHEN o_orderkey % 10 = 0 THEN 'ADJUDICATOR' ELSE 'REVIEWER' END AS role, CASE WHEN o_orderkey % 7 = 0 THEN -1 END AS odd FROM orders),
 l AS (SELECT *, lag(seq) OVER (PARTITION BY c, r, role ORDER BY seq) AS last FROM e)

@@ -165,6 +165,9 @@ CONDITIONS = {
     "arity_join": " WHERE o_orderkey % 10 = 3",
     "model_violations": " WHERE o_orderkey % 50 = 7",
     "evidence_alignment": " WHERE c_custkey % 15 = 0",
+    "kappa_rater_pairs": " WHERE o_custkey % 10 = 1",
+    "grouped_split": " WHERE o_orderkey % 5 = 0",
+    "scoped_extras": " WHERE o_orderkey % 6 = 0",
 }
 
 
