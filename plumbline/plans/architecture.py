@@ -270,7 +270,7 @@ def path_lengths_part(spark, sf_dir):
 
 @query()
 def path_lengths(spark, sf_dir):
-    s = relation(spark, sf_dir, "user_vertex").filter("v % 10 = 3").select(F.col("v").alias("s"))
+    s = relation(spark, sf_dir, "user_vertex").select(F.col("v").alias("s"))
     return G.distances(s, relation(spark, sf_dir, "follow"), 6).drop("paths")
 
 
@@ -376,10 +376,9 @@ k AS (SELECT subject, top, count(*) AS n, min(role) AS role FROM g JOIN t USING
 SELECT subject, CASE WHEN top < 2 OR n > 1 THEN 'UNKNOWN' ELSE role END AS role, top AS strength, CASE WHEN top < 2 THEN 'UNKNOWN' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status FROM k"""
 
 
-def _evidence(spark, sf_dir):
+def _evidence(customers):
     pick = lambda n, *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("c_custkey") % n + 1).cast("int"))
-    rows = table(spark, sf_dir, "customer").filter("c_custkey % 4 = 1")
-    return rows.select(
+    return customers.select(
         F.col("c_nationkey").alias("subject"),
         pick(3, "SERVICE", "REPOSITORY", "CONTROLLER").alias("role"),
         F.when(F.col("c_custkey") % 5 == 0, 2).otherwise(1).alias("strength"),
@@ -387,9 +386,14 @@ def _evidence(spark, sf_dir):
     )
 
 
-@query(_EVIDENCE.replace(", ev", "WITH ev", 1))
+@part(_EVIDENCE.replace(", ev", "WITH ev", 1))
+def role_arbitration_part(spark, sf_dir):
+    return D.arbitrate(_evidence(table(spark, sf_dir, "customer").filter("c_custkey % 4 = 1")))
+
+
+@query()
 def role_arbitration(spark, sf_dir):
-    return D.arbitrate(_evidence(spark, sf_dir))
+    return D.arbitrate(_evidence(table(spark, sf_dir, "customer")))
 
 
 @query(

@@ -88,7 +88,8 @@ def test_neighbourhoods_of_all_successors(spark, follows):
     reach = dict(levels(*follows))
     assert dict(run(spark, "k_hop")) == {v: d for v, d in reach[1].items() if d <= 4}
     got = {(s, v): d for s, v, d in run(spark, "path_lengths")}
-    for s in {s for s, _ in got}:
+    assert {s for s, _ in got} == follows[0]
+    for s in follows[0]:
         assert {v: d for (t, v), d in got.items() if t == s} == {v: d for v, d in reach[s].items() if d <= 6}
 
 
@@ -168,6 +169,7 @@ CONDITIONS = {
     "kappa_rater_pairs": " WHERE o_custkey % 10 = 1",
     "grouped_split": " WHERE o_orderkey % 5 = 0",
     "scoped_extras": " WHERE o_orderkey % 6 = 0",
+    "role_arbitration": " WHERE c_custkey % 4 = 1",
 }
 
 
