@@ -295,6 +295,14 @@ def pagerank_six_rounds(spark, sf_dir):
     return ranks.select("v", F.round("rank", 9).alias("rank"))
 
 
+@query()
+def pagerank(spark, sf_dir):
+    ranks, converged = G.pagerank(relation(spark, sf_dir, "user_vertex"), relation(spark, sf_dir, "follow"))
+    if not converged:
+        raise RuntimeError("ranks did not converge")
+    return ranks
+
+
 @part(
     """, w(s, v, d) AS (SELECT v, v, 0 FROM component UNION SELECT s, dst, d + 1 FROM w JOIN arc ON v = src WHERE d < 24),
 d AS MATERIALIZED (SELECT s, v, min(d) AS d FROM w GROUP BY s, v),

@@ -109,6 +109,10 @@ def test_ranks_of_all_successors(spark, follows):
     assert dict(run(spark, "pagerank_six_rounds")) == pytest.approx(ranks(*follows, 6), abs=2e-9)
 
 
+def test_converged_ranks(spark, follows):
+    assert dict(run(spark, "pagerank")) == pytest.approx(ranks(*follows, 300), abs=1e-8)
+
+
 def test_selection_and_difference_of_all_successors(spark, con, follows):
     pairs = follows[1]
     best = {}
