@@ -31,32 +31,53 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A session without one (tests, a laptop) gets a temporary folder."""
+    """The folder all executors share. A local session without one (tests, a laptop) gets a temporary folder; on a
+    cluster there is no other folder that all can see, so it must be set."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
 #: With this setting the shuffle files of a finished statement go at once, not when the driver collects its garbage.
+#: It is set once and stays: each statement only loses its own files, at its own end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a table written to the shared folder and read back: lineage ends here, and a lost executor costs the
-    re-reading of a file. The shuffle files of the write are removed when it is done."""
+    re-reading of a file. The table is removed when the session ends, or by forget()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    where, fs = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Removes a table of written() that nothing reads any more; other frames are left alone."""
+    path = getattr(table, "_written_to", None)
+    if path:
+        remove(table.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
