@@ -13,11 +13,12 @@ in the part, is ascending document order. Spark's commit protocol makes a lost e
 
 The tokenizer is handed each distinct piece once (see pieces): as pieces never merge across their borders, a
 text's ids are the ids of its pieces one after the other. Pieces without inner white space are handed over many
-at a time, with line breaks between them.
+at a time, with line breaks between them. A text that holds one of the tokenizer's added tokens (such as
+<|endoftext|>) goes to the library whole, so it gets the id of that token, as the library's default is.
 
 Cases: a null text is an empty document (only the end id); a null doc_id sorts first; repeated doc_ids stay
-separate documents, in one part; an empty table gives no blocks; very long texts are encoded whole; other
-columns are not read.
+separate documents next to each other, in any number of parts; an empty table gives no blocks; very long texts are
+encoded whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import remove, shared_dir
 from .pieces import WHITE_SPACE, PieceCache, encoded_rows
 
 MAGIC = b"PLT1"
@@ -53,7 +54,6 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     (line,) = tok.encode("\n", add_special_tokens=False).ids
     inner = {chr(c) for c in WHITE_SPACE}
 
@@ -83,7 +83,22 @@ def _tokenizer(path: str):
         begin = np.cumsum(size) - size
         return flat[np.repeat(at - begin, size) + np.arange(len(flat))], size.astype(np.int32)
 
-    return tok, PieceCache(encode)
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    return tok, PieceCache(encode), added
+
+
+def _whole(tok, added: list[str], texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids and sizes with those of texts that hold an added token replaced by what the library gives for the whole
+    text, as it looks for added tokens before it cuts a text into pieces."""
+    own = [i for i, t in enumerate(texts) if any(a in t for a in added)]
+    if not own:
+        return ids, sizes
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    sizes = sizes.copy()
+    for i in own:
+        parts[i] = np.asarray(tok.encode(texts[i], add_special_tokens=False).ids, ids.dtype)
+        sizes[i] = len(parts[i])
+    return np.concatenate(parts), sizes
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, parts: int, width: int) -> DataFrame:
@@ -92,9 +107,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int, parts: int, width: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        _, cache = _tokenizer(path)
+        tok, cache, added = _tokenizer(path)
         part, start = TaskContext.get().partitionId(), 0
-        for rows, _, ids, sizes in encoded_rows(batches, cache, 1):
+        for rows, texts, ids, sizes in encoded_rows(batches, cache, 1):
+            ids, sizes = _whole(tok, added, texts, ids, sizes)
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, end_id).astype(f"<u{width}")
             upto = np.append(0, np.cumsum(sizes + 1))
@@ -108,8 +124,11 @@ def tokenized(docs: DataFrame, path: str, end_id: int, parts: int, width: int) -
             )
             start += int(upto[-1])
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-    return ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(run, TOKEN_SCHEMA)
+    # rows that share an id may go to any part next to each other: by their text, then by where they were read
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("_row")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ranged.select("doc_id", "text").mapInArrow(run, TOKEN_SCHEMA)
 
 
 def rank_ids(tokens: DataFrame, width: int) -> np.ndarray:
@@ -194,7 +213,7 @@ def to_blocks(tokens: DataFrame, ranked: np.ndarray, width: int, block_ids: int
         own: list = []  # part, start, doc ids, sizes, ids of the block being filled
         for batch in batches:
             for part, start, doc, n, ids in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if own and (own[0] != part or own[1] + sum(own[3]) != start or own[5] >= block_ids):
+                if own and (own[0] != part or own[1] + own[5] != start or own[5] >= block_ids):
                     yield block(*own[:5])
                     own = []
                 if not own:
@@ -222,12 +241,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
     table.coalesce(1).write.parquet(f"{out}/ranks")
     blocks = to_blocks(tokens, ranked, width)
     blocks.write.option("compression", "zstd").partitionBy("part").parquet(f"{out}/blocks")
-    _remove(spark, work)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, work)
 
 
 def read_tokens(spark: SparkSession, out: str) -> tuple[DataFrame, np.ndarray, dict[int, int]]:
