@@ -80,9 +80,6 @@ def id_array(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column, NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def id_column(ids: np.ndarray) -> pa.Array:
-    return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
-
 
 def batch_words(batch: pa.RecordBatch, text_at: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a batch, and the number of words of each text; in blocks of bounded size."""
@@ -134,30 +131,32 @@ def _unplanes(data: bytes, at: int, count: int, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{n}").reshape(-1)
 
 
-def pack(hashes: np.ndarray, docs: np.ndarray, pos: np.ndarray, hash_bytes: int) -> bytes:
-    """Records in the order of documents and positions as a byte string."""
-    lead = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(lead, len(docs)))
+def pack(hashes: np.ndarray, rows: np.ndarray, docs: np.ndarray, pos: np.ndarray, hash_bytes: int) -> bytes:
+    """Records in the order of rows and positions as a byte string. All records of a row have its document."""
+    lead = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(lead, len(rows)))
     step = np.diff(pos, prepend=0)
     step[lead] = pos[lead]
-    ids = np.diff(docs[lead], prepend=0).astype(np.int64)
+    names = [np.diff(x[lead], prepend=0).astype(np.int64).view(np.uint64) for x in (rows, docs)]
     raw = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :hash_bytes]).tobytes()
-    head = np.array([len(docs), len(lead)], "<u4").tobytes()
-    return b"".join([head, _planes(ids.view(np.uint64), 8), _planes(counts, 4), _planes(step, 4), raw])
+    head = np.array([len(rows), len(lead)], "<u4").tobytes()
+    return b"".join([head, *[_planes(x, 8) for x in names], _planes(counts, 4), _planes(step, 4), raw])
 
 
-def unpack(data: bytes, hash_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(data: bytes, hash_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hashes, rows, documents, positions."""
     n, k = np.frombuffer(data, "<u4", 2).tolist()
     at = 8
-    docs = np.cumsum(_unplanes(data, at, k, 8).view(np.int64))
-    counts = _unplanes(data, at + 8 * k, k, 4).astype(np.int64)
-    step = _unplanes(data, at + 12 * k, n, 4).astype(np.int64)
+    rows, docs = (np.cumsum(_unplanes(data, at + 8 * k * i, k, 8).view(np.int64)) for i in range(2))
+    at += 16 * k
+    counts = _unplanes(data, at, k, 4).astype(np.int64)
+    step = _unplanes(data, at + 4 * k, n, 4).astype(np.int64)
     lead = np.cumsum(counts) - counts
     run = np.cumsum(step)
     pos = run - np.repeat(run[lead] - step[lead], counts)
     hashes = np.zeros((n, 8), np.uint8)
-    hashes[:, :hash_bytes] = np.frombuffer(data, np.uint8, n * hash_bytes, at + 12 * k + 4 * n).reshape(n, hash_bytes)
-    return hashes.view("<u8").reshape(-1), np.repeat(docs, counts), pos
+    hashes[:, :hash_bytes] = np.frombuffer(data, np.uint8, n * hash_bytes, at + 4 * k + 4 * n).reshape(n, hash_bytes)
+    return hashes.view("<u8").reshape(-1), np.repeat(rows, counts), np.repeat(docs, counts), pos
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
