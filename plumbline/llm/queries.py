@@ -116,7 +116,7 @@ FROM p QUALIFY rank <= 5
 
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, source, len({WORD_SQL})::BIGINT AS size,
-             md5(concat_ws('|', 'mix', doc_id::VARCHAR, coalesce(text, ''))) AS u FROM documents),
+             md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, '-'), coalesce(text, ''))) AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM s),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][pos % 3 + 1] AS w, source_size * 2.0::DOUBLE AS cap FROM n),
@@ -124,15 +124,15 @@ l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE
         - coalesce(sum(cap) OVER (ORDER BY cap / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(w) OVER (ORDER BY cap / w, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
 t AS (SELECT source, source_size, pos, w, least(cap, max(lv) OVER () * w) AS target FROM l),
-c AS (SELECT d.*, t.source_size, t.target, t.pos, t.w,
-        sum(size) OVER (PARTITION BY t.pos ORDER BY u ROWS UNBOUNDED PRECEDING) AS cum
+e AS (SELECT d.*, t.source_size, t.target, t.pos, t.w, row_number() OVER (PARTITION BY t.pos, u) AS j
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, sum(size) OVER (PARTITION BY pos ORDER BY u, j ROWS UNBOUNDED PRECEDING) AS cum FROM e),
 k AS (SELECT c.*, (cum + source_size * p)::DOUBLE / w AS f FROM c, (VALUES (0), (1)) AS x(p)),
-o AS (SELECT *, sum(size) OVER (ORDER BY f, pos, u ROWS UNBOUNDED PRECEDING) AS upto FROM k)
+o AS (SELECT *, sum(size) OVER (ORDER BY f, pos, u, j ROWS UNBOUNDED PRECEDING) AS upto FROM k)
 SELECT doc_id, size, source_size, target,
   (size * count(*) FILTER (upto <= (SELECT sum(size) * 1.5::DOUBLE FROM d)))::BIGINT AS taken, source,
   (count(*) FILTER (upto <= (SELECT sum(size) * 1.5::DOUBLE FROM d)))::INTEGER AS copies
-FROM o GROUP BY doc_id, size, source_size, target, source, u
+FROM o GROUP BY doc_id, size, source_size, target, source, pos, u, j
 """
 
 
