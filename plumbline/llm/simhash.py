@@ -10,15 +10,16 @@ and 2 bits: three segments, 27 bits, seven keys a fingerprint). The longer prefi
 the join condition, the whole ring last, which is the full Hamming check. All on distinct fingerprints, so
 exact copies, however many, are one vertex.
 
-Crowded keys: a key with more than `crowd` fingerprints makes no pairs. Its fingerprints instead meet at midpoints:
-each sends itself and its 64 one-bit neighbours; those that differ in 1 or 2 bits share such a point, and all
-at one point differ in at most 2. A point has at most 65 fingerprints, so this is linear and loses no link. (For
-`bits` other than 2 crowded keys are joined like others.)
+Crowded keys: a key with more than `crowd` fingerprints is not joined by itself, as that would make all pairs of them.
+The chain goes on instead: the segments after the key may differ in one bit up to the last segment whose budget is 1 (7
+segments and 2 bits: six segments, 55 bits), so one side sends these bits as they are, and with each of the free ones
+flipped, and the equi-join is over all of them. So few bits are left that what meets is nearly always a link; the work is
+one row a free bit, and no link is lost, for any number of bits.
 
 Cases: a null or empty text, or one without words, has fingerprint zero and is linked as any other; of one or two
 words the whole sequence is the only shingle; null doc_ids take part and name no component unless all ids in
-it are null (component null); repeated rows share a fingerprint; very long texts are read whole; an empty table
-gives an empty table.
+it are null (component null); repeated rows share a fingerprint, and keep_one() tells rows apart by their own numbers;
+very long texts are read whole; an empty table gives an empty table; extra columns of any name pass through keep_one().
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, fresh, written
 from .graphs import components
@@ -73,21 +75,27 @@ def ring(segments: int, bits: int) -> tuple[list[int], list[int]]:
     return [64 * i // segments for i in range(segments + 1)], [bits * n // segments for n in range(1, segments + 1)]
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
 def _mask(start: int, n: int) -> int:
     """n bits from start on, around the ring, as a signed 64-bit number."""
-    mask = sum(1 << ((start + i) % 64) for i in range(n))
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
+    return _signed(sum(1 << ((start + i) % 64) for i in range(n)))
 
 
 def _differences(a: Column, b: Column, mask: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(mask)))
 
 
-def links(distinct: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64) -> DataFrame:
-    """distinct: (fp), each once. Edges (a, b) between fingerprints within `bits` bits whose components are those of
-    all such links: every pair from uncrowded keys, stars around midpoints from crowded ones."""
+def candidates(distinct: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64) -> DataFrame:
+    """distinct: (fp), each once. Pairs (a, b), a < b, possibly repeated, that a chain of segments lets through; among them are
+    all pairs within `bits` bits."""
+    if not 0 <= bits < segments:
+        raise ValueError("there must be more segments than bits")
     offsets, budget = ring(segments, bits)
     lead = sum(b == 0 for b in budget)  # segments that must be equal
+    reach = max(n for n in range(1, segments + 1) if budget[n - 1] <= 1)  # segments with one difference at most
 
     def end(i: int, n: int) -> int:
         return offsets[i + n] - offsets[i] if i + n <= segments else 64 - offsets[i] + offsets[i + n - segments]
@@ -97,45 +105,74 @@ def links(distinct: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64
     keyed = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.i", "k.key")
     crowded = keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd)
     crowded = checkpointed(crowded.select("i", "key"))
-    rest, edges = keyed, None
-    if bits == 2:
-        rest = keyed.join(crowded, ["i", "key"], "left_anti")
-        inside = keyed.join(crowded, ["i", "key"], "left_semi").select("fp").distinct()
-        points = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-        meet = inside.select("fp", F.explode(points).alias("at")).groupBy("at").agg(F.collect_list("fp").alias("fps"))
-        meet = meet.filter(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
-        edges = meet.filter("a != b")
+
+    def chain(x: Column, y: Column, i: Column, known: int) -> Column:
+        """Longer chains than the `known` segments, that the key has seen to; the whole ring is the last."""
+        found = F.lit(False)
+        for at in range(segments):
+            own = i == at
+            for n in range(known + 1, segments + 1):
+                if n == segments or budget[n] > budget[n - 1]:  # shorter chains of the same budget follow
+                    own = own & (_differences(x, y, masks[at][n - 1]) <= budget[n - 1])
+            found = found | own
+        return found
+
+    rest = keyed.join(crowded, ["i", "key"], "left_anti")
     a, b = rest.alias("a"), rest.alias("b")
     x, y = F.col("a.fp"), F.col("b.fp")
-    chain = F.lit(False)
-    for i in range(segments):
-        own = F.col("a.i") == i
-        for n in range(lead + 1, segments + 1):
-            if n == segments or budget[n] > budget[n - 1]:  # shorter chains of the same budget follow
-                own = own & (_differences(x, y, masks[i][n - 1]) <= budget[n - 1])
-        chain = chain | own
-    pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.key") == F.col("b.key")) & (x < y) & chain)
+    pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.key") == F.col("b.key")) & (x < y) & chain(x, y, F.col("a.i"), lead))
     pairs = pairs.select(x.alias("a"), y.alias("b"))
-    return (pairs if edges is None else pairs.union(edges)).distinct()
+    # the key of `reach` segments; one side sends itself and all that differ from it in one of the bits after the lead
+    full = F.element_at(F.array(*[F.lit(masks[i][reach - 1]) for i in range(segments)]), F.col("i") + 1)
+    free = [[_signed(1 << ((offsets[i] + k) % 64)) for k in range(end(i, lead), end(i, reach))] if budget[reach - 1] else [] for i in range(segments)]
+    flips = F.element_at(F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(x) for x in own]) for own in free]), F.col("i") + 1)
+    inside = keyed.join(crowded, ["i", "key"], "left_semi").select("fp", "i", F.col("fp").bitwiseAND(full).alias("long"))
+    asked = inside.select("fp", "i", F.explode(F.transform(flips, lambda z: F.col("long").bitwiseXOR(z))).alias("long"))
+    a, b = asked.alias("a"), inside.alias("b")
+    near = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.long") == F.col("b.long")) & (x != y))
+    near = near.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    return pairs.union(near)
+
+
+def links(distinct: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64) -> DataFrame:
+    """All pairs (a, b), a < b, of fingerprints within `bits` bits, each once."""
+    found = candidates(distinct, bits, segments, crowd)
+    return found.filter(_differences(F.col("a"), F.col("b"), -1) <= bits).distinct()
+
+
+def _labelled(distinct: DataFrame, bits: int, segments: int, crowd: int) -> DataFrame:
+    """distinct: (fp, least). (fp, component): the smallest `least` that is reachable, nulls last."""
+    labels = components(links(distinct.select("fp"), bits, segments, crowd))
+    named = distinct.join(labels.withColumnRenamed("v", "fp"), "fp", "left")
+    linked = named.filter(F.col("label").isNotNull())
+    least = linked.groupBy("label").agg(F.min("least").alias("component"))
+    linked = linked.select("fp", "label").join(least, "label").select("fp", "component")
+    return linked.union(named.filter(F.col("label").isNull()).select("fp", F.col("least").alias("component")))
 
 
 def classes(docs: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of every document."""
     marked = written(fingerprints(docs))
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = components(links(distinct.select("fp"), bits, segments, crowd))
-    named = distinct.join(labels.withColumnRenamed("v", "fp"), "fp", "left")
-    linked = named.filter(F.col("label").isNotNull())
-    least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = linked.select("fp", "label").join(least, "label").select("fp", "component_id")
-    single = named.filter(F.col("label").isNull()).select("fp", F.col("least").alias("component_id"))
-    table = linked.union(single)
-    return marked.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    table = _labelled(distinct, bits, segments, crowd)
+    return marked.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64) -> DataFrame:
-    """The document with the smallest doc_id of each component; rows that repeat its doc_id stay with it."""
-    found = classes(docs, bits, segments, crowd)
-    name = fresh(*docs.columns, base="_stay")
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    """One row of each component: that of the smallest doc_id, nulls last; among rows that share it, the first as read."""
+    row, fp = fresh(*docs.columns, base="_row"), fresh(*docs.columns, base="_fp")
+    columns = docs.columns
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.append_column(fp, pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)))
+
+    marked = written(numbered.mapInArrow(run, T.StructType([*numbered.schema.fields, T.StructField(fp, T.LongType())])))
+    # as structs are compared field by field and nulls come first: whether there is an id, the id, the row
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"))
+    distinct = written(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("least")))
+    name = fresh(*columns, base="_stay")
+    stay = _labelled(distinct, bits, segments, crowd).select(F.col("component.row").alias(name)).distinct()
+    return marked.join(stay, F.col(row) == F.col(name), "left_semi").select(*columns)
