@@ -13,7 +13,8 @@ neither further in, so none can arise where a text meets the template. The loss
 
 Cases: a null text or role is empty; a message whose parent is missing from the table, or that is null, starts a tree;
 a cycle of parents has no root and gives no conversation; repeated rows of a conversation table are turns of their own; ties in
-turn are ordered by role, then text, nulls first; an empty table gives no conversation; extra columns are not read.
+turn are ordered by role, then text, nulls first; very long texts are formatted whole, and a conversation is one row, so it must
+fit a task; an empty table gives no conversation; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     # a parent that is not there makes a root
     links = links.join(own, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("m")), "left")
     links = checkpointed(links.select("tree", "message", F.col("m").alias("up")))
-    depth = links.filter("up is null").select("tree", "message", F.lit(0).cast("long").alias("depth"))
+    depth = checkpointed(links.filter("up is null").select("tree", "message", F.lit(0).cast("long").alias("depth")))
     climbing, jumps = links.filter("up is not null"), []
     bound = math.ceil(math.log2(max(2, links.count()))) + 1
     # only messages that have not met their root climb on; what is left after `bound` rounds hangs on a cycle
@@ -66,9 +67,8 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         there = there.union(depth.select("tree", "message", F.lit(None).cast(messages.schema["parent"].dataType), "depth"))
         near = climbing.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")))
         near = checkpointed(near.select("tree", "message", "further", (F.col("below") + 2**k).alias("depth")))
-        depth = depth.union(near.filter("depth is not null").select("tree", "message", "depth"))
+        depth = checkpointed(depth.union(near.filter("depth is not null").select("tree", "message", "depth")))
         climbing = near.filter("further is not null").select("tree", "message", F.col("further").alias("up"))
-    depth = checkpointed(depth)
     inner = messages.select(F.col("tree").alias("t"), F.col("parent").alias("m")).filter("m is not null").distinct()
     same = lambda a, b: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.message") == F.col(f"{b}.message"))
     scored = messages.select("tree", "message", "score").alias("s").join(depth.alias("d"), same("s", "d")).select("s.tree", "s.message", "score", "depth")
@@ -79,9 +79,8 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     for k in range(len(jumps)):  # after round k, all ancestors up to 2**(k+1) - 1 steps away are there
         step = jumps[k].select(F.col("tree").alias("t"), F.col("message").alias("m"), "up")
         above = paths.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("m")))
-        paths = paths.union(above.select("tree", "leaf", F.col("up").alias("message"), (F.col("depth") - 2**k)))
-        if k % 4 == 3:
-            paths = checkpointed(paths)
+        # each round starts from a table, so that plans do not double with it
+        paths = checkpointed(paths.union(above.select("tree", "leaf", F.col("up").alias("message"), (F.col("depth") - 2**k))))
     return paths
 
 
