@@ -7,13 +7,13 @@ bit counts of (word AND plane); divided by f it estimates the cosine, with an er
 `epsilon` * sqrt((1 - f^2) / f^2 / (D - 1)) with high probability, plus the rounding of the planes. Vectors whose upper
 bound reaches the k-th best exact cosine so far are reranked exactly, in double precision on the original vectors.
 
-Every row is indexed, and every query sees every row's code: data rows go to hash blocks, queries to blocks of
-`query_block`, and each pair of blocks is a cell that streams its rows, so memory is bounded by a query block
+Every row is indexed, that is coded once and written with its scalar, and every query sees every row's code: data rows go to
+hash blocks, queries to blocks of `query_block`, and each pair of blocks is a cell, one partition, that streams its rows, so memory is bounded by a query block
 and a batch. Cells return k rows a query; a window keeps the best k. Among equal vectors only the k + 1 smallest
 ids of a batch can be in a result, so a vector that is everywhere costs no more than others.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of another
-dimension than the most common one (ties: the larger); equal cosines go to the smaller id; rows with a null id take no
+dimension than the most common one (ties: the larger); components of any size are scaled exactly; equal cosines go to the smaller id; rows with a null id take no
 part; a query's own row, told by its id, is no candidate; fewer than k candidates are all returned; extra columns
 are not read.
 """
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .common import written
@@ -101,10 +102,9 @@ class Cell:
         self.queries += [Query(v, self.turn) for v in vectors]
         self.best += [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
 
-    def add_rows(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add_rows(self, ids: np.ndarray, vectors: np.ndarray, words: np.ndarray, f: np.ndarray) -> None:
         keep = distinct_rows(ids, vectors, self.k)
-        ids, vectors = ids[keep], vectors[keep]
-        words, f = encode(vectors, self.turn)
+        ids, vectors, words, f = ids[keep], vectors[keep], words[keep], f[keep]
         ones = np.bitwise_count(words).sum(1, dtype=np.int64)
         error = self.epsilon * np.sqrt(np.maximum(1 - f * f, 0) / (f * f) / (len(self.turn) - 1))
         for i, query in enumerate(self.queries):
@@ -129,6 +129,31 @@ class Cell:
         return score[order], own[order]
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """vectors in double precision, each times the power of two that brings its largest component to about 1. This is exact
+    and changes no cosine, but sums of squares neither over- nor underflow."""
+    vectors = vectors.astype(np.float64)
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, dim)
+
+
+def indexed(rows: DataFrame, dim: int, turn: np.ndarray) -> DataFrame:
+    """rows (id, v, q) of one dimension with their codes (binary) and correction scalars f: the index, coded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                words, f = encode(scaled(_matrix(batch.column(1), dim)), turn)
+                size = words.shape[1] * 8
+                codes = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((np.arange(len(batch) + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
+                yield pa.record_batch([*batch.columns, codes, pa.array(f)], names=["id", "v", "q", "code", "f"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("f", T.DoubleType())]))
+
+
 def usable(vector: Column) -> Column:
     """True for vectors that take part, but for their dimension."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -146,22 +171,25 @@ def search(
     data_block: int = 20_000,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row, nearest first."""
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"), is_query.alias("q"))
-    rows = written(rows.filter(F.col("id").isNotNull() & usable(F.col("v"))))
+    # 4-byte components stay such, which halves what is shuffled; sums are made of 8-byte ones
+    kind = vectors.schema[vector_column].dataType
+    v = F.col(vector_column) if getattr(kind, "elementType", None) == T.FloatType() else F.col(vector_column).cast("array<double>")
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v"), is_query.alias("q"))
+    rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v")))
     schema = "query_id long, vec_id long, score double"
     dims = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("q"))
     top = dims.orderBy(F.col("n").desc(), F.col("d").desc()).first()
     dim, n, n_queries = (top["d"], top["n"], top["q"] or 0) if top else (1, 0, 0)
-    rows = rows.filter(F.size("v") == dim)
+    turn = rotation(dim)
+    rows = written(indexed(rows.filter(F.size("v") == dim), dim, turn))
     blocks = max(1, -(-n // data_block), min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 500)))
     groups = max(1, -(-n_queries // query_block))
     # each query goes to all data blocks, each row to all query blocks
     side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     of = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    asked = rows.filter("q").select(of(1, groups).alias("g"), side(blocks).alias("b"), F.lit(0).alias("kind"), "id", "v")
-    data = rows.select(side(groups).alias("g"), of(2, blocks).alias("b"), F.lit(1).alias("kind"), "id", "v")
-    cells = asked.union(data).select((F.col("g") * blocks + F.col("b")).alias("cell"), "kind", "id", "v")
-    turn = rotation(dim)
+    asked = rows.filter("q").select(of(1, groups).alias("g"), side(blocks).alias("b"), F.lit(0).alias("kind"), "id", "v", "code", "f")
+    data = rows.select(side(groups).alias("g"), of(2, blocks).alias("b"), F.lit(1).alias("kind"), "id", "v", "code", "f")
+    cells = asked.union(data).select((F.col("g") * blocks + F.col("b")).alias("cell"), "kind", "id", "v", "code", "f")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, now = None, None
@@ -183,11 +211,15 @@ def search(
                         yield result(cell)
                     cell, now = Cell(k, turn, epsilon), own[a]
                 part = batch.slice(a, b - a)
-                x = part.column(3).flatten().to_numpy().reshape(-1, dim)
-                (cell.add_rows if kind[a] else cell.add_queries)(part.column(2).to_numpy(), x)
+                ids, x = part.column(2).to_numpy(), scaled(_matrix(part.column(3), dim))
+                if kind[a]:
+                    words = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(part), -1)
+                    cell.add_rows(ids, x, words, part.column(5).to_numpy())
+                else:
+                    cell.add_queries(ids, x)
         if cell is not None:
             yield result(cell)
 
-    found = cells.repartition(blocks * groups, "cell").sortWithinPartitions("cell", "kind").mapInArrow(run, schema)
+    found = cells.repartitionById(blocks * groups, F.col("cell")).sortWithinPartitions("cell", "kind").mapInArrow(run, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
