@@ -6,12 +6,14 @@ the same weights. A url's features are the n-grams (3 to 5 characters) of its ho
 path, each once; its logit is bias + (sum of weights) / sqrt(number of n-grams). Scoring is a narrow map over batches.
 
 Cases: a null url, or one without ://, has empty host and path, no rule, and the verdict of the bias; repeated
-rows are judged alike; very long urls are read whole; only the id and url columns are read, others may be there.
+rows are judged alike; of rules that fit and are equally long the one named last counts; very long urls are read whole; an
+empty table gives an empty table; only the id and url columns are read, others may be there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import STEP, mixed
-from .wordarrays import _BYTE_VALUES, text_bytes
+from .pieces import STEP, char_values, code_points, mixed
 
 ORDERS = (3, 4, 5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,10 +80,11 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 
 def _grams(column: pa.Array, buckets: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all n-grams of a column of strings, and the row of each."""
-    data, offsets = text_bytes(column)
-    row = np.repeat(np.arange(len(column)), np.diff(offsets))
-    values = _BYTE_VALUES[data]
+    """The buckets of all character n-grams of a column of strings, and the row of each."""
+    texts = column.to_pylist()
+    data = code_points("".join(texts))
+    row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    values = char_values()[data]
     hashed, rows, total, factor = [], [], np.zeros(len(data), np.uint64), 1
     for n in range(1, max(ORDERS) + 1):
         if len(data) < n:
@@ -134,11 +136,16 @@ def train(
     return weights
 
 
+@lru_cache(maxsize=4)
+def _trained(table: tuple[tuple[str, int], ...]) -> np.ndarray:
+    return train(table)
+
+
 def judge(
     pages: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, table: Sequence[tuple[str, int]] | None = None, threshold: float = 0.5, id_column: str = "page_id"
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, probability (of block, by the model)."""
-    weights = train(labelled_urls() if table is None else table)
+    weights = _trained(tuple(map(tuple, labelled_urls() if table is None else table)))
     parsed = pages.select(id_column, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumns({"rule": rule, "by_rule": verdict})
