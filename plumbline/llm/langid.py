@@ -2,15 +2,16 @@
 
 A text becomes its letters in lower case with single spaces between runs of letters; its features are all
 n-grams of 1 to 3 of these characters, each order hashed apart. The model is a matrix of log probabilities
-(buckets x languages, 4-byte floats: 128 KB a language), broadcast to the workers. A batch is scored as a sparse product:
+(buckets x languages, 4-byte floats: 128 KB a language), broadcast to the workers. It has at most MAX_CELLS cells: with more
+than 512 languages there are fewer buckets, and more than 16,384 languages are an error. A batch is scored as a sparse product:
 rows of the matrix are gathered by bucket and added up by text. The score is the posterior of the language.
 
 Training counts n-grams in parallel over a bounded sample of the labelled rows: about `rows_per_language` of each
 language, chosen by a hash of the id, so rare languages keep all theirs. Only the text is used for a prediction.
 
 Cases: a text that is null or has no letter is `und` with score 0; rows without a language are not learnt from but are
-predicted; texts are read whole; repeated rows are predicted alike; without any labelled row all texts are `und`;
-extra columns are not read.
+predicted; of languages that are equally likely the first by name is taken; very long texts are read whole; repeated rows are
+predicted alike; without any labelled row all texts are `und`; an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .pieces import LETTER, STEP, char_values, class_table, code_points, mixed, text_blocks
 
 ORDERS = (1, 2, 3)
+#: Cells of the matrix at most (64 MB): what is broadcast, and what all tasks together send to the driver, does not grow.
+MAX_CELLS, MIN_BUCKETS = 1 << 24, 1 << 10
 UNKNOWN = "und"
 
 
@@ -93,6 +96,10 @@ def fit(labelled: DataFrame, buckets: int = 32_768, rows_per_language: int = 2_0
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     languages = sorted(sizes)
+    if len(languages) * MIN_BUCKETS > MAX_CELLS:
+        raise ValueError(f"{len(languages)} languages are more than a matrix of {MAX_CELLS} cells has room for")
+    while buckets > MIN_BUCKETS and buckets * len(languages) > MAX_CELLS:
+        buckets //= 2
     if not languages:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows_per_language / sizes[k]))])
