@@ -5,7 +5,8 @@ texts that the label table marks good (trusted target), one of all texts (raw co
 is the sum over its n-grams of log(p_target / p_raw), divided by the number of n-grams, so long and short
 texts compare. The threshold is fixed before any document is judged: `threshold`, or the mean minus `spread`
 standard deviations over trusted texts that the model was not fitted on. Every document is decided by
-score >= threshold. The trusted texts are a bounded sample (`trusted_rows`); the raw side counts all documents.
+score >= threshold. All trusted documents count, half of them (by a hash of the id) for the model and half for the
+threshold; the raw side counts all documents.
 
 Everything is DataFrame code. Counting is one aggregation over exploded n-grams that combines before its
 shuffle (at most `buckets` rows a task). The model is one row with an array of `buckets` doubles (512 KB at
@@ -13,8 +14,8 @@ shuffle (at most `buckets` rows a task). The model is one row with an array of `
 
 Cases: a null text has no words, fails the base rules and has score null; an empty text likewise; repeated
 rows are judged alike; labels may repeat or be null (a document counts as trusted once if any of its labels is 1);
-an empty table or no trusted text gives log ratio 0 for every n-gram; columns not asked for are dropped, and those
-asked for may have any name.
+an empty table or no trusted text gives log ratio 0 for every n-gram; very long texts are read whole (their arrays of hashes
+must fit a task); columns not asked for are dropped, and those asked for may have any name.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 OUTPUT = (*BASE, "llr", "threshold", "kept")
+#: Trusted ids that are broadcast at most (8 bytes each, about 60 MB in a hash table).
+BROADCAST_IDS = 1_000_000
 
 
 def without(text: Column, chars: str) -> Column:
@@ -95,22 +98,30 @@ def gram_buckets(hashes: str, buckets: int) -> Column:
     return F.when(F.size(hashes) > 1, F.concat(ones, twos)).otherwise(ones)
 
 
-def trusted_sample(trusted: DataFrame, rows: int) -> DataFrame:
-    """At most `rows` of the trusted ids (those of the smallest hashes), small enough to broadcast, with
-    _fit true for the half that fits the model and false for the half that sets the threshold."""
+def trusted_halves(trusted: DataFrame) -> DataFrame:
+    """(_t, _fit): each trusted id once, with _fit true for the half (by hash) that fits the model and false for the half
+    that sets the threshold."""
     ids = trusted.select(F.col("doc_id").alias("_t")).filter(F.col("_t").isNotNull()).distinct()
-    ids = ids.withColumn("_h", F.xxhash64("_t")).orderBy("_h", "_t").limit(rows)
-    return ids.select("_t", (F.pmod(F.shiftright("_h", 8), F.lit(2)) == 0).alias("_fit"))
+    return ids.select("_t", (F.pmod(F.shiftright(F.xxhash64("_t"), 8), F.lit(2)) == 0).alias("_fit"))
 
 
-def fit_ratio(docs: DataFrame, sample: DataFrame, buckets: int = 65_536, smooth: float = 1.0) -> DataFrame:
+def hashed_words(docs: DataFrame, ids: DataFrame | None = None, n_ids: int = 0) -> DataFrame:
+    """(_hashes) of all documents, or of those with an id in ids (_t). Ids are broadcast up to BROADCAST_IDS of them; more are
+    joined, and nulls do not take part in that."""
+    if ids is not None:
+        few = F.broadcast if n_ids <= BROADCAST_IDS else lambda df: df
+        docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).join(few(ids), F.col("doc_id") == F.col("_t"), "left_semi")
+    return docs.select(hashed(word_list(F.col("text"))).alias("_hashes"))
+
+
+def fit_ratio(docs: DataFrame, ids: DataFrame, n_ids: int, buckets: int = 65_536, smooth: float = 1.0) -> DataFrame:
     """One row (ratio array<double>): log p_target - log p_raw by bucket; the raw side counts all documents,
-    the target side those with _fit in sample."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_t"), "left")
-    good = F.coalesce(F.col("_fit"), F.lit(False)).cast("long")
-    marked = marked.select(good.alias("good"), hashed(word_list(F.col("text"))).alias("_hashes"))
-    grams = marked.select("good", F.explode(gram_buckets("_hashes", buckets)).alias("b"))
-    counts = grams.groupBy("b").agg(F.sum("good").alias("t"), F.count(F.lit(1)).alias("r"))
+    the target side all with an id in ids."""
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.explode(gram_buckets("_hashes", buckets)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias(name))
+
+    counts = counted(hashed_words(docs), "r").join(counted(hashed_words(docs, ids, n_ids), "t"), "b", "left")
     every = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("b"))
     counts = every.join(counts, "b", "left").na.fill(0, ["t", "r"]).withColumn("odd", F.col("b") % 2)
     totals = counts.groupBy("odd").agg(F.sum("t").alias("tt"), F.sum("r").alias("rr"))
@@ -132,13 +143,13 @@ def _judged(
     trusted: DataFrame,
     columns: tuple[str, ...],
     buckets: int = 65_536,
-    trusted_rows: int = 20_000,
     spread: float = 4.0,
     threshold: float | None = None,
 ) -> DataFrame:
     """A struct _doc of `columns` of docs, and OUTPUT."""
-    sample = checkpointed(trusted_sample(trusted, trusted_rows))
-    model = fit_ratio(docs, sample, buckets)
+    halves = checkpointed(trusted_halves(trusted))
+    n_ids = halves.count()
+    model = fit_ratio(docs, halves.filter("_fit"), n_ids, buckets)
     view = f"plumbline_ratio_{uuid.uuid4().hex}"
     model.createOrReplaceTempView(view)
     ratio = F.expr(f"(SELECT ratio FROM {view})")
@@ -147,9 +158,7 @@ def _judged(
         return df.withColumn("_ratio", ratio).withColumn("llr", score("_hashes", "_ratio", buckets))
 
     if threshold is None:
-        own = F.broadcast(sample.filter(~F.col("_fit")))
-        good = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_t"), "left_semi")
-        good = scored(good.select(hashed(word_list(F.col("text"))).alias("_hashes")))
+        good = scored(hashed_words(docs, halves.filter("not _fit"), n_ids))
         facts = good.agg(F.avg("llr").alias("m"), F.stddev_pop("llr").alias("d")).first()
         threshold = -1e9 if facts["m"] is None else round(facts["m"] - spread * facts["d"], 6)
     # what passes through is one struct, so that no name of docs meets a name used here
@@ -164,8 +173,8 @@ def _judged(
 
 
 def judge(docs: DataFrame, trusted: DataFrame, columns: tuple[str, ...] = ("doc_id",), **settings) -> DataFrame:
-    """`columns` of docs with the base columns, llr (mean log ratio), threshold and kept. trusted: (doc_id) of good documents,
-    of which at most `trusted_rows` are used. settings: those of the signature above."""
+    """`columns` of docs with the base columns, llr (mean log ratio), threshold and kept. trusted: (doc_id) of good
+    documents. settings: those of the signature above."""
     return _judged(docs, trusted, columns, **settings).select(*[F.col("_doc")[c].alias(c) for c in columns], *OUTPUT)
 
 
