@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -121,7 +122,6 @@ def test_token_files_read_back(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     token_io.write_tokens(clashing(docs), P.path("byte_bpe_50k.json"), str(tmp_path / "a"))
     found = sorted(token_io.document_digests(spark, str(tmp_path / "a")).collect(), key=lambda r: r["start"])
     ids = {}
@@ -136,10 +136,34 @@ def test_token_files_read_back(spark, docs, rows, tmp_path):
         at += r["n_tokens"]
         ids[r["doc_id"]].remove((r["n_tokens"], r["ids_crc32"]))
     assert not any(ids.values())
+    assert 50256 in tok.encode(rows[22][1], add_special_tokens=False).ids  # the library's default finds added tokens
     token_io.write_tokens(docs.limit(0), P.path("byte_bpe_50k.json"), str(tmp_path / "b"))
     assert token_io.document_digests(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_special_strings_and_repeated_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext|", "plain words", "", None] * 30
+    df = spark.createDataFrame([(7 if i % 2 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    token_io.write_tokens(df, P.path("byte_bpe_50k.json"), str(tmp_path / "t"))
+    found = sorted(token_io.document_digests(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
+    want = sorted((zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()), i % 2) for i, t in enumerate(texts))
+    assert sorted((r["ids_crc32"], int(r["doc_id"] is not None)) for r in found) == want
+    assert [r["doc_id"] for r in found] == [None] * 105 + [7] * 105
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_many_empty_documents_fill_a_block_in_time(spark):
+    import time
+
+    rows = spark.range(0, 300_000, 1, 1).select(F.lit(0).alias("part"), F.col("id").alias("start"), F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("n"), F.unhex(F.lit("0000")).alias("ids"))
+    began = time.time()
+    blocks = token_io.to_blocks(rows, np.array([0]), 2).agg(F.sum("n_docs").alias("docs"), F.count(F.lit(1)).alias("blocks")).first()
+    assert blocks["docs"] == 300_000 and blocks["blocks"] == 1 and time.time() - began < 30
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_blocks_round_trip(wide):
     r = np.random.default_rng(0)
@@ -182,7 +206,8 @@ def test_quality_rules(spark, docs, rows):
     buckets = 512
     found = quality.judge(clashing(docs), trusted, buckets=buckets, threshold=-0.02).collect()
     by = spread(found, "doc_id")
-    sample = {r["_t"]: r["_fit"] for r in quality.trusted_sample(trusted, 100).collect()}
+    sample = {r["_t"]: r["_fit"] for r in quality.trusted_halves(trusted).collect()}
+    assert set(sample) == {0, 1, 2, 4, 5, 99}
     counts = np.ones((2, buckets))
     grams = {}
     for k, (i, text, *_) in enumerate(rows):
@@ -213,6 +238,14 @@ def pair(a, b):
     return h - 2**64 if h >= 2**63 else h
 
 
+def test_quality_joins_when_there_are_too_many_ids_to_broadcast(spark, docs, monkeypatch):
+    trusted = spark.createDataFrame([(i,) for i in (0, 1, 2, 4, 5, 9, None)], "doc_id long")
+    key = lambda r: tuple(str(x) for x in r)
+    one = sorted(map(key, quality.judge(docs, trusted, buckets=256).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    assert one == sorted(map(key, quality.judge(docs, trusted, buckets=256).collect()))
+
+
 def test_quality_on_empty_tables_and_filters(spark, docs):
     none = spark.createDataFrame([], "doc_id long")
     assert quality.judge(docs.limit(0), none).count() == 0
@@ -247,6 +280,56 @@ def test_language_id(spark, docs):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_naive_bayes_equals_brute_force(spark):
+    import math
+    import unicodedata
+
+    texts = [("Straße über Öl", "de"), ("le été, ça va", "fr"), ("ab ab 12 ab", "de"), ("x-y", "fr"), ("żółw İx", "pl")] * 4
+    df = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df, buckets=1 << 15, rows_per_language=10**6)
+
+    def grams(text):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] == "L" else " " for c in text)
+        low = " " + " ".join(low.split()) + " "
+        return [low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)]
+
+    counts = {}
+    for t, k in texts:
+        for g in grams(t):
+            counts.setdefault(k, {}).setdefault(g, 0)
+            counts[k][g] += 1
+    assert len({g for c in counts.values() for g in c}) < 200  # so few that buckets are not shared, which the equality needs
+    asked = ["über", "ab été", "żó xy q", "Öl"]
+    for text, name, score in zip(asked, *model.predict(asked), strict=True):
+        logs = {}
+        for k, c in counts.items():
+            total = sum(c.values()) + 0.5 * (1 << 15)
+            logs[k] = math.log(sum(1 for _, x in texts if x == k) / len(texts)) + sum(math.log((c.get(g, 0) + 0.5) / total) for g in grams(text))
+        best = max(sorted(logs), key=lambda k: logs[k])
+        assert name == best
+        assert abs(score - 1 / sum(math.exp(x - logs[best]) for x in logs.values())) < 1e-4
+
+
+def test_many_languages_shrink_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_CELLS", 1 << 13)
+    df = spark.createDataFrame([(i, f"text {'abcde'[i % 5] * 9}", f"l{i % 5}") for i in range(50)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.matrix.size <= 1 << 13 and model.predict(["ccccccccc"])[0] == ["l2"]
+    monkeypatch.setattr(langid, "MAX_CELLS", 1 << 11)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(df)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_held_out_accuracy_on_the_tables(spark):
+    from plumbline.llm import queries
+
+    found = queries.op3_language_id(spark, "/root/testdata/sf0.01").filter("held_out and lang_pred <> 'und'")
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null").select("doc_id", "lang")
+    hits = found.join(known, "doc_id").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.count(F.lit(1)).alias("n")).first()
+    assert hits["n"] > 100 and hits["a"] > 0.97
+
+
 # -- 4: neighbours --------------------------------------------------------------------------------------------------
 
 
@@ -271,6 +354,11 @@ def test_neighbours_equal_brute_force(spark):
         if q in (100, 150):
             assert [y["vec_id"] for y in got] == want
     assert hits >= 0.95 * 5 * len(by)
+    huge = spark.createDataFrame([(i, (v * (1e200 if i % 2 else 1e-200)).tolist()) for i, v in enumerate(x[:90].astype(float))], "vec_id long, embedding array<double>")
+    score = ann.cosines(x[:90].astype(float), x[0].astype(float))
+    got = [(y["vec_id"], y["score"]) for y in ann.search(huge, F.col("vec_id") == 0).orderBy("rank").collect()]
+    want = sorted(range(1, 90), key=lambda i: (-score[i], i))[:5]
+    assert [i for i, _ in got] == want and all(abs(s - score[i]) < 1e-12 for i, s in got)
     few = df.filter("vec_id in (0, 1, 2)")
     assert ann.search(few, F.col("vec_id") == 0).count() == 2
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
@@ -304,6 +392,27 @@ def test_url_filter(spark):
     assert (weights == urls.train(urls.labelled_urls())).all()
 
 
+def test_url_logits_equal_brute_force():
+    buckets, r = 4096, np.random.default_rng(0)
+    weights = r.standard_normal(buckets + 1)
+    hosts, paths = ["a.bücher.example", "", "x", "abcabcabc.org"], ["/é/漢字漢字漢", "", "/", "/a?b"[:2]]
+    mask = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    def hashed(gram, salt):
+        value = sum(mix((ord(c) + 1) * 0xD1342543DE82EF95 & mask) * pow(pieces.STEP, k, 2**64) for k, c in enumerate(gram)) & mask
+        return mix(value ^ (salt + len(gram))) % buckets
+
+    got = urls.logits(pa.array(hosts), pa.array(paths), weights)
+    for k, (h, p) in enumerate(zip(hosts, paths, strict=True)):
+        own = {hashed(t[i : i + n], salt) for t, salt in ((h, 0x1000), (p, 0x2000)) for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+        assert abs(got[k] - (weights[-1] + sum(weights[b] for b in own) / max(1, len(own)) ** 0.5)) < 1e-9
+
+
 def test_url_model_on_forms_it_has_not_seen():
     weights = urls.train(urls.labelled_urls())
     for topics, least, most in ((urls.BLOCKED_TOPICS, 0.7, 1.0), (urls.ALLOWED_TOPICS, 0.0, 0.02)):
@@ -348,12 +457,26 @@ def test_simhash_classes(spark, docs, rows):
     key = lambda r: tuple((x is not None, x or 0) for x in (r[0], int(r[1], 16), r[2]))
     assert sorted((tuple(r) for r in found), key=key) == sorted(want, key=key)
     assert simhash.classes(docs.limit(0)).count() == 0
-    kept = {r["doc_id"] for r in simhash.keep_one(clashing(docs)).collect()}
-    assert 25 not in kept and 3 in kept and 32 in kept
-
-
-@pytest.mark.parametrize(("crowd", "segments"), [(64, 7), (3, 7), (64, 5), (1, 3)])
-def test_simhash_links_lose_nothing(spark, crowd, segments):
+    stay = simhash.keep_one(clashing(docs))
+    assert stay.columns == clashing(docs).columns
+    kept = [(r["doc_id"], r["text"]) for r in stay.collect()]
+    groups = {}
+    for k, (i, t, *_) in enumerate(rows):
+        groups.setdefault(label[k], []).append((i is None, i or 0, t))
+    assert len(kept) == len(groups)  # one row of each component, though ids repeat or are null
+    for own in groups.values():
+        least = min(own)[:2]
+        assert sum((None if x[0] else x[1], x[2]) in kept for x in {(a, b, t) for a, b, t in own if (a, b) == least}) == 1
+
+
+def test_near_copies_without_an_id_go(spark):
+    text, other = prose(40, 60), prose(41, 60)
+    df = spark.createDataFrame([(5, text), (None, text), (None, other), (9, text), (9, other)], "doc_id long, text string").repartition(2)
+    assert sorted((r["doc_id"], r["text"] == text) for r in simhash.keep_one(df).collect()) == [(5, True), (9, False)]
+
+
+@pytest.mark.parametrize(("bits", "crowd", "segments"), [(2, 64, 7), (2, 3, 7), (2, 64, 5), (2, 1, 3), (1, 2, 7), (1, 64, 4), (3, 4, 10), (3, 1, 5), (0, 1, 4)])
+def test_simhash_links_lose_nothing(spark, bits, crowd, segments):
     r = random.Random(crowd)
     fps = {r.getrandbits(64) for _ in range(40)}
     for base in list(fps)[:8]:
@@ -363,21 +486,28 @@ def test_simhash_links_lose_nothing(spark, crowd, segments):
                 x ^= 1 << b
             fps.add(x)
     signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-    from plumbline.llm.graphs import components
-
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 2, segments, crowd)
-    got = {x["v"]: x["label"] for x in components(edges).collect()}
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), bits, segments, crowd)
+    got = sorted((x["a"], x["b"]) for x in edges.collect())
     order = sorted(signed)
-    label = slow_components([x & (2**64 - 1) for x in order])
-    assert {x: got.get(x, x) for x in order} == {x: order[label[i]] for i, x in enumerate(order)}
+    want = [(a, b) for k, a in enumerate(order) for b in order[k + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= bits]
+    assert got == want
+
+
+def test_crowded_keys_make_few_candidates(spark):
+    """3,000 fingerprints with the same first segments are 4.5 million pairs; the longer chain lets hardly any through but links."""
+    r = random.Random(0)
+    fps = sorted({r.getrandbits(30) for _ in range(3000)})
+    table = spark.createDataFrame([(x,) for x in fps], "fp long")
+    n_links = simhash.links(table).count()
+    assert simhash.candidates(table).count() <= 40 * n_links + 3000
 
 
 # -- 7: mixing ------------------------------------------------------------------------------------------------------
 
 
 def test_mixing(spark, docs, rows):
-    got = mixing.mix_sources(clashing(docs), bucket_rows=4).collect()
-    again = mixing.mix_sources(docs.repartition(5), bucket_rows=4).collect()
+    got = mixing.mix_sources(clashing(docs)).collect()
+    again = mixing.mix_sources(docs.repartition(5)).collect()
     key = lambda r: (r["doc_id"] or -1, r["size"], r["taken"])
     assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == len(rows)
     size = {}
@@ -409,6 +539,42 @@ def test_mixing(spark, docs, rows):
     assert mixed.columns == clashing(docs).columns and mixed.count() == sum(r["copies"] for r in mixing.mix_sources(docs).collect())
 
 
+def slow_mix(rows, weight, passes=2, share=1.5):
+    """Taken copies as a multiset of (doc_id, source, copies): every copy in the order of finish times, until one does not fit."""
+    size = {}
+    for i, t, s in rows:
+        size[s] = size.get(s, 0) + len(words(t))
+    queue, copies = {}, []
+    for i, t, s in rows:
+        u = hashlib.md5(f"mix|{'-' if i is None else i}|{t or ''}".encode()).hexdigest()
+        queue.setdefault(s, []).append((u, i, len(words(t))))
+    for at, s in enumerate(sorted(queue, key=lambda x: (x is None, x or ""))):
+        sent, number = 0, {}
+        for u, i, n in sorted(queue[s], key=lambda x: x[0]):
+            sent, number[u] = sent + n, number.get(u, 0) + 1
+            copies += [((sent + size[s] * p) / weight[at % len(weight)], at, u, number[u], n, i, s) for p in range(passes)]
+    room, taken = share * sum(size.values()), {}
+    for _, _, u, j, n, i, s in sorted(copies):
+        if n > room:
+            break
+        room -= n
+        taken[i, s, u, j] = taken.get((i, s, u, j), 0) + 1
+    return sorted(((i, s, taken.get((i, s, u, j), 0)) for _, _, u, j, _, i, s in sorted(copies)[::1]), key=str)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixing_with_repeated_rows_equals_brute_force(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, "w " * r.randint(0, 12), r.choice(["a", "c", None])) for i in range(60)]
+    rows += [(1000, "same row here", "b")] * r.choice([1, 70, 200]) + [(None, "no id", "a")] * 25 + [(None, None, "c")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = sorted(((x["doc_id"], x["source"], x["copies"]) for x in mixing.mix_sources(df).collect()), key=str)
+    want = slow_mix(rows, (3.0, 1.0, 2.0))
+    assert got == sorted(want[::2], key=str)
+    mixed = mixing.mixed_rows(df)
+    assert mixed.count() == sum(c for *_, c in got)
+
+
 # -- 8: chat --------------------------------------------------------------------------------------------------------
 
 
@@ -444,6 +610,32 @@ def test_reply_trees_take_the_best_branch(spark):
     assert best == [(0, 1), (1, 3), (2, 4), (3, 5)]
 
 
+@pytest.mark.parametrize("branches", [1, 2, 100])
+def test_random_reply_trees_equal_brute_force(spark, branches):
+    r = random.Random(branches)
+    rows = []
+    for tree in range(12):
+        n = r.choice([1, 2, 9, 40])
+        for m in range(1, n + 1):
+            parent = None if m == 1 else r.randint(max(1, m - 3), m - 1) if tree % 2 else m - 1
+            rows.append((tree, m, parent, r.choice(["user", "assistant"]), f"t{m}", r.choice([None, 0.0, 0.5, 1.0])))
+    df = spark.createDataFrame(rows, "tree long, message long, parent long, role string, text string, score double").repartition(3)
+    got = {(x["tree"], x["leaf"]): x["formatted"] for x in chat.format_paths(df, branches).collect()}
+    want = {}
+    for tree in range(12):
+        own = {m: (p, role, text, score) for t, m, p, role, text, score in rows if t == tree}
+        paths = []
+        for m in set(own) - {p for p, *_ in own.values()}:
+            path = [m]
+            while own[path[0]][0] is not None:
+                path.insert(0, own[path[0]][0])
+            score = own[m][3]
+            paths.append((score is None, -(score or 0), -len(path), m, path))
+        for *_, m, path in sorted(paths)[:branches]:
+            want[tree, m] = "".join(f"<|turn|>{own[k][1]}<|text|>{own[k][2]}<|end|>" for k in path)
+    assert got == want
+
+
 # -- 10: passages ---------------------------------------------------------------------------------------------------
 
 
@@ -454,12 +646,14 @@ def test_substring_dedup(spark, docs, rows):
         for k in range(len(w) - 12):
             g = tuple(w[k : k + 13])
             least[g] = min(least.get(g, 2**63), -(2**63) if i is None else i)
-    got = spread(substr.digest_kept(clashing(docs)).collect(), "doc_id")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substr.digest_kept(clashing(docs)).collect()), key=str)
+    want = []
     for i, t, *_ in rows:
         w = words(t)
         gone = {k + j for k in range(len(w) - 12) for j in range(13) if least[tuple(w[k : k + 13])] < (-(2**63) if i is None else i)}
         kept = hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
-        assert (len(w), len(gone), kept) in {(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got[i]}
+        want.append((i, len(w), len(gone), kept))
+    assert got == sorted(want, key=str)
     assert substr.digest_kept(docs.limit(0)).count() == 0
     whole = substr.remove_repeats(clashing(docs))
     assert whole.columns == clashing(docs).columns and whole.count() == len(rows)
@@ -467,6 +661,34 @@ def test_substring_dedup(spark, docs, rows):
     assert (30, rows[22][1]) in same and (25, "") in same
 
 
+@pytest.mark.parametrize("parts", [1, 4, 9])
+def test_rows_that_share_an_id_are_apart(spark, parts):
+    r = random.Random(parts)
+    passages = [[f"{k}x{i}" for i in range(30)] for k in range(5)]
+    rows = []
+    for k in range(60):
+        own = [f"r{k}w{i}" for i in range(r.randint(0, 20))] + r.choice(passages) + r.choice([[], passages[0]]) + [f"e{k}"]
+        rows.append((r.choice([None, None, 1, 1, 5, 5, 9, k + 10]), " ".join(own)))
+    rows += [(1, " ".join(passages[0])), (5, " ".join(passages[0])), (5, " ".join(passages[4]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    least = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 12):
+            g = tuple(w[k : k + 13])
+            least[g] = min(least.get(g, 2**63), -1 if i is None else i)
+    want, texts = [], []
+    for i, t in rows:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - 12) for j in range(13) if least[tuple(w[k : k + 13])] < (-1 if i is None else i)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        texts.append((i, kept))
+    got = [(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substr.digest_kept(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(((x["doc_id"], x["text"]) for x in substr.remove_repeats(df).collect()), key=str) == sorted(texts, key=str)
+
+
 @pytest.mark.parametrize("width", [2, 3, 13])
 def test_substring_dedup_of_random_words(spark, width):
     r = random.Random(width)
