@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, mixing, quality, simhash, substr
-from plumbline.llm.common import read_table, written
+from plumbline.llm.common import forget, read_table, written
 from plumbline.llm.queries import trusted_ids
 
 
@@ -49,14 +49,16 @@ STAGES = [
     ("byte-level BPE", bpe_stage),
 ]
 
-#: Hashed n-grams, SimHash and merges cannot be said in DuckDB SQL; tests/llm has a brute-force version.
+#: Hashed n-grams, SimHash and merges cannot be said in DuckDB SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        kept = written(stage(spark, docs, sf_dir))
+        forget(docs)  # the stage before, if it was one
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
