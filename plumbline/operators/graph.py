@@ -15,10 +15,13 @@ from pyspark.sql.window import Window as W
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the folder that the session names, or in a temporary one if it names none."""
+    """An eager checkpoint in the folder that the session names. Only a local session may go without: it gets a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if own is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint(eager=True)
 
 
@@ -52,36 +55,34 @@ def reason_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-def owners_of(nodes: DataFrame, kinds: Sequence[str], max_depth: int = 64) -> DataFrame:
+def owners_of(nodes: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """nodes (node, kind, parent) -> (node, owner): the nearest of itself and its ancestors whose kind is one of
-    kinds; null if there is none."""
-    table = checkpointed(nodes.select("node", "kind", "parent"))
-    up = table.select(F.col("node").alias("at"), F.col("kind").alias("k"), F.col("parent").alias("next"))
+    kinds; null if there is none. Every node knows the node 2**k steps up after k rounds, so a chain of n takes log2(n) of them;
+    what has no answer after that climbs in a cycle of parents, and has no owner."""
     own = F.col("kind").isin(*kinds)
-    state = table.select("node", F.when(own, F.col("node")).alias("owner"), F.when(~own, F.col("parent")).alias("at"))
-    for depth in range(max_depth):
+    state = nodes.select("node", F.when(own, F.col("node")).alias("owner"), F.when(own, F.lit(None)).otherwise(F.col("parent")).alias("at"))
+    state = checkpointed(state)
+    for _ in range(max(2, state.count()).bit_length() + 1):
         if not state.filter(F.col("at").isNotNull()).limit(1).count():
             break
-        hit = F.col("k").isin(*kinds)
-        state = state.join(up, "at", "left").select("node", F.coalesce("owner", F.when(hit, F.col("at"))).alias("owner"), F.when(F.coalesce(~hit, F.lit(False)), F.col("next")).alias("at"))
-        state = checkpointed(state)
+        there = state.select(F.col("node").alias("at"), F.col("owner").alias("o"), F.col("at").alias("next"))
+        state = checkpointed(state.join(there, "at", "left").select("node", F.coalesce("owner", "o").alias("owner"), F.col("next").alias("at")))
     return state.select("node", "owner")
 
 
-def ancestors(parents: DataFrame, max_depth: int = 64) -> DataFrame:
-    """parents (child, parent) -> (node, ancestor, depth) for all proper ancestors; cycles end where they close."""
-    step = checkpointed(parents.filter(F.col("parent").isNotNull()).select("child", "parent").distinct())
-    front = step.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    seen = front
-    for depth in range(2, max_depth + 1):
-        up = step.select(F.col("child").alias("ancestor"), F.col("parent").alias("further"))
-        front = front.join(up, "ancestor").select("node", F.col("further").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        front = front.filter(F.col("node") != F.col("ancestor")).join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
-        front = checkpointed(front)
-        if not front.limit(1).count():
-            break
-        seen = checkpointed(seen.union(front))
-    return seen
+def ancestors(parents: DataFrame) -> DataFrame:
+    """parents (child, parent) -> (node, ancestor, depth) for all proper ancestors, with the least depth; cycles end where they
+    close. Each round doubles the reach: pairs at the full depth of the round before are joined with all pairs."""
+    step = checkpointed(parents.filter("parent is not null and child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    seen, reach = step, 1
+    while True:
+        far = seen.filter(F.col("depth") == reach)
+        if not far.limit(1).count():
+            return seen
+        up = seen.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        longer = far.join(up, "ancestor").select("node", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).filter("node <> ancestor")
+        seen = checkpointed(seen.union(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        reach *= 2
 
 
 # -- metrics --------------------------------------------------------------------------------------------------
@@ -140,7 +141,7 @@ def candidates(metrics: DataFrame, edges: DataFrame, coupling: int, hub: int, me
 def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float = 1e-10, fixed: bool = False) -> tuple[DataFrame, bool]:
     """((v, rank), converged). Unweighted distinct edges; dangling mass and teleport spread evenly. Stops when the L1
     change is under n * tolerance; fixed runs all rounds. One round is one join and one aggregation; the dangling mass
-    is a scalar of the round before and comes to the driver with the change."""
+    and the change come to the driver together, as one row."""
     n = vertices.count()
     if not n:
         return vertices.withColumn("rank", F.lit(0.0)), True
@@ -148,25 +149,28 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds:
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     e = checkpointed(e.join(out, "src"))
     state = checkpointed(vertices.join(out.withColumnRenamed("src", "v"), "v", "left").select("v", F.col("deg").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    lost = state.filter("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
     for _ in range(rounds):
-        lost = state.filter("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         sent = e.join(state.select(F.col("v").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
         base = (1 - alpha) / n + alpha * lost / n
         moved = state.join(sent, "v", "left").select("v", "dangling", F.col("rank").alias("old"), (F.lit(base) + F.lit(alpha) * F.coalesce("got", F.lit(0.0))).alias("rank"))
         moved = checkpointed(moved)
-        change = moved.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        change, lost = moved.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0))).first()
         state = moved.select("v", "dangling", "rank")
         if not fixed and change < n * tolerance:
             return state.select("v", "rank"), True
     return state.select("v", "rank"), fixed
 
 
-def distances(sources: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """sources (s): breadth-first levels (s, v, dist, paths) with the number of shortest paths, self at 0."""
+def distances(sources: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """sources (s): breadth-first levels (s, v, dist, paths) with the number of shortest paths, self at 0; as far as edges
+    lead, or up to max_depth."""
     e = checkpointed(edges.select("src", "dst").distinct())
     front = sources.select("s", F.col("s").alias("v"), F.lit(0).alias("dist"), F.lit(1.0).alias("paths"))
     seen = front
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = front.join(e, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
         front = checkpointed(step.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(depth).alias("dist"), "paths"))
         if not front.limit(1).count():
@@ -175,13 +179,13 @@ def distances(sources: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame
     return seen
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame, max_depth: int = 1_000) -> DataFrame:
+def betweenness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, betweenness): exact, directed, normalised by (n - 1)(n - 2). Shortest-path counts forward, then Brandes'
     dependencies backward, both level by level for all sources at once (sources x vertices rows, so for graphs within
     the analysis limit; callers check it and report null beyond)."""
     n = vertices.count()
     e = checkpointed(edges.select("src", "dst").distinct())
-    levels = checkpointed(distances(vertices.select(F.col("v").alias("s")), e, max_depth))
+    levels = checkpointed(distances(vertices.select(F.col("v").alias("s")), e))
     deepest = levels.agg(F.max("dist")).first()[0] or 0
     delta = levels.filter(F.col("dist") == deepest).select("s", "v", F.lit(0.0).alias("delta"))
     total = delta
@@ -314,33 +318,24 @@ def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.join(vertices.select(F.col("v").alias("src")), "src", "left_semi").join(vertices.select(F.col("v").alias("dst")), "dst", "left_semi")
 
 
-def shortest_path(edges: DataFrame, source, target, max_depth: int = 1_000) -> list | None:
+def shortest_path(edges: DataFrame, source, target) -> list | None:
     """The vertices of one shortest path, or None. The parent of a vertex is its first discoverer when neighbours
-    queue in the order of their ids as text, so levels carry the order of discovery."""
+    queue in the order of their ids as text. That is the order of the paths, as lists of text, so each vertex keeps the
+    least path of its level and no level is ranked."""
     e = checkpointed(edges.select("src", "dst").distinct())
-    spark = e.sparkSession
-    kind = e.schema["src"].dataType
-    front = spark.createDataFrame([(source, None, 0)], f"v {kind.simpleString()}, parent {kind.simpleString()}, place long")
-    seen = checkpointed(front)
-    front = seen
-    for _ in range(max_depth):
-        if seen.filter(F.col("v") == F.lit(target)).limit(1).count():
-            break
-        step = front.join(e, F.col("v") == F.col("src")).groupBy("dst").agg(F.min(F.struct(F.col("place"), F.col("src"))).alias("by"))
-        step = step.join(seen.select(F.col("v").alias("dst")), "dst", "left_anti")
-        place = F.row_number().over(W.orderBy("by.place", F.col("dst").cast("string"))).cast("long")
-        front = checkpointed(step.select(F.col("dst").alias("v"), F.col("by.src").alias("parent"), place.alias("place")))
+    kind = e.schema["src"].dataType.simpleString()
+    front = e.sparkSession.createDataFrame([(source, [str(source)])], f"v {kind}, path array<string>")
+    seen = front = checkpointed(front)
+    while True:
+        found = front.filter(F.col("v") == F.lit(target)).select(F.col("path").cast(f"array<{kind}>")).first()
+        if found:
+            return list(found[0])
+        step = front.join(e, F.col("v") == F.col("src")).groupBy(F.col("dst").alias("v")).agg(F.min("path").alias("path"))
+        step = step.join(seen.select("v"), "v", "left_anti")
+        front = checkpointed(step.select("v", F.concat("path", F.array(F.col("v").cast("string"))).alias("path")))
         if not front.limit(1).count():
             return None
-        seen = checkpointed(seen.union(front))
-    path, at = [], target
-    while at is not None:
-        row = seen.filter(F.col("v") == F.lit(at)).first()
-        if row is None:
-            return None
-        path.append(at)
-        at = row["parent"]
-    return path[::-1]
+        seen = checkpointed(seen.select("v").union(front.select("v")))
 
 
 def guard(vertices: DataFrame, edges: DataFrame, max_nodes: int = 10_000, max_edges: int = 100_000) -> list[str]:

@@ -123,12 +123,12 @@ def model_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.union(wrong)
 
 
-def at_granularity(found: DataFrame, nodes: DataFrame, kind: str, max_depth: int = 32) -> DataFrame:
+def at_granularity(found: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     """found (id, node) -> (id, target): the node of the wanted kind: itself, its nearest ancestor of that kind, or for a FILE
     its only child of that kind; null if there is none or several."""
     from .graph import owners_of
 
-    up = owners_of(nodes, (kind,), max_depth)
+    up = owners_of(nodes, (kind,))
     child = nodes.filter(F.col("kind") == kind).groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("child"))
     rows = found.join(up, "node", "left").join(child, "node", "left").join(nodes.select("node", F.col("kind").alias("_k")), "node", "left")
     only = F.when((F.col("_k") == "FILE") & (F.col("n") == 1), F.col("child"))
@@ -138,3 +138,18 @@ def at_granularity(found: DataFrame, nodes: DataFrame, kind: str, max_depth: int
 def completeness(outcomes: DataFrame) -> DataFrame:
     """outcomes (group, status, errors): valid if nothing is an error, complete if every file was parsed without errors."""
     return outcomes.groupBy("group").agg(F.bool_and(F.col("status") != "ERROR").alias("valid"), F.bool_and((F.col("status") == "PARSED") & (F.col("errors") == 0)).alias("complete"), F.count(F.lit(1)).alias("files"))
+
+
+def shadowed(references: DataFrame, shadows: DataFrame, containers: DataFrame) -> DataFrame:
+    """references (ref, name, scope) with is_shadowed: a local binding of the name, shadows (scope, name), stands in the scope of the
+    reference, in one that contains it (containers: scope, parent), or in the file (scope null). Such a name says nothing of
+    a declaration elsewhere, so the reference is not resolved."""
+    from .graph import ancestors
+
+    up = ancestors(containers.select(F.col("scope").alias("child"), "parent")).select(F.col("node").alias("scope"), F.col("ancestor").alias("at"))
+    own = references.select("ref", "name", F.col("scope").alias("at"))
+    outer = references.select("ref", "name", "scope").join(up, "scope").select("ref", "name", "at")
+    bound = shadows.select(F.col("scope").alias("at"), "name").distinct()
+    hit = own.union(outer).join(bound.filter("at is not null"), ["at", "name"], "left_semi").select("ref")
+    hit = hit.union(references.select("ref", "name").join(bound.filter("at is null").select("name"), "name", "left_semi").select("ref")).distinct()
+    return references.join(hit.withColumn("_hit", F.lit(True)), "ref", "left").withColumn("is_shadowed", F.col("_hit").isNotNull()).drop("_hit")

@@ -25,6 +25,7 @@ _ES_FUNCTION = re.compile(r"\bfunction\s+([A-Za-z_$]\w*)\s*\(([^()]*)\)|\b(?:con
 _ES_IMPORT = re.compile(r"\bimport\s+(?:type\s+)?(?:([\w$*{},\s]+?)\s+from\s+)?(['\"])(@@\d+)\2|\brequire\(\s*(['\"])(@@\d+)\4\s*\)")
 _CALL = re.compile(r"(?<![\w.$])((?:[A-Za-z_$][\w$]*\.)*)([A-Za-z_$][\w$]*)\s*\(")
 _NEW = re.compile(r"\bnew\s+([A-Za-z_$][\w.$]*)\s*(?:<[^>()]*>)?\s*\(")
+_MARKS = re.compile(r"[()\[\]{},]|[^\s()\[\]{},]+")
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "new", "super", "this", "synchronized", "require", "import", "constructor"}
 
 
@@ -42,9 +43,10 @@ def blanked(text: str) -> tuple[str, list[str]]:
 
 
 def _arguments(text: str, at: int) -> int:
-    """The number of arguments of the call whose parenthesis opens at `at`."""
+    """The number of arguments of the call whose parenthesis opens at `at`, read up to the one that closes it."""
     depth, commas, some = 0, 0, False
-    for c in text[at : at + 5_000]:
+    for m in _MARKS.finditer(text, at):
+        c = m[0]
         if c in "([{":
             depth += 1
         elif c in ")]}":
