@@ -10,7 +10,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from .graph import checkpointed
+from .ranks import quantiles, with_rank
 
 
 def family_weights(rows: DataFrame, family: str = "family") -> DataFrame:
@@ -24,7 +26,8 @@ def family_weights(rows: DataFrame, family: str = "family") -> DataFrame:
 def fit_preprocessor(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, median, mean, scale, has_missing) after median imputation with population deviation; features that are
     all missing or constant are left out."""
-    facts = rows.agg(*[x for f in features for x in (F.median(f).alias(f"m_{f}"), F.count_if(F.col(f).isNull()).alias(f"k_{f}"))]).first()
+    facts = rows.agg(*[F.count_if(F.col(f).isNull()).alias(f"k_{f}") for f in features]).first().asDict()
+    facts |= {f"m_{f}": (quantiles(rows, f).first() or {"median": None})["median"] for f in features}
     filled = [F.coalesce(F.col(f).cast("double"), F.lit(facts[f"m_{f}"])) for f in features]
     stats = rows.agg(*[x for f, v in zip(features, filled, strict=True) for x in (F.avg(v).alias(f"a_{f}"), F.stddev_pop(v).alias(f"s_{f}"))]).first()
     out = [(f, float(facts[f"m_{f}"]), stats[f"a_{f}"], stats[f"s_{f}"], facts[f"k_{f}"] > 0) for f in features if facts[f"m_{f}"] is not None and stats[f"s_{f}"]]
@@ -89,7 +92,9 @@ def score(features: Sequence[str], beta: Sequence[float], is_logistic: bool) ->
 def thresholds(rows: DataFrame, column: str, margin: float = 1e-6) -> DataFrame:
     """Midpoints between neighbouring distinct scores, and one below and above all."""
     own = rows.select(column).filter(F.col(column).isNotNull()).distinct()
-    middle = own.withColumn("_next", F.lead(column).over(W.orderBy(column))).filter("_next is not null").select(((F.col(column) + F.col("_next")) / 2).alias("threshold"))
+    ranked = checkpointed(with_rank(own, [F.col(column)], "_r"))
+    after = ranked.select((F.col("_r") - 1).alias("_r"), F.col(column).alias("_next"))
+    middle = ranked.join(after, "_r").select(((F.col(column) + F.col("_next")) / 2).alias("threshold"))
     ends = own.agg(F.min(column).alias("a"), F.max(column).alias("b")).filter("a is not null")
     return middle.union(ends.select(F.explode(F.array(F.col("a") - margin, F.col("b") + margin)).alias("threshold")))
 

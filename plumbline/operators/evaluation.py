@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ranks import quantiles, with_rank
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b as a double; null where b is 0."""
@@ -191,7 +193,8 @@ def hash_split(families: DataFrame, seed: str, column: str = "family") -> DataFr
     """(family, split): families by the digest of seed and name; the first n // 5 (at least one) TEST, as many more
     VALIDATION, the rest TRAIN. One row a family, so the global order is over families, not rows."""
     own = families.select(column).distinct().withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(column)), 256))
-    ranked = own.withColumns({"_r": F.row_number().over(W.orderBy("_h", column)), "_n": F.count(F.lit(1)).over(W.partitionBy())})
+    n = own.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = with_rank(own, [F.col("_h"), F.col(column)], "_r").join(F.broadcast(n), F.lit(True))
     k = F.greatest(F.floor(F.col("_n") / 5), F.lit(1))
     return ranked.select(column, F.when(F.col("_r") <= k, "TEST").when(F.col("_r") <= 2 * k, "VALIDATION").otherwise("TRAIN").alias("split"))
 
@@ -217,9 +220,9 @@ def stratified_sample(rows: DataFrame, metric: str, digest: Column, k: int) -> D
     MEDIUM, HIGH, each by digest."""
     own = rows.withColumn("_d", digest)
     n = own.agg(F.count(F.lit(1)).alias("_n"))
-    own = own.withColumn("_r", F.row_number().over(W.orderBy(metric, "_d"))).join(F.broadcast(n), F.lit(True))
+    own = with_rank(own, [F.col(metric), F.col("_d")], "_r").join(F.broadcast(n), F.lit(True))
     own = own.withColumn("_t", F.floor(3 * (F.col("_r") - 1) / F.col("_n")).cast("int"))
-    own = own.withColumn("_i", F.row_number().over(W.partitionBy("_t").orderBy("_d")))
+    own = own.withColumn("_i", F.row_number().over(W.partitionBy("_t").orderBy("_d"))).filter(F.col("_i") <= k)  # a group limit
     best = own.orderBy("_i", "_t").limit(k).withColumn("pick", F.row_number().over(W.orderBy("_i", "_t")))
     return best.withColumn("stratum", F.element_at(F.array(*[F.lit(x) for x in ("LOW", "MEDIUM", "HIGH")]), F.col("_t") + 1)).drop("_d", "_n", "_r", "_t", "_i")
 
@@ -230,9 +233,12 @@ def stratified_sample(rows: DataFrame, metric: str, digest: Column, k: int) -> D
 def describe(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """n, sum, mean, median, nearest-rank p95, max."""
     v = F.col(value)
-    return rows.filter(v.isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(v), 4).alias("total"), F.round(F.avg(v), 6).alias("mean"), F.median(v).alias("median"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"), F.max(v).alias("max")
-    )
+    sums = rows.filter(v.isNotNull()).groupBy(*by).agg(F.round(F.sum(v), 4).alias("total"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("max"))
+    sums = sums.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], "total", "mean", "max")
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    return quantiles(rows, value, by).join(sums, same).select(*by, "n", "total", "mean", "median", "p95", "max")
 
 
 def tiered_cost(tokens: Column, cutoff: int, short_price: str, long_price: str) -> Column:

@@ -25,8 +25,8 @@ RELATIONS = {
     # a sparser graph on the same components: only some pairs
     "arc": """SELECT DISTINCT src, dst FROM dep JOIN component a ON src = a.v JOIN component b ON dst = b.v
         WHERE (a.nationkey * 7 + b.nationkey * 3 + a.nationkey * b.nationkey) % 11 < 2""",
-    # users follow each other within an event type
-    "step": """SELECT user_id AS src, event_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events""",
+    # users follow each other within an event type and an hour, so that no partition grows with the table
+    "step": """SELECT user_id AS src, event_id, lead(user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS dst FROM events""",
     "ranked_step": """SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY event_id) AS rn FROM step WHERE dst IS NOT NULL AND src <> dst""",
     "sparse": """SELECT DISTINCT src, dst FROM ranked_step WHERE rn <= 1""",
     "twofold": """SELECT DISTINCT src, dst FROM ranked_step WHERE rn <= 1 + src % 2""",
