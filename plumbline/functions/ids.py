@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def uuid5(namespace: str, name: Column) -> Column:
+def uuid5(namespace: str | Column, name: Column) -> Column:
     """The version-5 UUID of a name in a namespace UUID, as lower-case text."""
-    raw = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))
+    space = F.lit(namespace) if isinstance(namespace, str) else namespace
+    raw = F.sha1(F.concat(F.unhex(F.replace(space, F.lit("-"), F.lit(""))), name.cast("binary")))
     variant = F.element_at(F.split(F.lit("8,9,a,b"), ","), F.conv(F.substring(raw, 17, 1), 16, 10).cast("int") % 4 + 1)
     parts = [F.substring(raw, 1, 8), F.substring(raw, 9, 4), F.concat(F.lit("5"), F.substring(raw, 14, 3))]
     parts += [F.concat(variant, F.substring(raw, 18, 3)), F.substring(raw, 21, 12)]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Semantic concerns that a graph rule speaks to.
 CONCERNS = {"ARCH101": ("ARCH205",), "ARCH102": ("ARCH205",), "ARCH103": ("ARCH201", "ARCH202", "ARCH205"), "ARCH104": (), "ARCH105": ("ARCH203", "ARCH205")}
@@ -26,35 +28,53 @@ def context_nodes(found: DataFrame, max_nodes: int = 20) -> DataFrame:
 
 def fragments(ranges: DataFrame, margin: int = 2, max_lines: int = 120) -> DataFrame:
     """ranges (file, priority, start, end): line ranges widened by margin and cut to max_lines, in priority order; one that
-    overlaps an earlier range of its file is absorbed and does not widen it. Depends on order, so each file's ranges
-    meet in one group, which one file bounds."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for row in pdf.sort_values(["priority", "start", "end"], kind="stable").itertuples(index=False):
-            a = max(1, row.start - margin)
-            b = min(row.end + margin, a + max_lines - 1)
-            if all(b < x or a > y for _, _, x, y in kept):
-                kept.append((row.file, row.priority, a, b))
-        return pd.DataFrame(kept, columns=["file", "priority", "start", "end"])
-
-    return ranges.select("file", "priority", "start", "end").groupBy("file").applyInPandas(fold, "file string, priority long, start long, end long")
+    overlaps an earlier range of its file is absorbed and does not widen it. Depends on order, so files are folds one after the
+    other over sorted partitions; what is in memory is one file's ranges."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, []
+        for pdf in batches:
+            out = []
+            for file, priority, start, end in zip(*[pdf[c].tolist() for c in ("file", "priority", "start", "end")], strict=True):
+                if file != now:
+                    now, kept = file, []
+                a = max(1, start - margin)
+                b = min(end + margin, a + max_lines - 1)
+                if all(b < x or a > y for x, y in kept):
+                    kept.append((a, b))
+                    out.append((file, priority, a, b))
+            yield pd.DataFrame(out, columns=["file", "priority", "start", "end"])
+
+    dealt = ranges.select("file", "priority", "start", "end").repartition("file").sortWithinPartitions("file", "priority", "start", "end")
+    return dealt.mapInPandas(run, "file string, priority long, start long, end long")
+
+
+def greedy(rows: DataFrame, group: str, order: Sequence[str], size: str, budget: int) -> DataFrame:
+    """rows with fits: whether a row fits what the rows of its group that come before it, and fitted, have left of the budget. A row
+    that does not fit takes nothing, and later and smaller ones may still fit; neither does one of null size. This is sequential
+    within a group, so a group is one pass over a sorted partition, with one number as its state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left = object(), budget
+        for batch in batches:
+            fits = []
+            for key, n in zip(batch.column(at).to_pylist(), batch.column(by).to_pylist(), strict=True):
+                if key != now:
+                    now, left = key, budget
+                fits.append(n is not None and n <= left)
+                left -= n if fits[-1] else 0
+            yield batch.append_column("fits", pa.array(fits, pa.bool_()))
+
+    at, by = rows.columns.index(group), rows.columns.index(size)
+    dealt = rows.repartition(group).sortWithinPartitions(group, *order)
+    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("fits", T.BooleanType())]))
 
 
 def trim(rows: DataFrame, group: str, order: Sequence[str], size: Column, budget: int) -> DataFrame:
     """The rows of each group, in order, that a greedy budget takes: a row that does not fit is skipped, later and smaller
-    ones may still fit. Sequential within a group, so each group is one fold."""
-    schema = f"{rows.select(group, *order).schema.simpleString()[7:-1]}, size bigint"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, keep = budget, []
-        pdf = pdf.sort_values(list(order), kind="stable")
-        for n in pdf["size"]:
-            keep.append(n <= left)
-            left -= n if n <= left else 0
-        return pdf[keep]
-
-    return rows.select(group, *order, size.cast("long").alias("size")).groupBy(group).applyInPandas(fold, schema)
+    ones may still fit."""
+    sized = rows.select(group, *order, size.cast("long").alias("size"))
+    return greedy(sized, group, order, "size", budget).filter("fits").drop("fits")
 
 
 def align(cases: DataFrame, evidence: DataFrame, containment: DataFrame, edges: DataFrame) -> DataFrame:

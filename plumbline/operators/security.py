@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .discovery import name_tokens
-
 #: Rules.
 RULES = {
     "SEC001": "hard-coded secret",
@@ -44,33 +42,40 @@ SINKS = {
 }
 #: Algorithms that are weak, in lower case without hyphens.
 WEAK = ("md5", "sha1", "des", "des/ecb/pkcs5padding", "rc4", "descbc")
-SENSITIVE = ("password", "passwd", "secret", "token", "key", "credential", "auth")
-#: Known shapes of secrets (fixed values).
-KNOWN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|\bsk-[A-Za-z0-9_-]{20,}|\bghp_[A-Za-z0-9]{36}|\bAKIA[0-9A-Z]{16}\b"
+#: Words that tell a purpose, and names and values that are no secrets.
+SENSITIVE = ("password", "secret", "session", "nonce", "csrf", "auth", "reset", "token", "key")
+NOT_SECURITY = "(?i)checksum|cache|fingerprint|simulation|shuffle|sample|parser|label|game"
+PLACEHOLDER = r"(?i)placeholder|example|changeme|your[_ -]|<|\$\{|process\.env"
+#: Shapes of whole values that are secrets.
+KNOWN = r"^(?:(?:sk-[A-Za-z0-9_-]{20,}|ghp_[A-Za-z0-9]{30,}|AKIA[A-Z0-9]{16})$|-----BEGIN (?:RSA )?PRIVATE KEY-----)"
 
 
 def sensitive_name(name: Column, words: Sequence[str] = SENSITIVE) -> Column:
-    return F.arrays_overlap(name_tokens(name), F.array(*[F.lit(w) for w in words]))
+    """True if a word of the name is one of `words`; words end at a capital after a small letter and at what is no letter."""
+    parts = F.split(F.lower(F.regexp_replace(name, "([a-z])([A-Z])", "$1_$2")), "[^a-z]+")
+    return F.arrays_overlap(parts, F.array(*[F.lit(w) for w in words]))
 
 
 def secret_parts(name: Column, value: Column) -> dict[str, Column]:
-    """The parts of the secret predicate: known shape; or a telling name with 28 or more characters, 12 or more of them
-    distinct, of three or more classes, and not all hexadecimal."""
+    """The parts of the secret predicate: excused (a placeholder, or a name of another purpose); a known shape; or a telling name
+    with 28 or more characters, 12 or more of them distinct, of three or more classes (small, capital, digit, neither letter,
+    digit nor underscore), and not all hexadecimal digits and hyphens."""
     chars = F.filter(F.split(value, ""), lambda c: c != "")
-    classes = sum((value.rlike(p).cast("int") for p in ("[A-Z]", "[0-9]", "[^A-Za-z0-9]")), value.rlike("[a-z]").cast("int"))
+    classes = sum((value.rlike(p).cast("int") for p in ("[A-Z]", "[0-9]", r"(?U)[^\w]")), value.rlike("[a-z]").cast("int"))
     return {
+        "excused": value.rlike(PLACEHOLDER) | name.rlike(NOT_SECURITY),
         "known": value.rlike(KNOWN),
         "telling_name": sensitive_name(name),
         "long": F.length(value) >= 28,
         "varied": F.size(F.array_distinct(chars)) >= 12,
         "mixed": classes >= 3,
-        "hex": value.rlike("^[0-9a-fA-F]+$"),
+        "hex": value.rlike("^[0-9a-fA-F-]+$"),
     }
 
 
 def is_secret(name: Column, value: Column) -> Column:
     p = secret_parts(name, value)
-    return p["known"] | (p["telling_name"] & p["long"] & p["varied"] & p["mixed"] & ~p["hex"])
+    return ~p["excused"] & (p["known"] | (p["telling_name"] & p["long"] & p["varied"] & p["mixed"] & ~p["hex"]))
 
 
 def sinks(calls: DataFrame) -> DataFrame:

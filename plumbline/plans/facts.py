@@ -26,19 +26,19 @@ def query(sql: str | None = None, *names: str, recursive: bool = False):
     return add
 
 
-_NAMES = "['src/main/java/A', 'lib/gen/B', 'test/C', 'docs/D', 'src/app/E.spec', 'F'][page_id % 6 + 1] || page_id || ['.java', '.ts', '.md', '.png', '.json', '.js', ''][page_id % 7 + 1]"
+_NAMES = "['src/main/java/A', 'lib/generated/B', 'test/C', 'docs/D', 'src/app/E.spec', 'F'][page_id % 6 + 1] || page_id || ['.java', '.ts', '.md', '.png', '.json', '.js', ''][page_id % 7 + 1]"
 
 
 def _files(spark, sf_dir):
     pick = lambda n, *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("page_id") % n + 1).cast("int"))
-    stem = pick(6, "src/main/java/A", "lib/gen/B", "test/C", "docs/D", "src/app/E.spec", "F")
+    stem = pick(6, "src/main/java/A", "lib/generated/B", "test/C", "docs/D", "src/app/E.spec", "F")
     path = F.concat(stem, F.col("page_id"), pick(7, ".java", ".ts", ".md", ".png", ".json", ".js", ""))
     return I.classified(table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.octet_length("html").cast("long").alias("size_bytes")))
 
 
 _CLASSIFIED = f"""WITH p AS (SELECT page_id, {_NAMES} AS path, octet_length(encode(html)) AS size_bytes, page_id % 6 AS a, page_id % 7 AS b FROM pages),
-c AS (SELECT *, ['JAVA', 'TYPESCRIPT', NULL, NULL, NULL, 'JAVASCRIPT', NULL][b + 1] AS language,
- CASE WHEN b = 3 THEN 'BINARY' WHEN b IN (0, 1, 5) THEN CASE WHEN a = 1 THEN 'GENERATED' WHEN a = 2 THEN 'TEST' ELSE 'SOURCE' END WHEN b = 4 THEN 'CONFIG' WHEN b = 2 THEN 'DOC' ELSE 'OTHER' END AS kind FROM p),
+c AS (SELECT *, ['JAVA', 'TYPESCRIPT', 'MARKDOWN', NULL, 'JSON', 'JAVASCRIPT', NULL][b + 1] AS language,
+ CASE WHEN b = 3 THEN 'BINARY' WHEN a = 1 THEN 'GENERATED' WHEN b IN (0, 1, 5) THEN CASE WHEN a = 2 THEN 'TEST' ELSE 'SOURCE' END WHEN b = 4 THEN 'CONFIG' WHEN b = 2 THEN 'DOCUMENTATION' ELSE 'OTHER' END AS kind FROM p),
 f AS (SELECT *, kind IN ('SOURCE', 'TEST') AS ok FROM c)
 """
 
@@ -65,9 +65,17 @@ def inventory_statistics(spark, sf_dir):
     return I.statistics(_files(spark, sf_dir))
 
 
-@query()
+@query(
+    _CLASSIFIED.replace("WITH p AS", "WITH RECURSIVE p AS", 1)
+    + """, s AS (SELECT page_id // 20 AS snapshot, path, kind, size_bytes, row_number() OVER (PARTITION BY page_id // 20 ORDER BY path) AS r FROM f),
+t AS (SELECT snapshot, path, r, CASE WHEN kind = 'BINARY' THEN 'BINARY' WHEN size_bytes > 3000 THEN 'TOO_LARGE' WHEN size_bytes <= 12000 THEN 'HASHED' ELSE 'BUDGET' END AS hash_status,
+  12000 - CASE WHEN kind <> 'BINARY' AND size_bytes <= 3000 THEN size_bytes ELSE 0 END AS room FROM s WHERE r = 1
+ UNION ALL SELECT s.snapshot, s.path, s.r, CASE WHEN s.kind = 'BINARY' THEN 'BINARY' WHEN s.size_bytes > 3000 THEN 'TOO_LARGE' WHEN s.size_bytes <= t.room THEN 'HASHED' ELSE 'BUDGET' END,
+  t.room - CASE WHEN s.kind <> 'BINARY' AND s.size_bytes <= 3000 AND s.size_bytes <= t.room THEN s.size_bytes ELSE 0 END FROM t JOIN s ON s.snapshot = t.snapshot AND s.r = t.r + 1)
+SELECT snapshot, path, hash_status FROM t"""
+)
 def hash_budget(spark, sf_dir):
-    return I.hash_budget(_files(spark, sf_dir).withColumn("snapshot", F.col("page_id") % 5), "snapshot", limit=8_000, budget=40_000)
+    return I.hash_budget(_files(spark, sf_dir).withColumn("snapshot", F.floor(F.col("page_id") / 20)), "snapshot", limit=3_000, budget=12_000)
 
 
 # -- resolution -------------------------------------------------------------------------------------------------
@@ -186,16 +194,33 @@ p AS (SELECT doc_id, regexp_extract(hit, '^(\w+)', 1) AS name, regexp_extract(hi
 """
 
 
+def _pairs(spark, sf_dir):
+    hits = F.regexp_extract_all("text", F.lit(r'([A-Za-z0-9_]+ ?[=:] ?"?[A-Za-z0-9_+/\-]{16,})'), F.lit(1))
+    m = table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("hit"))
+    return m.select("doc_id", F.regexp_extract("hit", "^([A-Za-z0-9_]+)", 1).alias("name"), F.regexp_extract("hit", r'[=:] ?"?([A-Za-z0-9_+/\-]+)$', 1).alias("value"))
+
+
+_TELLING = r"""len(list_intersect(regexp_split_to_array(lower(regexp_replace(name, '([a-z])([A-Z])', '\1_\2', 'g')), '[^a-z]+'), ['password', 'secret', 'session', 'nonce', 'csrf', 'auth', 'reset', 'token', 'key'])) > 0"""
+
+
 @query(
     _PAIRS
-    + r"""SELECT doc_id, count(*)::BIGINT AS pairs, count(*) FILTER (length(value) >= 28)::BIGINT AS long, count(*) FILTER (regexp_matches(value, '^[0-9a-fA-F]+$'))::BIGINT AS hex,
- count(*) FILTER (len(list_distinct(str_split(value, ''))) >= 12)::BIGINT AS varied, count(*) FILTER (len(list_intersect(str_split(lower(regexp_replace(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '_'),
- ['password', 'passwd', 'secret', 'token', 'key', 'credential', 'auth'])) > 0)::BIGINT AS telling FROM p GROUP BY doc_id"""
+    + rf""", j AS (SELECT *, CASE WHEN regexp_matches(value, '(?i)placeholder|example|changeme|your[_ -]') OR regexp_matches(name, '(?i)checksum|cache|fingerprint|simulation|shuffle|sample|parser|label|game') THEN false
+  ELSE regexp_matches(value, '^(sk-[A-Za-z0-9_-]{{20,}}|ghp_[A-Za-z0-9]{{30,}}|AKIA[A-Z0-9]{{16}})$') OR ({_TELLING} AND length(value) >= 28 AND len(list_distinct(str_split(value, ''))) >= 12
+   AND regexp_matches(value, '[a-z]')::INT + regexp_matches(value, '[A-Z]')::INT + regexp_matches(value, '[0-9]')::INT + regexp_matches(value, '[^A-Za-z0-9_]')::INT >= 3 AND NOT regexp_matches(value, '^[0-9a-fA-F-]+$')) END AS secret FROM p)
+SELECT doc_id, name, value, secret FROM j"""
+)
+def secret_verdicts(spark, sf_dir):
+    return _pairs(spark, sf_dir).withColumn("secret", S.is_secret(F.col("name"), F.col("value")))
+
+
+@query(
+    _PAIRS
+    + rf"""SELECT doc_id, count(*)::BIGINT AS pairs, count(*) FILTER (length(value) >= 28)::BIGINT AS long, count(*) FILTER (regexp_matches(value, '^[0-9a-fA-F-]+$'))::BIGINT AS hex,
+ count(*) FILTER (len(list_distinct(str_split(value, ''))) >= 12)::BIGINT AS varied, count(*) FILTER ({_TELLING})::BIGINT AS telling FROM p GROUP BY doc_id"""
 )
 def secret_scan(spark, sf_dir):
-    hits = F.regexp_extract_all("text", F.lit(r'([A-Za-z0-9_]+ ?[=:] ?"?[A-Za-z0-9_+/\-]{16,})'), F.lit(1))
-    m = table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("hit"))
-    p = m.select("doc_id", F.regexp_extract("hit", "^([A-Za-z0-9_]+)", 1).alias("name"), F.regexp_extract("hit", r'[=:] ?"?([A-Za-z0-9_+/\-]+)$', 1).alias("value"))
+    p = _pairs(spark, sf_dir)
     parts = S.secret_parts(F.col("name"), F.col("value"))
     count = lambda c: F.count_if(parts[c])
     return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), count("long").alias("long"), count("hex").alias("hex"), count("varied").alias("varied"), count("telling_name").alias("telling"))
@@ -331,10 +356,14 @@ def feature_rows(spark, sf_dir):
     return H.unpivot_features(rows, "doc_id", ["n_chars", "quality"])
 
 
-@query()
+@query(
+    """WITH RECURSIVE s AS (SELECT o_custkey, o_orderkey, floor(o_totalprice)::BIGINT AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
+t AS (SELECT o_custkey, o_orderkey, size, r, size <= 900000 AS kept, 900000 - CASE WHEN size <= 900000 THEN size ELSE 0 END AS room FROM s WHERE r = 1
+ UNION ALL SELECT s.o_custkey, s.o_orderkey, s.size, s.r, s.size <= t.room, t.room - CASE WHEN s.size <= t.room THEN s.size ELSE 0 END FROM t JOIN s ON s.o_custkey = t.o_custkey AND s.r = t.r + 1)
+SELECT o_custkey, o_orderkey, size FROM t WHERE kept"""
+)
 def greedy_budget(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return H.trim(rows, "source", ["doc_id"], F.col("n_chars"), 20_000)
+    return H.trim(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"], F.floor("o_totalprice"), 900_000)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS occurrences FROM events GROUP BY ALL")
