@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import architecture, evaluation, facts
+    from . import architecture, assembly, evaluation, facts
 
-    return [architecture, evaluation, facts]
+    return [architecture, evaluation, facts, assembly]
 
 
 def all_queries() -> dict:

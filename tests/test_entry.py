@@ -24,6 +24,22 @@ def test_only_the_corpus_subpackage_imports_itself():
             assert "plumbline.llm" not in path.read_text() and "from .llm" not in path.read_text()
 
 
+def test_the_rest_works_without_the_corpus_subpackage(tmp_path):
+    """As the driver does it: the subpackage and its tests go, the pipeline file stays or goes too."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q); assert 'pipeline' not in q and not [n for n in q if n.startswith('op')]"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path / "repo")}
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, check=True)
+        (tmp_path / "repo/corpus_pipeline.py").unlink(missing_ok=True)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 @pytest.mark.parametrize("name", ["rule_findings", "check_summary", "node_metrics", "confusion_grouping_sets", "flow_lattice"])
 def test_query_equals_sql(spark, name):
