@@ -475,7 +475,7 @@ def test_near_copies_without_an_id_go(spark):
     assert sorted((r["doc_id"], r["text"] == text) for r in simhash.keep_one(df).collect()) == [(5, True), (9, False)]
 
 
-@pytest.mark.parametrize(("bits", "crowd", "segments"), [(2, 64, 7), (2, 3, 7), (2, 64, 5), (2, 1, 3), (1, 2, 7), (1, 64, 4), (3, 4, 10), (3, 1, 5), (0, 1, 4)])
+@pytest.mark.parametrize(("bits", "crowd", "segments"), [(2, 64, 7), (2, 3, 7), (2, 64, 5), (2, 1, 3), (1, 2, 7), (1, 64, 4), (3, 4, 10), (3, 1, 5), (0, 1, 4), (4, 64, 13), (4, 4, 13)])
 def test_simhash_links_lose_nothing(spark, bits, crowd, segments):
     r = random.Random(crowd)
     fps = {r.getrandbits(64) for _ in range(40)}
