@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200, rows_per_task: int = 200_000) -> DataFrame:
     """edges (a, b) -> (v, label): label is the smallest vertex of v's component. Vertices without edges are not
     there. Each round takes the smallest label among neighbours, then the label of that label, so long chains
     shorten geometrically; labels only fall, and a round without change ends the loop. Each round is a reliable
-    checkpoint; nothing is collected but the count of changes."""
+    checkpoint; nothing is collected but the count of changes. The rounds' tasks follow the number of edges, as a few edges
+    in as many tasks as the session shuffles into cost their overhead again in every round."""
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    tasks = both.count() // rows_per_task + 1
+    both = checkpointed(both.coalesce(tasks))
+    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")).coalesce(tasks))
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("v").alias("b"), F.col("label").alias("other")), "b")
         least = near.groupBy(F.col("a").alias("v")).agg(F.min("other").alias("near"))
         hooked = labels.join(least, "v").select("v", "label", F.least("label", "near").alias("low"))
-        hooked = checkpointed(hooked)
+        hooked = checkpointed(hooked.coalesce(tasks))
         jump = hooked.select(F.col("v").alias("low"), F.col("low").alias("lower"))
-        moved = checkpointed(hooked.join(jump, "low", "left").select("v", "label", F.least("low", F.coalesce("lower", "low")).alias("new")))
+        moved = checkpointed(hooked.join(jump, "low", "left").select("v", "label", F.least("low", F.coalesce("lower", "low")).alias("new")).coalesce(tasks))
         changed = moved.filter(F.col("new") != F.col("label")).limit(1).count()
         labels = moved.select("v", F.col("new").alias("label"))
         if not changed:
