@@ -14,7 +14,8 @@ Crowded keys: a key with more than `crowd` fingerprints is not joined by itself,
 The chain goes on instead: the segments after the key may differ in one bit up to the last segment whose budget is 1 (7
 segments and 2 bits: six segments, 55 bits), so one side sends these bits as they are, and with each of the free ones
 flipped, and the equi-join is over all of them. So few bits are left that what meets is nearly always a link; the work is
-one row a free bit, and no link is lost, for any number of bits.
+one row a free bit and one a link, and no link is lost, for any number of bits. Links are not thinned, so a group of
+near copies with many different fingerprints within `bits` bits of each other makes rows with the square of its size.
 
 Cases: a null or empty text, or one without words, has fingerprint zero and is linked as any other; of one or two
 words the whole sequence is the only shingle; null doc_ids take part and name no component unless all ids in
