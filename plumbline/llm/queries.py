@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, mixing, quality, simhash, substr, token_io, urls
+from . import align, ann, bpe, chat, exact, langid, mixing, periods, quality, simhash, substr, token_io, urls
 from .common import read_table, shared_dir, word_count, written
 
 WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -76,6 +76,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substr.digest_kept(read_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.classes(read_table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return align.digest_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest_runs(read_table(spark, sf_dir, "documents"), prepare=periods.planted_period)
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, {WORD_SQL} AS w FROM documents),
 g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h
@@ -142,4 +162,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_nearest_neighbours": OP4_SQL, "op7_mix_sources": OP7_SQL, "op8_chat_format": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op4_nearest_neighbours": OP4_SQL, "op7_mix_sources": OP7_SQL, "op8_chat_format": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_exact_dedup": OP11_SQL}
