@@ -29,6 +29,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,37 +69,39 @@ class Pair:
         self.a.encode_special_tokens = True
         letters = _byte_letters()
         vocab = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = {i: bytes(letters[c] for c in token) for token, i in vocab.items() if all(c in letters for c in token)}
+        # an added token is no entry of the vocabulary; as no text gives its id, its bytes are not asked for
+        self.a_bytes = [b""] * (1 + max(vocab.values()))
+        for token, i in vocab.items():
+            self.a_bytes[i] = bytes(letters.get(c, 0) for c in token)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
         if any(WORD_START in p.lstrip(WORD_START) for p in pieces):
             raise ValueError("pieces of the second tokenizer go on past a space")
-        self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(WORD_START, " ").encode() for i, p in enumerate(pieces)}
-
-    def groups(self, unit: str, a: list[int], b: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]] | None:
-        """The groups of a unit; None if the tokens do not give its bytes back."""
-        raw = unit.encode()
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        if b"".join([a_bytes.get(x, b"") for x in a]) != raw or b"".join([b_bytes[x] for x in b]) != raw:
-            return None
-        if len(a) == len(b) == 1:
-            return [((a[0],), (b[0],))]
-        a_end = np.cumsum([len(a_bytes[x]) for x in a]).tolist()
-        b_end = np.cumsum([len(b_bytes[x]) for x in b]).tolist()
-        out, i, j = [], 0, 0
-        a_at = {x: k + 1 for k, x in enumerate(a_end)}
-        for k, end in enumerate(b_end):
-            to = a_at.get(end)
-            if to is not None:
-                out.append((tuple(a[i:to]), tuple(b[j : k + 1])))
-                i, j = to, k + 1
-        return out
-
-    def encoded(self, units: list[str]) -> list[list | None]:
-        """The groups of each unit, a space and what follows it."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        ids_b = self.b.encode([u[1:] for u in units], num_threads=1)
-        return [self.groups(u, a, b) for u, a, b in zip(units, ids_a, ids_b, strict=True)]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(WORD_START, " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
+
+    def encoded(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """The number of groups of each unit (a space and what follows it; -1 if its tokens do not give its bytes back); the
+        A ids and the B ids of all units one after the other; the number of A ids and of B ids of each group. No unit
+        but the last ends with white space, so both tokenizers cut the joined units where units meet, and one
+        call encodes them."""
+        text, sizes = "".join(units), [len(u.encode()) for u in units]
+        ids_a = np.asarray(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+        ids_b = np.asarray(self.b.encode(text[1:], num_threads=1), np.int64)
+        raw = text.encode()
+        if b"".join([self.a_bytes[i] for i in ids_a.tolist()]) != raw or b"".join([self.b_bytes[i] for i in ids_b.tolist()]) != raw:
+            if len(units) == 1:
+                return np.array([-1]), *[np.zeros(0, np.int64)] * 4
+            return tuple(map(np.concatenate, zip(*[self.encoded([u]) for u in units], strict=True)))
+        # where tokens of both end, a group ends
+        ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        ends = np.cumsum(sizes)
+        last = np.searchsorted(common, ends)
+        if (common[last] != ends).any():
+            raise ValueError("a token goes on past a space")
+        n_a, n_b = (np.diff(np.searchsorted(x, common), prepend=-1) for x in (ends_a, ends_b))
+        return np.diff(last, prepend=-1), ids_a, ids_b, n_a, n_b
 
     def links(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
         """The (A id, B id) of all tokens of a group whose byte ranges overlap."""
@@ -122,6 +125,20 @@ def _pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
+def interned(ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """Numbers of groups that are given one after the other, equal ones having one number, and the distinct groups. A group
+    is dictionary-encoded as the bytes of its size of A and all of its ids, so the comparison is exact."""
+    starts = _starts(1 + n_a + n_b)
+    flat = np.empty(int(starts[-1]), "<u4")
+    flat[starts[:-1]] = n_a
+    flat[np.repeat(starts[:-1] + 1 - (np.cumsum(n_a) - n_a), n_a) + np.arange(len(ids_a))] = ids_a
+    flat[np.repeat(starts[:-1] + 1 + n_a - (np.cumsum(n_b) - n_b), n_b) + np.arange(len(ids_b))] = ids_b
+    words = pa.Array.from_buffers(pa.large_binary(), len(n_a), [None, pa.py_buffer((4 * starts).tobytes()), pa.py_buffer(flat.tobytes())])
+    encoded = words.dictionary_encode()
+    distinct = [np.frombuffer(x, "<u4").tolist() for x in encoded.dictionary.to_pylist()]
+    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), [(tuple(x[1 : 1 + x[0]]), tuple(x[1 + x[0] :])) for x in distinct]
+
+
 def key_of(a: tuple[int, ...], b: tuple[int, ...]) -> str:
     return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
 
@@ -152,22 +169,24 @@ class Block:
             own = [] if not text or WORD_START in text else CUT.split(" " + text)
             owned.append(len(own))
             units += [numbers.setdefault(u, len(numbers)) for u in own]
-        names = list(numbers)
-        groups: dict[tuple, int] = {}
-        unit_groups, bad = [], np.zeros(len(names), bool)
-        for at in range(0, len(names), 4096):
-            for i, found in enumerate(pair.encoded(names[at : at + 4096]), at):
-                bad[i] = found is None
-                unit_groups.append([] if found is None else [groups.setdefault(g, len(groups)) for g in found])
-        units, owned = np.asarray(units, np.int64), np.asarray(owned, np.int64)
+        # units that end with white space (the last of some texts) are encoded alone, after all others
+        names = sorted(numbers, key=lambda u: u[-1].isspace())
+        rank = np.empty(len(names), np.int64)
+        rank[[numbers[u] for u in names]] = np.arange(len(names))
+        cut = sum(not u[-1].isspace() for u in names)
+        chunks = [names[at : min(at + 4096, cut)] for at in range(0, cut, 4096)] + [[u] for u in names[cut:]]
+        found = [pair.encoded(chunk) for chunk in chunks]
+        n_groups, *parts = map(np.concatenate, zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
+        unit_groups, self.groups = interned(*parts)
+        bad = n_groups < 0
+        units, owned = rank[np.asarray(units, np.int64)], np.asarray(owned, np.int64)
         doc = np.repeat(np.arange(len(texts)), owned)
         lost = np.zeros(len(texts), bool)
         lost[doc[bad[units]]] = True  # a text that does not come back has no tokens
         self.units = units[~lost[doc]]
         self.sizes = np.where(lost, 0, owned)
-        self.unit_starts = _starts([len(g) for g in unit_groups])
-        self.unit_groups = np.asarray([x for g in unit_groups for x in g], np.int64)
-        self.groups = list(groups)
+        self.unit_starts = _starts(np.maximum(n_groups, 0))
+        self.unit_groups = unit_groups
         self.keys = [key_of(*g) for g in self.groups]
         self.lengths = np.asarray([(len(a), len(b)) for a, b in self.groups], np.int64).reshape(-1, 2)
         self.pair = pair
