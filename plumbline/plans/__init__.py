@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import architecture, assembly, evaluation, facts
+    from . import architecture, assembly, evaluation, facts, programs
 
-    return [architecture, evaluation, facts, assembly]
+    return [architecture, evaluation, facts, assembly, programs]
 
 
 def all_queries() -> dict:

@@ -39,6 +39,17 @@ RELATIONS = {
     "user_vertex": """SELECT DISTINCT user_id AS v FROM events""",
     "file": """SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*/?', '') AS path,
         regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/.*$', '') AS host FROM pages""",
+    # programs: a user is a function, visits are its values, places (a dozen visits and an event type) the nodes of its control flow
+    "visit": """SELECT user_id AS f, event_id AS n, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+        CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'view' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END AS code FROM events""",
+    "place": """SELECT f, n, event_type, value, k, rn, CAST((rn - rn % 12) * 8 + code AS BIGINT) AS spot FROM visit""",
+    "path_step": """SELECT f, n, event_type, value, k, rn, spot, lead(n) OVER (PARTITION BY f ORDER BY rn) AS next_n, lead(value) OVER (PARTITION BY f ORDER BY rn) AS next_value,
+        lead(event_type) OVER (PARTITION BY f ORDER BY rn) AS next_type, lead(spot) OVER (PARTITION BY f ORDER BY rn) AS next_spot, lag(n) OVER (PARTITION BY f ORDER BY rn) AS last_n FROM place""",
+    "control": """SELECT DISTINCT f AS function, spot AS src, next_spot AS dst FROM path_step WHERE next_spot IS NOT NULL AND next_spot <> spot""",
+    "written": """SELECT DISTINCT f AS function, spot AS node, CASE event_type WHEN 'purchase' THEN 'basket' ELSE 'name' END AS variable FROM place WHERE event_type IN ('purchase', 'signup')""",
+    # a value goes on to the next visit if that one is worth more; a purchase before a purchase is a call of the function that it names
+    "value_flow": """SELECT f AS function, n AS src, next_n AS dst, next_type FROM path_step WHERE next_value > value""",
+    "call_site": """SELECT f AS function, n AS site, k AS callee, n, last_n, next_n FROM path_step WHERE event_type = 'purchase' AND next_type = 'purchase'""",
     # predictions against labels: text length predicts quality, unlabelled documents are unknown
     "judged": """SELECT d.doc_id AS case_id, source AS family, lang AS language, quality, toxic, n_chars,
         CASE WHEN quality IS NULL THEN 'UNKNOWN' WHEN quality = 1 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS truth,
