@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from plumbline.functions.ids import uuid5
+from plumbline.functions.strict import object_problem
 
 from .graph import ancestors
 
@@ -123,12 +124,10 @@ def answer_problems(answers: DataFrame, targets: DataFrame, subjects: DataFrame,
     cited = references.groupBy("target").agg(F.collect_set("ref").alias("_refs"))
     rows = answers.join(targets.select("target", F.col("node").alias("_node"), F.col("rule").alias("_rule")), "target", "left")
     rows = rows.join(given, "target", "left").join(cited, "target", "left")
-    keys = F.json_object_keys("json")
     inside = lambda part, whole: F.coalesce(F.size(F.array_except(part, whole)) == 0, F.size(part) == 0)
     problem = (
         F.when(F.length("json") > MAX_ANSWER, "SIZE")
-        .when(keys.isNull(), "JSON")
-        .when(F.size(F.array_distinct(keys)) < F.size(keys), "REPEATED_KEY")
+        .when(object_problem(F.col("json")).isNotNull(), object_problem(F.col("json")))
         .when(F.coalesce(F.col("rule") != F.col("_rule"), F.lit(True)), "RULE")
         .when(~F.array_contains("subjects", F.col("_node")), "TARGET")
         .when(~inside(F.col("subjects"), F.col("_nodes")), "SUBJECTS")

@@ -50,6 +50,16 @@ RELATIONS = {
     # a value goes on to the next visit if that one is worth more; a purchase before a purchase is a call of the function that it names
     "value_flow": """SELECT f AS function, n AS src, next_n AS dst, next_type FROM path_step WHERE next_value > value""",
     "call_site": """SELECT f AS function, n AS site, k AS callee, n, last_n, next_n FROM path_step WHERE event_type = 'purchase' AND next_type = 'purchase'""",
+    # a customer is a file, whose orders are declarations around those of their lines
+    "outline": """SELECT custkey AS file, row_number() OVER (PARTITION BY custkey ORDER BY orderkey, line, partkey, suppkey, price, shipped) AS position, custkey * 100000 + row_number() OVER (PARTITION BY custkey ORDER BY orderkey, line, partkey, suppkey, price, shipped) AS declaration,
+        orderkey, line, name, arity, asked FROM (
+        SELECT o_custkey AS custkey, o_orderkey AS orderkey, 0 AS line, 0 AS partkey, 0 AS suppkey, 0.0 AS price, o_orderdate AS shipped, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS name, CAST(lines AS INT) AS arity, -1 AS asked
+        FROM orders JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY l_orderkey) AS c ON l_orderkey = o_orderkey
+        UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_returnflag, CAST(round(l_tax * 100) AS INT), CAST(round(l_discount * 100) AS INT) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS u""",
+    # the part that a part was first bought with is its base; one brand is withdrawn
+    "repository": """SELECT p_partkey AS repository, base, CASE WHEN p_size > 45 THEN 'large' ELSE 'usual' END AS family, CASE WHEN p_type = 'PROMO' THEN 'TEST' ELSE 'TRAIN' END AS split FROM part
+        LEFT JOIN (SELECT a.l_partkey AS p, min(b.l_partkey) AS base FROM lineitem a JOIN (SELECT l_partkey AS fp, min(l_orderkey) AS fo FROM lineitem GROUP BY l_partkey) AS f ON a.l_partkey = fp AND a.l_orderkey = fo
+          JOIN lineitem b ON b.l_orderkey = fo AND b.l_partkey <> fp GROUP BY a.l_partkey) AS x ON p = p_partkey WHERE p_brand <> 'Brand#2'""",
     # predictions against labels: text length predicts quality, unlabelled documents are unknown
     "judged": """SELECT d.doc_id AS case_id, source AS family, lang AS language, quality, toxic, n_chars,
         CASE WHEN quality IS NULL THEN 'UNKNOWN' WHEN quality = 1 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS truth,

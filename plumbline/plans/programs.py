@@ -1,13 +1,17 @@
-"""Queries of data flow, dominance, guards and calls over programs made from the events (see adapters.RELATIONS), with recursive SQL."""
+"""Queries of data flow, dominance, guards, calls, declarations, packs, lineage and manifests over relations made from the tables
+(see adapters.RELATIONS), with SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from plumbline.operators import dataflow as D
+from plumbline.operators import declarations as C
+from plumbline.operators import lineage as L
 from plumbline.operators.interprocedural import MAX_CALL_DEPTH
+from plumbline.sources import manifests as M
 
-from .adapters import oracle, relation
+from .adapters import oracle, relation, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -168,3 +172,101 @@ def call_findings(spark, sf_dir):
     """Errors whose value comes to clicks, calls matched with their returns."""
     program = _program(spark, sf_dir)
     return D.findings(D.summaries(program, D.value_reach(program))[1])
+
+
+# -- declarations ---------------------------------------------------------------------------------------------------
+
+
+def _outline(spark, sf_dir):
+    rows = relation(spark, sf_dir, "outline")
+    ends = rows.groupBy("file", "orderkey").agg(F.max("position").alias("last"))
+    rows = rows.join(ends, ["file", "orderkey"])
+    declarations = rows.select("file", "declaration", F.col("position").alias("start"), F.when(F.col("line") == 0, F.col("last")).otherwise(F.col("position")).alias("end"), "name", "arity")
+    return declarations, rows.filter("line > 0")
+
+
+@query(
+    """, calls AS (SELECT file, declaration AS call, orderkey, name, asked FROM outline WHERE line > 0),
+near AS (SELECT c.call, o.declaration AS target, CASE WHEN o.line > 0 THEN 1 ELSE 2 END AS distance FROM calls c JOIN outline o ON o.file = c.file AND o.name = c.name AND o.arity = c.asked AND (o.line = 0 OR o.orderkey = c.orderkey)),
+best AS (SELECT call, min(distance) AS distance FROM near GROUP BY call),
+told AS (SELECT call, count(*) AS n, list(target ORDER BY target)[1:4] AS targets FROM near JOIN best USING (call, distance) GROUP BY call)
+SELECT call, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 1 THEN 'UNAMBIGUOUS_LOCAL' ELSE 'UNRESOLVED' END AS state, coalesce(n, 0)::BIGINT AS candidates, coalesce(array_to_string(targets, ','), '') AS targets FROM calls LEFT JOIN told USING (call)""",
+    "outline", recursive=False,
+)
+def lexical_targets(spark, sf_dir):
+    """Each line calls what its order, or else its customer, declares under its flag with its discount as the number of arguments."""
+    declarations, lines = _outline(spark, sf_dir)
+    calls = lines.select("file", F.col("declaration").alias("call"), "position", "name", F.col("asked").alias("arity"))
+    return C.lexical_targets(calls, declarations).withColumn("targets", F.array_join("targets", ","))
+
+
+@query(
+    """, base(type, base) AS (SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'c' || c_custkey, c_mktsegment FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+member(type, name, target) AS (SELECT 'n' || s_nationkey, floor(s_acctbal / 1000)::BIGINT, 's' || s_suppkey FROM supplier UNION ALL SELECT c_mktsegment, floor(c_acctbal / 100)::BIGINT, 'c' || c_custkey FROM customer UNION ALL SELECT 'r' || n_regionkey, length(n_name)::BIGINT, 'n' || n_nationkey FROM nation),
+up AS (SELECT DISTINCT type, type AS b, 0 AS distance FROM base UNION SELECT u.type, x.base, u.distance + 1 FROM up u JOIN base x ON x.type = u.b),
+near AS (SELECT o_orderkey AS call, target, distance FROM orders JOIN up ON up.type = 'c' || o_custkey JOIN member m ON m.type = up.b AND m.name = floor(o_totalprice / 50000)::BIGINT),
+best AS (SELECT call, min(distance) AS distance FROM near GROUP BY call), told AS (SELECT call, count(*) AS n, list(target ORDER BY target)[1:4] AS targets FROM near JOIN best USING (call, distance) GROUP BY call)
+SELECT o_orderkey AS call, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 1 THEN 'EXACT' ELSE 'UNRESOLVED' END AS state, coalesce(n, 0)::BIGINT AS candidates, coalesce(array_to_string(targets, ','), '') AS targets FROM orders LEFT JOIN told ON call = o_orderkey"""
+    .replace(", base(", "WITH RECURSIVE base(", 1),
+)
+def member_targets(spark, sf_dir):
+    """Orders call members of their customer's type, which derives from the types of its nation and segment."""
+    c, n, s, o = (table(spark, sf_dir, t) for t in ("customer", "nation", "supplier", "orders"))
+    of = lambda letter, column: F.concat(F.lit(letter), F.col(column))
+    bases = c.select(of("c", "c_custkey").alias("type"), of("n", "c_nationkey").alias("base")).union(c.select(of("c", "c_custkey"), "c_mktsegment")).union(n.select(of("n", "n_nationkey"), of("r", "n_regionkey")))
+    members = s.select(of("n", "s_nationkey").alias("type"), F.floor(F.col("s_acctbal") / 1000).alias("name"), of("s", "s_suppkey").alias("target"))
+    members = members.union(c.select("c_mktsegment", F.floor(F.col("c_acctbal") / 100), of("c", "c_custkey"))).union(n.select(of("r", "n_regionkey"), F.length("n_name").cast("long"), of("n", "n_nationkey")))
+    calls = o.select(F.col("o_orderkey").alias("call"), of("c", "o_custkey").alias("type"), F.floor(F.col("o_totalprice") / 50000).alias("name"), F.lit(0).alias("arity"))
+    return C.member_targets(calls, members.withColumn("arity", F.lit(0)), bases).withColumn("targets", F.array_join("targets", ","))
+
+
+@query(
+    """WITH bought AS (SELECT DISTINCT o_custkey AS file, l_suppkey AS fact FROM lineitem JOIN orders ON l_orderkey = o_orderkey), wanted AS (SELECT s_nationkey, count(*) AS wanted FROM supplier WHERE s_acctbal >= 0 GROUP BY s_nationkey),
+met AS (SELECT file, s_nationkey, count(*) FILTER (s_acctbal >= 0) AS met, count(*) FILTER (s_acctbal < 0) AS broken FROM bought JOIN supplier ON s_suppkey = fact GROUP BY ALL)
+SELECT file, s_nationkey AS pack, CASE WHEN broken > 0 THEN 'INVALIDATED' WHEN met = wanted THEN 'HOLDS' ELSE 'INCOMPLETE' END AS status, met, coalesce(wanted, 0)::BIGINT AS wanted, broken FROM met LEFT JOIN wanted USING (s_nationkey)""",
+)
+def packs_that_hold(spark, sf_dir):
+    """A nation's pack asks for all its suppliers, but for those in debt, which invalidate it."""
+    facts = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("pack"), F.col("s_suppkey").alias("fact"), (F.col("s_acctbal") < 0).alias("invalidates"))
+    return C.packs_that_hold(facts.select(F.col("o_custkey").alias("file"), F.col("l_suppkey").alias("fact")), asked)
+
+
+# -- data sets -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """, walk AS (SELECT repository, repository AS at_, [repository] AS path, false AS crossed, 'on' AS state, family, split FROM repository
+  UNION ALL SELECT w.repository, b.repository, list_append(w.path, b.repository), w.crossed OR b.family <> w.family OR b.split <> w.split,
+   CASE WHEN a.base IS NULL THEN 'end' WHEN b.repository IS NULL THEN 'missing' WHEN list_contains(w.path, b.repository) THEN 'cycle' ELSE 'on' END, w.family, w.split
+  FROM walk w JOIN repository a ON a.repository = w.at_ LEFT JOIN repository b ON b.repository = a.base WHERE w.state = 'on')
+SELECT repository, CASE WHEN bool_or(crossed) THEN 'CROSSING' WHEN bool_or(state = 'missing') THEN 'MISSING' WHEN bool_or(state = 'cycle') THEN 'CYCLE' END AS problem,
+ CASE WHEN NOT bool_or(state = 'cycle') THEN count(*) FILTER (state = 'on') - 1 END AS ancestors,
+ max(CASE WHEN state = 'cycle' THEN list_min(path[list_position(path, at_):]) END) AS cycle FROM walk GROUP BY repository""",
+    "repository",
+)
+def lineage_problems(spark, sf_dir):
+    return L.lineage_problems(relation(spark, sf_dir, "repository"))
+
+
+@query(
+    """WITH line AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS place FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+whole AS (SELECT l_orderkey AS manifest, CASE WHEN count(DISTINCT l_linenumber) < count(*) THEN 'REPEATED_KEY' WHEN any_value(o_orderstatus) = 'P' THEN 'JSON' END AS code FROM line GROUP BY l_orderkey),
+item AS (SELECT line.*, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS times FROM line JOIN whole ON manifest = l_orderkey WHERE code IS NULL)
+SELECT manifest, NULL::INTEGER AS place, code FROM whole WHERE code IS NOT NULL UNION ALL SELECT l_orderkey, place::INTEGER, 'FIELD' FROM item WHERE l_discount = 0
+UNION ALL SELECT l_orderkey, place::INTEGER, 'SPLIT' FROM item WHERE l_discount > 0 AND l_returnflag = 'R' UNION ALL SELECT l_orderkey, place::INTEGER, 'PATH' FROM item WHERE l_discount > 0 AND l_quantity > 45
+UNION ALL SELECT l_orderkey, place::INTEGER, 'REPEATED_REPOSITORY' FROM item WHERE times > 1""",
+)
+def manifest_problems(spark, sf_dir):
+    """An order is the text of a manifest of its lines. Lines of one number repeat a key of its index; a pending order has text after
+    the object; a line without discount names no split, one with a large quantity has a path out of the data set."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    line = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.col("l_partkey").cast("string").alias("repository"), F.col("l_suppkey").cast("string").alias("family"),
+        F.when(F.col("l_discount") > 0, F.element_at(F.create_map(*map(F.lit, ("A", "TRAIN", "N", "DEV", "R", "HELD"))), F.col("l_returnflag"))).alias("split"),
+        F.concat(F.when(F.col("l_quantity") > 45, "../").otherwise("src/"), "l_linestatus", F.lit("/"), "l_partkey").alias("path"),
+    )
+    orders = rows.groupBy(F.col("l_orderkey").alias("manifest")).agg(F.array_sort(F.collect_list(line)).alias("lines"), F.first("o_orderstatus").alias("status"))
+    index = F.array_join(F.transform("lines", lambda x: F.concat(F.lit('"'), x["l_linenumber"], F.lit('":1'))), ",")
+    text = F.concat(F.lit('{"repositories":'), F.to_json("lines"), F.lit(',"index":{'), index, F.lit("}}"), F.when(F.col("status") == "P", " pending").otherwise(""))
+    return M.load_manifests(orders.select("manifest", text.alias("text")))[1]
