@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .adapters import whole_oracles
+
 
 def _modules() -> list:
     from . import architecture, assembly, evaluation, facts, programs
@@ -15,4 +17,5 @@ def all_queries() -> dict:
 
 
 def all_oracles() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.ORACLES.items()}
+    own = {name: sql for m in _modules() for name, sql in m.ORACLES.items()}
+    return own | whole_oracles()

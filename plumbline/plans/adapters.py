@@ -71,6 +71,24 @@ RELATIONS = {
 
 # name -> (function, SQL) over a part of the tables: not registered, tests compare the two
 PARTS: dict = {}
+_PART_SQL: dict[str, tuple[str, tuple[str, ...], bool]] = {}
+
+#: Queries whose SQL is that of their part with the relation or the condition that made it a part replaced.
+WHOLE = {
+    **dict.fromkeys("graph_candidates dependency_matrix module_cohesion topology_top_k layer_groups direction_evidence betweenness".split(), {"arc": "link"}),
+    **dict.fromkeys("strong_components component_summary pagerank_six_rounds k_hop context_selection".split(), {"twofold": "follow", "sparse": "follow"}),
+    "edge_difference": {"twofold": "follow_later", "sparse": "follow_earlier"},
+    "path_lengths": {"twofold": "follow", "sparse": "follow", " WHERE v % 10 = 3": ""},
+    "resolve_status": {" WHERE page_id % 9 = 0": ""},
+    "resolution_ladder": {" WHERE o_orderkey % 20 = 1": ""},
+    "arity_join": {" WHERE o_orderkey % 10 = 3": ""},
+    "model_violations": {" WHERE o_orderkey % 50 = 7": ""},
+    "evidence_alignment": {" WHERE c_custkey % 15 = 0": ""},
+    "kappa_rater_pairs": {" WHERE o_custkey % 10 = 1": ""},
+    "grouped_split": {" WHERE o_orderkey % 5 = 0": ""},
+    "scoped_extras": {" WHERE o_orderkey % 6 = 0": ""},
+    "role_arbitration": {" WHERE c_custkey % 4 = 1": ""},
+}
 
 
 def part(sql: str, *names: str, recursive: bool = False):
@@ -78,11 +96,26 @@ def part(sql: str, *names: str, recursive: bool = False):
 
     def add(f):
         PARTS[f.__name__] = f, oracle(sql, *names, recursive=recursive)
+        _PART_SQL[f.__name__] = sql, names, recursive
         return f
 
     return add
 
 
+def whole_oracles() -> dict[str, str]:
+    """The SQL of the queries of WHOLE, over all rows."""
+    out = {}
+    for name, changes in WHOLE.items():
+        sql, names, recursive = _PART_SQL[f"{name}_part"]
+        for old, new in changes.items():
+            if old.startswith(" "):
+                sql = sql.replace(old, new)
+            else:
+                sql, names = re.sub(rf"\b{old}\b", new, sql), tuple(dict.fromkeys(new if n == old else n for n in names))
+        out[name] = oracle(sql, *names, recursive=recursive)
+    return out
+
+
 def needed(*names: str) -> list[str]:
     """The relations that names rest on, in order, themselves included."""
     out: list[str] = []

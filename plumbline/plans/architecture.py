@@ -175,12 +175,15 @@ def _metrics(spark, sf_dir, edges="arc"):
     return G.node_metrics(relation(spark, sf_dir, "component").select("v"), relation(spark, sf_dir, edges))
 
 
-@query(_METRICS + "SELECT *, in_degree / 24.0::DOUBLE AS in_centrality, out_degree / 24.0::DOUBLE AS out_centrality FROM i", "arc", "component")
+_ALL_METRICS = _METRICS.replace(" arc ", " link ") + "SELECT *, in_degree / 24.0::DOUBLE AS in_centrality, out_degree / 24.0::DOUBLE AS out_centrality FROM i"
+
+
+@query(_ALL_METRICS, "link", "component")
 def node_metrics(spark, sf_dir):
-    return _metrics(spark, sf_dir)
+    return _metrics(spark, sf_dir, "link")
 
 
-@query()
+@query(_ALL_METRICS, "link", "component")
 def node_metrics_all_pairs(spark, sf_dir):
     return _metrics(spark, sf_dir, "link")
 

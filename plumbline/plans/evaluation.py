@@ -312,14 +312,14 @@ def review_violations(spark, sf_dir):
 
 
 @query(
-    """, t AS (SELECT case_id, truth, CASE WHEN family < 'src2' THEN 'TEST' ELSE 'TRAIN' END AS split, n_chars FROM judged WHERE case_id % 5 > 0),
+    """, t AS (SELECT case_id, truth, CASE WHEN family < 'src2' THEN 'TEST' ELSE 'TRAIN' END AS split, n_chars FROM judged),
 a AS (SELECT doc_id AS anchor_id, n_chars > 500 AS ok FROM documents), j AS (SELECT anchor_id, concat_ws(',', CASE WHEN truth IS NULL THEN 'NO_TRUTH' END, CASE WHEN truth = 'UNKNOWN' THEN 'UNKNOWN_LABEL' END,
   CASE WHEN split = 'TEST' THEN 'HELD_OUT' END, CASE WHEN NOT ok THEN 'FEATURES_MISSING' END) AS reasons FROM a LEFT JOIN t ON anchor_id = case_id)
 SELECT anchor_id, reasons, reasons = '' AS eligible FROM j""",
     "judged",
 )
 def training_rows(spark, sf_dir):
-    truth = _judged(spark, sf_dir).filter("case_id % 5 > 0").select("case_id", F.col("truth").alias("label"), F.when(F.col("family") < "src2", "TEST").otherwise("TRAIN").alias("split"))
+    truth = _judged(spark, sf_dir).select("case_id", F.col("truth").alias("label"), F.when(F.col("family") < "src2", "TEST").otherwise("TRAIN").alias("split"))
     anchors = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("anchor_id"), F.col("doc_id").alias("case_id"), (F.col("n_chars") > 500).alias("features_complete"))
     return V.training_rows(anchors, truth).select("anchor_id", "reasons", "eligible")
 

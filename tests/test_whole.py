@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import __spark_entry__ as entry
-from plumbline.plans.adapters import PARTS, relation
+from plumbline.plans.adapters import PARTS, WHOLE, relation
 
 DATA = "/root/testdata/sf0.001"
 entry.queries()  # fills PARTS
@@ -184,6 +184,11 @@ def test_whole_equals_sql_without_the_condition(spark, con, name):
     assert same(entry.queries()[name](spark, DATA), con, sql.replace(CONDITIONS[name], ""))
 
 
+@pytest.mark.parametrize("name", ["node_metrics", "training_rows", *sorted(WHOLE)])
+def test_query_over_all_rows_equals_its_sql(spark, con, name):
+    assert same(entry.queries()[name](spark, DATA), con, entry.oracle_sql()[name])
+
+
 def test_fragments_of_all_files(spark, con):
     files = defaultdict(list)
     for f, p, a, b in con.execute("select l_partkey::varchar, l_linenumber, l_orderkey % 500, (l_orderkey % 500 + l_quantity)::bigint from lineitem").fetchall():
