@@ -12,15 +12,20 @@ hash blocks, queries to blocks of `query_block`, and each pair of blocks is a ce
 and a batch. Cells return k rows a query; a window keeps the best k. Among equal vectors only the k + 1 smallest
 ids of a batch can be in a result, so a vector that is everywhere costs no more than others.
 
-Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of another
-dimension than the most common one (ties: the larger); components of any size are scaled exactly; equal cosines go to the smaller id; rows with a null id take no
-part; a query's own row, told by its id, is no candidate; fewer than k candidates are all returned; extra columns
-are not read.
+Rows are numbered before they are indexed: a query's own row is no candidate, but other rows of its id are, and rows that
+share an id are found and asked apart. Vectors of different dimensions have no cosine, so each dimension is searched by itself:
+it is part of the cell.
+
+Cases: vectors that are null, zero, or hold null or non-finite components take no part; components of any size are scaled
+exactly; equal cosines go to the smaller id, then to the first row as read; rows with a null id take no part; repeated rows are
+rows of their own; fewer than k candidates are all returned; an empty table gives an empty table; extra columns are
+not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,7 @@ from .common import written
 PLANES = 8
 
 
+@lru_cache(maxsize=4)
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
     """A random orthogonal matrix of the least multiple of 64 that holds dim."""
     n = -(-dim // 64) * 64
@@ -80,53 +86,52 @@ def cosines(vectors: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return add(vectors * vector) / (np.sqrt(add(vectors * vectors)) * np.sqrt(add((vector * vector)[None, :])))
 
 
-def distinct_rows(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
-    """Which rows to keep: of equal vectors the k + 1 smallest ids."""
+def distinct_rows(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Which rows to keep: of equal vectors the k + 1 smallest ids, then rows."""
     _, group = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * vectors.itemsize}").ravel(), return_inverse=True)
-    order = np.lexsort((ids, group))
+    order = np.lexsort((rows, ids, group))
     first = np.append(True, group[order][1:] != group[order][:-1])
     place = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
     return order[place <= k]
 
 
 class Cell:
-    """The best k candidates so far of each query of a block."""
+    """The best k candidates so far of each query of a block: score, id and row of each."""
 
-    def __init__(self, k: int, turn: np.ndarray, epsilon: float):
-        self.k, self.turn, self.epsilon = k, turn, epsilon
-        self.ids, self.vectors, self.queries, self.best = [], [], [], []
+    def __init__(self, k: int, dim: int, epsilon: float):
+        self.k, self.turn, self.epsilon = k, rotation(dim), epsilon
+        self.ids, self.rows, self.vectors, self.queries, self.best = [], [], [], [], []
 
-    def add_queries(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add_queries(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> None:
         self.ids += ids.tolist()
+        self.rows += rows.tolist()
         self.vectors += list(vectors)
         self.queries += [Query(v, self.turn) for v in vectors]
-        self.best += [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        self.best += [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
 
-    def add_rows(self, ids: np.ndarray, vectors: np.ndarray, words: np.ndarray, f: np.ndarray) -> None:
-        keep = distinct_rows(ids, vectors, self.k)
-        ids, vectors, words, f = ids[keep], vectors[keep], words[keep], f[keep]
+    def add_rows(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, words: np.ndarray, f: np.ndarray) -> None:
+        keep = distinct_rows(ids, rows, vectors, self.k)
+        ids, rows, vectors, words, f = ids[keep], rows[keep], vectors[keep], words[keep], f[keep]
         ones = np.bitwise_count(words).sum(1, dtype=np.int64)
         error = self.epsilon * np.sqrt(np.maximum(1 - f * f, 0) / (f * f) / (len(self.turn) - 1))
         for i, query in enumerate(self.queries):
             guess = query.estimate(words, ones, f)
             upper = guess + error + query.rounding / f
-            score, own = self.best[i]
             m = min(len(ids), 4 * self.k + 1)
             near = np.argpartition(-guess, m - 1)[:m]
-            score, own = self._merge(i, score, own, ids[near], vectors[near])
-            least = score[-1] if len(score) == self.k else -np.inf
+            best = self._merge(i, self.best[i], ids[near], rows[near], vectors[near])
+            least = best[0][-1] if len(best[0]) == self.k else -np.inf
             more = np.flatnonzero(upper >= least)
             more = more[~np.isin(more, near)]
-            self.best[i] = self._merge(i, score, own, ids[more], vectors[more])
+            self.best[i] = self._merge(i, best, ids[more], rows[more], vectors[more])
 
-    def _merge(self, i: int, score: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
-        other = ids != self.ids[i]
+    def _merge(self, i: int, best: tuple, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> tuple:
+        other = rows != self.rows[i]
         if not other.any():
-            return score, own
-        score = np.append(score, cosines(vectors[other], self.vectors[i]))
-        own = np.append(own, ids[other])
-        order = np.lexsort((own, -score))[: self.k]
-        return score[order], own[order]
+            return best
+        score, own, row = np.append(best[0], cosines(vectors[other], self.vectors[i])), np.append(best[1], ids[other]), np.append(best[2], rows[other])
+        order = np.lexsort((row, own, -score))[: self.k]
+        return score[order], own[order], row[order]
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -140,22 +145,24 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, dim)
 
 
-def indexed(rows: DataFrame, dim: int, turn: np.ndarray) -> DataFrame:
-    """rows (id, v, q) of one dimension with their codes (binary) and correction scalars f: the index, coded once."""
+def indexed(rows: DataFrame) -> DataFrame:
+    """rows (row, id, v, q, dim) with their codes (binary) and correction scalars f: the index, coded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                words, f = encode(scaled(_matrix(batch.column(1), dim)), turn)
+            dims = batch.column(4).to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                words, f = encode(scaled(_matrix(part.column(2), dim)), rotation(dim))
                 size = words.shape[1] * 8
-                codes = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((np.arange(len(batch) + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
-                yield pa.record_batch([*batch.columns, codes, pa.array(f)], names=["id", "v", "q", "code", "f"])
+                codes = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((np.arange(len(part) + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
+                yield pa.record_batch([*part.columns, codes, pa.array(f)], names=["row", "id", "v", "q", "dim", "code", "f"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("f", T.DoubleType())]))
 
 
 def usable(vector: Column) -> Column:
-    """True for vectors that take part, but for their dimension."""
+    """True for vectors that take part."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
@@ -174,52 +181,57 @@ def search(
     # 4-byte components stay such, which halves what is shuffled; sums are made of 8-byte ones
     kind = vectors.schema[vector_column].dataType
     v = F.col(vector_column) if getattr(kind, "elementType", None) == T.FloatType() else F.col(vector_column).cast("array<double>")
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v"), is_query.alias("q"))
-    rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v")))
-    schema = "query_id long, vec_id long, score double"
-    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("q"))
-    top = dims.orderBy(F.col("n").desc(), F.col("d").desc()).first()
-    dim, n, n_queries = (top["d"], top["n"], top["q"] or 0) if top else (1, 0, 0)
-    turn = rotation(dim)
-    rows = written(indexed(rows.filter(F.size("v") == dim), dim, turn))
-    blocks = max(1, -(-n // data_block), min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 500)))
-    groups = max(1, -(-n_queries // query_block))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), v.alias("v"), is_query.alias("q"), F.size(v).alias("dim"))
+    rows = written(indexed(rows.filter(F.col("id").isNotNull() & usable(F.col("v")))))
+    schema = "query_row long, query_id long, vec_id long, vec_row long, score double"
+    # one row a dimension: how many blocks its rows and queries are dealt to
+    least = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    up = lambda a, n: F.greatest(F.lit(1), F.ceil(a / n)).cast("int")
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked"))
+    sizes = sizes.select("dim", F.greatest(up(F.col("n"), data_block), F.least(F.lit(least), up(F.col("n"), 500))).alias("blocks"), up(F.col("asked"), query_block).alias("groups"))
+    sizes = written(sizes)
+    cells_of_all = sizes.agg(F.sum(F.col("blocks") * F.col("groups"))).first()[0] or 1
     # each query goes to all data blocks, each row to all query blocks
-    side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    of = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    asked = rows.filter("q").select(of(1, groups).alias("g"), side(blocks).alias("b"), F.lit(0).alias("kind"), "id", "v", "code", "f")
-    data = rows.select(side(groups).alias("g"), of(2, blocks).alias("b"), F.lit(1).alias("kind"), "id", "v", "code", "f")
-    cells = asked.union(data).select((F.col("g") * blocks + F.col("b")).alias("cell"), "kind", "id", "v", "code", "f")
+    side = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda salt, n: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(n)).cast("int")
+    sized = rows.join(sizes, "dim")
+    keep = ("dim", "blocks", "row", "id", "v", "code", "f")
+    asked = sized.filter("q").select(of(1, "groups").alias("g"), side("blocks").alias("b"), F.lit(0).alias("kind"), *keep)
+    data = sized.select(side("groups").alias("g"), of(2, "blocks").alias("b"), F.lit(1).alias("kind"), *keep)
+    cells = asked.union(data).select((F.col("g") * F.col("blocks") + F.col("b")).cast("long").alias("cell"), "kind", "dim", "row", "id", "v", "code", "f")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, now = None, None
 
         def result(c: Cell) -> pa.RecordBatch:
-            size = [len(s) for s, _ in c.best]
-            ids = np.repeat(np.array(c.ids, np.int64), size)
-            flat = [np.concatenate(x) if x else np.zeros(0) for x in ([o for _, o in c.best], [s for s, _ in c.best])]
-            return pa.record_batch([pa.array(ids), pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(float))], names=["query_id", "vec_id", "score"])
+            size = [len(best[0]) for best in c.best]
+            flat = [np.concatenate([best[i] for best in c.best]) if c.best else np.zeros(0) for i in range(3)]
+            asked = [np.repeat(np.array(x, np.int64), size) for x in (c.rows, c.ids)]
+            columns = [*asked, flat[1].astype(np.int64), flat[2].astype(np.int64), flat[0].astype(float)]
+            return pa.record_batch([pa.array(x) for x in columns], names=["query_row", "query_id", "vec_id", "vec_row", "score"])
 
         for batch in batches:
-            own, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.append(0, np.flatnonzero((own[1:] != own[:-1]) | (kind[1:] != kind[:-1])) + 1)
+            own, kind, dims = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.append(0, np.flatnonzero((own[1:] != own[:-1]) | (kind[1:] != kind[:-1]) | (dims[1:] != dims[:-1])) + 1)
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)], strict=True):
                 if a == b:
                     continue
-                if cell is None or own[a] != now:
+                dim = int(dims[a])
+                if cell is None or (dim, own[a]) != now:
                     if cell is not None:
                         yield result(cell)
-                    cell, now = Cell(k, turn, epsilon), own[a]
+                    cell, now = Cell(k, dim, epsilon), (dim, own[a])
                 part = batch.slice(a, b - a)
-                ids, x = part.column(2).to_numpy(), scaled(_matrix(part.column(3), dim))
+                rows_, ids, x = part.column(3).to_numpy(), part.column(4).to_numpy(), scaled(_matrix(part.column(5), dim))
                 if kind[a]:
-                    words = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(part), -1)
-                    cell.add_rows(ids, x, words, part.column(5).to_numpy())
+                    words = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint64).reshape(len(part), -1)
+                    cell.add_rows(ids, rows_, x, words, part.column(7).to_numpy())
                 else:
-                    cell.add_queries(ids, x)
+                    cell.add_queries(ids, rows_, x)
         if cell is not None:
             yield result(cell)
 
-    found = cells.repartitionById(blocks * groups, F.col("cell")).sortWithinPartitions("cell", "kind").mapInArrow(run, schema)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    dealt = cells.repartitionById(int(cells_of_all), F.pmod(F.col("cell") + F.col("dim") * 7, F.lit(int(cells_of_all))).cast("int"))
+    found = dealt.sortWithinPartitions("dim", "cell", "kind").mapInArrow(run, schema)
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "vec_row"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -122,15 +122,15 @@ FROM c GROUP BY conv_id
 """
 
 OP4_SQL = """
-WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+WITH e AS (SELECT vec_id, row_number() OVER () AS r, embedding::DOUBLE[] AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 n AS (SELECT *, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS norm FROM e),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] * q.v[i]),
+p AS (SELECT q.vec_id AS query_id, q.r AS query_row, c.vec_id, c.r, list_reduce(list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] * q.v[i]),
         lambda a, b: a + b) / (c.norm * q.norm) AS score
-      FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+      FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.v) = len(c.v))
+SELECT query_id, (row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, r))::INTEGER AS rank, vec_id, score
 FROM p QUALIFY rank <= 5
 """
 

@@ -10,12 +10,13 @@ and 2 bits: three segments, 27 bits, seven keys a fingerprint). The longer prefi
 the join condition, the whole ring last, which is the full Hamming check. All on distinct fingerprints, so
 exact copies, however many, are one vertex.
 
-Crowded keys: a key with more than `crowd` fingerprints is not joined by itself, as that would make all pairs of them.
-The chain goes on instead: the segments after the key may differ in one bit up to the last segment whose budget is 1 (7
-segments and 2 bits: six segments, 55 bits), so one side sends these bits as they are, and with each of the free ones
-flipped, and the equi-join is over all of them. So few bits are left that what meets is nearly always a link; the work is
-one row a free bit and one a link, and no link is lost, for any number of bits. Links are not thinned, so a group of
-near copies with many different fingerprints within `bits` bits of each other makes rows with the square of its size.
+Crowded keys: a key with more than `crowd` fingerprints is not joined by itself, as that would test all pairs of them.
+The chain goes on instead to the last segment whose budget is 2 (7 segments and 2 bits: the whole ring; 13 and 4: nine segments, 44
+bits). Two fingerprints that differ there in two bits or fewer meet where the one has the higher of these bits flipped and
+the other the lower, so both sides send these bits as they are and with each of the free ones flipped, and the equi-join
+is over all of them; each pair meets once a key. The chain's budgets are checked in the join condition, the whole
+ring last, so only links leave the join, and no link is lost, for any number of bits. Links are not thinned: a group of
+near copies with many different fingerprints within `bits` bits of each other has links with the square of its size.
 
 Cases: a null or empty text, or one without words, has fingerprint zero and is linked as any other; of one or two
 words the whole sequence is the only shingle; null doc_ids take part and name no component unless all ids in
@@ -96,7 +97,7 @@ def candidates(distinct: DataFrame, bits: int = 2, segments: int = 7, crowd: int
         raise ValueError("there must be more segments than bits")
     offsets, budget = ring(segments, bits)
     lead = sum(b == 0 for b in budget)  # segments that must be equal
-    reach = max(n for n in range(1, segments + 1) if budget[n - 1] <= 1)  # segments with one difference at most
+    reach = max(n for n in range(1, segments + 1) if budget[n - 1] <= 2)  # segments with two differences at most
 
     def end(i: int, n: int) -> int:
         return offsets[i + n] - offsets[i] if i + n <= segments else 64 - offsets[i] + offsets[i + n - segments]
@@ -123,15 +124,16 @@ def candidates(distinct: DataFrame, bits: int = 2, segments: int = 7, crowd: int
     x, y = F.col("a.fp"), F.col("b.fp")
     pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.key") == F.col("b.key")) & (x < y) & chain(x, y, F.col("a.i"), lead))
     pairs = pairs.select(x.alias("a"), y.alias("b"))
-    # the key of `reach` segments; one side sends itself and all that differ from it in one of the bits after the lead
+    # the key of `reach` segments, as it is (place 0) and with each of the free bits flipped, in order of their places
     full = F.element_at(F.array(*[F.lit(masks[i][reach - 1]) for i in range(segments)]), F.col("i") + 1)
     free = [[_signed(1 << ((offsets[i] + k) % 64)) for k in range(end(i, lead), end(i, reach))] if budget[reach - 1] else [] for i in range(segments)]
     flips = F.element_at(F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(x) for x in own]) for own in free]), F.col("i") + 1)
     inside = keyed.join(crowded, ["i", "key"], "left_semi").select("fp", "i", F.col("fp").bitwiseAND(full).alias("long"))
-    asked = inside.select("fp", "i", F.explode(F.transform(flips, lambda z: F.col("long").bitwiseXOR(z))).alias("long"))
-    a, b = asked.alias("a"), inside.alias("b")
-    near = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.long") == F.col("b.long")) & (x != y))
-    near = near.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    sent = inside.select("fp", "i", F.posexplode(F.transform(flips, lambda z: F.col("long").bitwiseXOR(z))).alias("place", "long"))
+    a, b = sent.alias("a"), sent.filter(F.col("place") == 0).alias("b") if budget[reach - 1] < 2 else sent.alias("b")
+    turn = (F.col("b.place") < F.col("a.place")) | ((F.col("a.place") == 0) & (F.col("b.place") == 0))
+    near = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.long") == F.col("b.long")) & (x < y) & turn & chain(x, y, F.col("a.i"), lead))
+    near = near.select(x.alias("a"), y.alias("b"))
     return pairs.union(near)
 
 
