@@ -40,7 +40,7 @@ from .common import written
 from .wordarrays import gathered
 
 #: Bytes of text of a block.
-BLOCK = 12_000_000
+BLOCK = 8_000_000
 #: Python's white space holds all that the tokenizers take for it, so a cut is never inside a run of white space.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 WORD_START = "▁"  # U+2581 stands for a space in B's pieces
@@ -289,12 +289,15 @@ def digest_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     at, *rest = (values.field(k).to_numpy() for k in range(4))
                     table[at, 2:] = np.column_stack(rest)
                 ids = np.frombuffer(ids, "<i8").reshape(-1, 2)
-                sizes, groups = np.frombuffer(head, "<u4").astype(np.int64), np.frombuffer(units, "<u4").astype(np.int64)
+                sizes, groups = np.frombuffer(head, "<u4").astype(np.int64), np.frombuffer(units, "<u4")
                 ends = _starts(sizes)
-                total = np.zeros((len(groups) + 1, 5), np.int64)
-                np.cumsum(table[groups], axis=0, out=total[1:])
-                own = total[ends[1:]] - total[ends[:-1]]
-                a, b, links, best, count = own.T
+
+                def added(column: np.ndarray) -> np.ndarray:
+                    """The sum over the groups of each document; one column at a time, as a block has millions of groups."""
+                    total = np.append(0, np.cumsum(column[groups]))
+                    return total[ends[1:]] - total[ends[:-1]]
+
+                a, b, links, best, count = map(added, table.T)
                 columns = [pa.array(ids[:, 0], mask=ids[:, 1] == 1), *map(pa.array, (a, b, sizes, links, best, count)), pa.array(digests, pa.string())]
                 yield pa.record_batch(columns, names=["doc_id", *longs, "groups_sha256"])
 
