@@ -40,7 +40,7 @@ from .common import written
 from .wordarrays import gathered
 
 #: Bytes of text of a block.
-BLOCK = 8_000_000
+BLOCK = 5_000_000
 #: Python's white space holds all that the tokenizers take for it, so a cut is never inside a run of white space.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 WORD_START = "▁"  # U+2581 stands for a space in B's pieces
