@@ -10,7 +10,9 @@ and 2 bits: three segments, 27 bits, seven keys a fingerprint). The longer prefi
 the join condition, the whole ring last, which is the full Hamming check. All on distinct fingerprints, so
 exact copies, however many, are one vertex.
 
-Crowded keys: a key with more than `crowd` fingerprints is not joined by itself, as that would test all pairs of them.
+Crowded keys: a key with more than `crowd` fingerprints is not joined by itself, as that would test all pairs of them. (A
+smaller key is: half of `crowd` tests a fingerprint at most, each a few instructions, cost less than the up to 76 rows
+that a fingerprint of a crowded key sends.)
 The chain goes on instead to the last segment whose budget is 2 (7 segments and 2 bits: the whole ring; 13 and 4: nine segments, 44
 bits). Two fingerprints that differ there in two bits or fewer meet where the one has the higher of these bits flipped and
 the other the lower, so both sides send these bits as they are and with each of the free ones flipped, and the equi-join
@@ -90,7 +92,7 @@ def _differences(a: Column, b: Column, mask: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(mask)))
 
 
-def candidates(distinct: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64) -> DataFrame:
+def candidates(distinct: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 1_024) -> DataFrame:
     """distinct: (fp), each once. Pairs (a, b), a < b, possibly repeated, that a chain of segments lets through; among them are
     all pairs within `bits` bits."""
     if not 0 <= bits < segments:
@@ -137,7 +139,7 @@ def candidates(distinct: DataFrame, bits: int = 2, segments: int = 7, crowd: int
     return pairs.union(near)
 
 
-def links(distinct: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64) -> DataFrame:
+def links(distinct: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 1_024) -> DataFrame:
     """All pairs (a, b), a < b, of fingerprints within `bits` bits, each once."""
     found = candidates(distinct, bits, segments, crowd)
     return found.filter(_differences(F.col("a"), F.col("b"), -1) <= bits).distinct()
@@ -153,7 +155,7 @@ def _labelled(distinct: DataFrame, bits: int, segments: int, crowd: int) -> Data
     return linked.union(named.filter(F.col("label").isNull()).select("fp", F.col("least").alias("component")))
 
 
-def classes(docs: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64) -> DataFrame:
+def classes(docs: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 1_024) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of every document."""
     marked = written(fingerprints(docs))
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -161,7 +163,7 @@ def classes(docs: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64)
     return marked.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 64) -> DataFrame:
+def keep_one(docs: DataFrame, bits: int = 2, segments: int = 7, crowd: int = 1_024) -> DataFrame:
     """One row of each component: that of the smallest doc_id, nulls last; among rows that share it, the first as read."""
     row, fp = fresh(*docs.columns, base="_row"), fresh(*docs.columns, base="_fp")
     columns = docs.columns
