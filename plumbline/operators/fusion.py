@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -29,19 +30,21 @@ def context_nodes(found: DataFrame, max_nodes: int = 20) -> DataFrame:
 def fragments(ranges: DataFrame, margin: int = 2, max_lines: int = 120) -> DataFrame:
     """ranges (file, priority, start, end): line ranges widened by margin and cut to max_lines, in priority order; one that
     overlaps an earlier range of its file is absorbed and does not widen it. Depends on order, so files are folds one after the
-    other over sorted partitions; what is in memory is one file's ranges."""
+    other over sorted partitions; what is in memory is one file's kept ranges, in order, so that a range is compared with one of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, kept = None, []
+        now, starts, ends = None, [], []
         for pdf in batches:
             out = []
             for file, priority, start, end in zip(*[pdf[c].tolist() for c in ("file", "priority", "start", "end")], strict=True):
                 if file != now:
-                    now, kept = file, []
+                    now, starts, ends = file, [], []
                 a = max(1, start - margin)
                 b = min(end + margin, a + max_lines - 1)
-                if all(b < x or a > y for x, y in kept):
-                    kept.append((a, b))
+                i = bisect_right(starts, b)  # kept ranges are apart, so the last that starts in time ends last
+                if i == 0 or ends[i - 1] < a:
+                    starts.insert(i, a)
+                    ends.insert(i, b)
                     out.append((file, priority, a, b))
             yield pd.DataFrame(out, columns=["file", "priority", "start", "end"])
 

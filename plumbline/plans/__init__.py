@@ -6,9 +6,9 @@ from .adapters import whole_oracles
 
 
 def _modules() -> list:
-    from . import architecture, assembly, evaluation, facts, programs
+    from . import analyses, architecture, assembly, evaluation, facts, programs
 
-    return [architecture, evaluation, facts, assembly, programs]
+    return [architecture, evaluation, facts, assembly, programs, analyses]
 
 
 def all_queries() -> dict:

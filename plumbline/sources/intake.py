@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.globs import glob_regex
 from plumbline.operators.fusion import greedy
 
+from .archives import contents, directory
+
 #: Languages by extension, names and extensions that tell a kind.
 LANGUAGES = {
     "java": "JAVA", "ts": "TYPESCRIPT", "tsx": "TYPESCRIPT", "js": "JAVASCRIPT", "jsx": "JAVASCRIPT", "py": "PYTHON", "json": "JSON",
@@ -42,25 +41,9 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_zip(spark: SparkSession, path: str, max_entries: int = 100_000, max_bytes: int = 1 << 30) -> DataFrame:
     """(archive, path, size_bytes, content, problem) of the entries of ZIP files. Unsafe paths, entries that differ only in
-    case, and archives over the limits give a row with a problem and no content."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for archive, data in zip(pdf["path"], pdf["content"], strict=True):
-                rows, seen, total = [], set(), 0
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for info in z.infolist()[: max_entries + 1]:
-                        if info.is_dir():
-                            continue
-                        name, total = info.filename, total + info.file_size
-                        parts = name.replace("\\", "/").split("/")
-                        problem = "path" if name.startswith("/") or ".." in parts or ":" in parts[0] else "case" if name.lower() in seen else "limit" if total > max_bytes or len(rows) >= max_entries else None
-                        seen.add(name.lower())
-                        rows.append((archive, name, info.file_size, None if problem else z.read(info), problem))
-                yield pd.DataFrame(rows, columns=["archive", "path", "size_bytes", "content", "problem"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "archive string, path string, size_bytes long, content binary, problem string")
+    case, archives over the limits, and what cannot be unpacked give a row with a problem and no content. See archives.directory()
+    for the same without contents."""
+    return contents(directory(spark, path, max_entries, max_bytes))
 
 
 def _ignored(path: Column, lines: Sequence[str], before: Column) -> Column:
