@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .graph import checkpointed
 from .interprocedural import MAX_CALL_DEPTH, PROOFS
+from .ranks import with_rank
 
 #: Fixed value: steps of a path after which a flow is UNKNOWN.
 MAX_FLOW_STEPS = 64
@@ -101,27 +102,36 @@ def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
     depth is the dominator's place among them, 0 for the entry. Nodes that no entry reaches are not there. edges (function,
     src, dst), entries (function, node), one a function.
 
-    A node's dominators are itself and those that all of its predecessors share: the ones that as many predecessors have as have
-    the entry. That is a count, so a node with many predecessors costs a row for each dominator and task, and no sets are
-    gathered. Predecessors that no way has come to yet do not count; sets only shrink once they are there, and the
+    A node dominates another if no way reaches that one without it. The nodes of a function are numbered, and a node holds the
+    set of those without which it is still reached, 64 to a long; number 0 is none, so bit 0 tells that it is reached at
+    all. Sets only grow along the edges, a node taking itself out, so a round passes on what is new (semi-naive) and
+    is one join and one aggregation by bit_or. What is missing in the end are the dominators, and their number is the depth. The
     rounds follow the depth of the graph."""
-    edges = checkpointed(edges.select("function", F.col("src").alias("at"), F.col("dst").alias("node")).distinct())
-    first = checkpointed(entries.select("function", "node", F.col("node").alias("dominator")).distinct())
-    edges = checkpointed(edges.join(first, ["function", "node"], "left_anti"))
-    entry = first.select("function", F.col("node").alias("dominator"))
-    state, size = first, first.count()
+    first = checkpointed(entries.select("function", "node").distinct())
+    edges = checkpointed(edges.select("function", F.col("src").alias("at"), F.col("dst").alias("node")).distinct().join(first, ["function", "node"], "left_anti"))
+    nodes = with_rank(first.union(edges.select("function", "node")).distinct(), [F.col("node")], "n", by=["function"])
+    nodes = checkpointed(nodes.select("function", "node", F.floor(F.col("n") / 64).alias("word"), F.expr("shiftleft(1L, CAST(n % 64 AS INT))").alias("own")))
+    words = checkpointed(nodes.groupBy("function", "word").agg(F.bit_or("own").alias("all")))
+    own = nodes.select("function", "node", F.col("word").alias("own_word"), "own")
+    without = lambda bits: F.when(F.col("word") == F.col("own_word"), bits.bitwiseAND(F.bitwise_not("own"))).otherwise(bits)
+    steps = checkpointed(edges.join(own, ["function", "node"]))
+    bits, none = F.lit(-1).cast("long"), F.lit(0).cast("long")
+    state = checkpointed(first.join(own, ["function", "node"]).join(words, "function").select("function", "node", "word", without(bits).alias("seen"), without(bits).alias("fresh")))
+    front = state
     while True:
-        shared = state.withColumnRenamed("node", "at").join(edges, ["function", "at"]).groupBy("function", "node", "dominator").agg(F.count(F.lit(1)).alias("n"))
-        shared = checkpointed(shared)
-        all_of = shared.join(entry, ["function", "dominator"]).select("function", "node", F.col("n").alias("all"))
-        kept = shared.join(all_of, ["function", "node"]).filter((F.col("n") == F.col("all")) & (F.col("dominator") != F.col("node"))).select("function", "node", "dominator")
-        new = checkpointed(first.union(kept).union(all_of.select("function", "node", F.col("node").alias("dominator"))))
-        rows = new.count()
-        if rows == size and not _any(new.join(state, ["function", "node", "dominator"], "left_anti")):
+        came = front.select("function", F.col("node").alias("at"), "word", "fresh").join(steps, ["function", "at"]).select("function", "node", "word", none.alias("seen"), without(F.col("fresh")).alias("came"))
+        both = state.select("function", "node", "word", "seen", none.alias("came")).union(came).groupBy("function", "node", "word").agg(F.bit_or("seen").alias("seen"), F.bit_or("came").alias("came"))
+        state = checkpointed(both.select("function", "node", "word", F.expr("seen | came").alias("seen"), F.expr("came & ~seen").alias("fresh")))
+        front = state.filter("fresh <> 0")
+        if not _any(front):
             break
-        state, size = new, rows
-    depth = new.groupBy("function", F.col("node").alias("dominator")).agg((F.count(F.lit(1)) - 1).alias("depth"))
-    return new.join(depth, ["function", "dominator"]).select("function", "node", "dominator", "depth")
+    reached = state.filter("word = 0").select("function", "node").join(words, "function")
+    missing = reached.join(state.select("function", "node", "word", "seen"), ["function", "node", "word"], "left")
+    missing = checkpointed(missing.select("function", "node", "word", F.expr("all & ~coalesce(seen, 0L)").alias("missing")))
+    depth = missing.groupBy("function", "node").agg((F.sum(F.bit_count("missing")) - 1).alias("depth"))
+    names = nodes.join(depth, ["function", "node"]).groupBy("function", "word").agg(F.collect_list(F.struct("own", F.col("node").alias("dominator"), "depth")).alias("names"))  # 64 at most
+    theirs = F.explode(F.filter("names", lambda x: F.col("missing").bitwiseAND(x["own"]) != 0)).alias("_")
+    return missing.filter("missing <> 0").join(names, ["function", "word"]).select("function", "node", theirs).select("function", "node", "_.dominator", "_.depth")
 
 
 def immediate_dominators(dominators: DataFrame) -> DataFrame:
