@@ -7,6 +7,7 @@ a checkpoint as well, partitioned by the key that the rounds join on.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as compressed Parquet files in the same folder, for frames of many rows: a checkpoint keeps rows as they are in memory. The
+    shuffle files of the statement that writes it go at its end."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        checkpointed(spark.range(1))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # -- projection ---------------------------------------------------------------------------------------------
 
 

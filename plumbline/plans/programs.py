@@ -4,10 +4,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from plumbline.operators import dataflow as D
 from plumbline.operators import declarations as C
 from plumbline.operators import lineage as L
+from plumbline.operators.graph import stored
 from plumbline.operators.interprocedural import MAX_CALL_DEPTH
 from plumbline.sources import manifests as M
 
@@ -178,11 +180,27 @@ def call_findings(spark, sf_dir):
 
 
 def _outline(spark, sf_dir):
-    rows = relation(spark, sf_dir, "outline")
-    ends = rows.groupBy("file", "orderkey").agg(F.max("position").alias("last"))
-    rows = rows.join(ends, ["file", "orderkey"])
-    declarations = rows.select("file", "declaration", F.col("position").alias("start"), F.when(F.col("line") == 0, F.col("last")).otherwise(F.col("position")).alias("end"), "name", "arity")
-    return declarations, rows.filter("line > 0")
+    """The relation outline as declarations and calls. An order's lines are put in order where the order is and travel as its row; the
+    order's place among those of its customer then numbers them all."""
+    line = table(spark, sf_dir, "lineitem")
+    hundredths = lambda c: F.round(F.col(c) * 100).cast("int")
+    line = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", F.col("l_returnflag").alias("name"), hundredths("l_tax").alias("arity"), hundredths("l_discount").alias("asked"))
+    row = F.struct(*line.columns[1:])
+    lines = line.repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("lines"))
+    own = lambda c, name: F.transform("lines", lambda x: x[c]).alias(name)
+    status = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R").alias("status")
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    orders = stored(orders.select(F.col("o_custkey").alias("file"), "o_orderkey", status, own("name", "names"), own("arity", "arities"), own("asked", "asks")))
+    before = W.partitionBy("file").orderBy("o_orderkey").rowsBetween(W.unboundedPreceding, -1)
+    first = F.coalesce(F.sum(F.size("names") + 1).over(before), F.lit(0)) + 1
+    orders = orders.repartition("file").withColumn("first", first)
+    number = (F.col("file") * 100_000 + F.col("position")).alias("declaration")
+    every = F.arrays_zip(F.concat(F.array("status"), "names").alias("name"), F.concat(F.array(F.size("arities")), "arities").alias("arity"))
+    declarations = orders.select("file", "first", F.size("names").alias("lines"), F.posexplode(every).alias("at", "_")).withColumn("position", F.col("first") + F.col("at"))
+    last = F.when(F.col("at") == 0, F.col("first") + F.col("lines")).otherwise(F.col("position"))
+    declarations = declarations.select("file", number, F.col("position").alias("start"), last.alias("end"), "_.name", "_.arity")
+    calls = orders.select("file", "first", F.posexplode(F.arrays_zip(F.col("names").alias("name"), F.col("asks").alias("asked"))).alias("at", "_")).withColumn("position", F.col("first") + F.col("at") + 1)
+    return declarations, calls.select("file", number, "position", "_.name", "_.asked")
 
 
 @query(
@@ -196,7 +214,7 @@ SELECT call, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 1 THEN 'UNAMBIGUOUS_LOCAL
 def lexical_targets(spark, sf_dir):
     """Each line calls what its order, or else its customer, declares under its flag with its discount as the number of arguments."""
     declarations, lines = _outline(spark, sf_dir)
-    calls = lines.select("file", F.col("declaration").alias("call"), "position", "name", F.col("asked").alias("arity"))
+    calls = lines.withColumnsRenamed({"declaration": "call", "asked": "arity"})
     return C.lexical_targets(calls, declarations).withColumn("targets", F.array_join("targets", ","))
 
 
