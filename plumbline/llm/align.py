@@ -6,12 +6,14 @@ both end cut the tokens into groups; within a group, an A and a B token are link
 (1) Texts are read in blocks. A block interns its distinct units (a unit is a space and the word after it, at which
 neither tokenizer merges across), encodes each once, and interns the distinct groups of A ids and B ids that units are
 made of. Links are expanded once for each distinct group of a block, and counted for its pairs of ids: in how many of
-the block's documents a pair is linked, each document once. The block is written as one row: its documents as numbers of
-units, its groups, its pair counts. (2) Pair counts are summed over blocks, and each A id gets its highest count. (3) The
-distinct groups of all blocks are the dictionary: their links are expanded once, take the counts, and are summed to
-three numbers a group. (4) These join back to the blocks by group key, and each document adds up those of its groups,
-times how often they occur. A document is in one block, so no count is taken twice; texts are not shuffled, and what
-travels is at most one row for each distinct group or pair of a block, however often it occurs.
+the block's documents a pair is linked, each document once. The block is written as small rows: one for each document with its
+numbers of groups, one for each distinct group, one for each pair count. (2) Pair counts are summed over blocks, and each A
+id gets its highest count. (3) The distinct groups of all blocks are the dictionary: their links are expanded once, take
+the counts, and are summed to three numbers a group. (4) These join back to the groups of blocks, and in partitions sorted by
+block, where the groups of a block come before its documents, each document adds up those of its groups, times how often they
+occur. A document is in one block, so no count is taken twice; texts are not shuffled, and what travels is one row for each
+document and at most one for each distinct group or pair of a block, however often it occurs. No row holds more than one
+document, so memory does not depend on how many blocks a task has.
 
 Units: texts are cut before a single space between two characters that are not white space. A's pattern starts a new piece
 there; no piece of B's vocabulary goes on past a space (this is checked when the model is loaded), so ids of a text are
@@ -45,7 +47,16 @@ BLOCK = 5_000_000
 CUT = re.compile(r"(?<=\S)(?= \S)")
 WORD_START = "▁"  # U+2581 stands for a space in B's pieces
 
-BLOCK_SCHEMA = "block long, ids binary, head binary, units binary, unit_groups binary, keys array<string>, pairs array<struct<a:int,b:int,n:long>>, digests array<string>"
+#: Units of the documents that are put together at a time; a block has most of a million.
+SLICE = 50_000
+#: What a row of a written block is, in the order in which the last step reads them.
+KEY, PAIR, DOCUMENT = 0, 1, 2
+
+PARTS = pa.schema([
+    ("block", pa.int64()), ("kind", pa.int32()), ("at", pa.int32()), ("key", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()),
+    ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.binary()), ("digest", pa.string()),
+])
+PARTS_DDL = "block long, kind int, at int, key string, a int, b int, n long, doc_id long, n_a long, n_b long, n_groups long, groups binary, digest string"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -191,58 +202,81 @@ class Block:
         self.lengths = np.asarray([(len(a), len(b)) for a, b in self.groups], np.int64).reshape(-1, 2)
         self.pair = pair
 
-    def documents(self) -> tuple[np.ndarray, np.ndarray]:
-        """The groups of all documents one after the other, and the number of each document's."""
-        groups, size = _gathered(self.unit_groups, self.unit_starts, self.units)
-        ends = _starts(size)
-        return groups, np.diff(ends[_starts(self.sizes)])
-
-    def pair_counts(self, groups: np.ndarray, sizes: np.ndarray) -> list[dict]:
-        """In how many documents each pair of ids is linked: links are expanded once a group, documents as distinct groups."""
-        pairs: dict[tuple[int, int], int] = {}
-        of_group = [sorted({pairs.setdefault(x, len(pairs)) for x in self.pair.links(a, b)}) for a, b in self.groups]
-        starts, flat = _starts([len(x) for x in of_group]), np.asarray([y for x in of_group for y in x], np.int64)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        own = np.unique(doc * max(1, len(self.groups)) + groups)
-        doc, groups = own // max(1, len(self.groups)), own % max(1, len(self.groups))
-        linked, size = _gathered(flat, starts, groups)
-        own = np.unique(np.repeat(doc, size) * max(1, len(pairs)) + linked)
-        count = np.bincount(own % max(1, len(pairs)), minlength=len(pairs))
-        return [{"a": a, "b": b, "n": n} for (a, b), n in zip(pairs, count.tolist(), strict=True) if n]
+    def slices(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """The documents in slices of about SLICE units: first and last (not included), their groups one after the other, and the
+        number of each document's. The groups of a whole block are millions."""
+        ends = _starts(self.sizes)
+        at = 0
+        while at < len(self.sizes):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+            groups, size = _gathered(self.unit_groups, self.unit_starts, self.units[ends[at] : ends[to]])
+            yield at, to, groups, np.diff(_starts(size)[ends[at : to + 1] - ends[at]])
+            at = to
+
+
+class PairCounts:
+    """In how many documents of a block each pair of ids is linked: links are expanded once a group, documents as distinct groups."""
+
+    def __init__(self, block: Block):
+        self.pairs: dict[tuple[int, int], int] = {}
+        of_group = [sorted({self.pairs.setdefault(x, len(self.pairs)) for x in block.pair.links(a, b)}) for a, b in block.groups]
+        self.starts, self.flat = _starts([len(x) for x in of_group]), np.asarray([y for x in of_group for y in x], np.int64)
+        self.counts = np.zeros(len(self.pairs), np.int64)
+
+    def add(self, groups: np.ndarray, sizes: np.ndarray) -> None:
+        n_groups, n_pairs = max(1, len(self.starts) - 1), max(1, len(self.pairs))
+        own = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n_groups + groups)
+        linked, size = _gathered(self.flat, self.starts, own % n_groups)
+        own = np.unique(np.repeat(own // n_groups, size) * n_pairs + linked)
+        self.counts += np.bincount(own % n_pairs, minlength=len(self.pairs))
+
+
+def _rows(size: int, /, **columns) -> pa.RecordBatch:
+    """A batch of PARTS; columns that are not given are null."""
+    arrays = {name: x if isinstance(x, pa.Array) else pa.array(x, PARTS.field(name).type) for name, x in columns.items()}
+    return pa.record_batch([arrays[f.name] if f.name in arrays else pa.nulls(size, f.type) for f in PARTS], schema=PARTS)
 
 
 def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """One row of BLOCK_SCHEMA for each block of documents."""
+    """Rows of PARTS: the groups of each block (KEY), its pair counts (PAIR) and its documents as numbers of groups (DOCUMENT)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         pair, task = _pair(a_path, b_path), TaskContext.get().partitionId() << 32
-        schema = pa.schema([
-            ("block", pa.int64()), ("ids", pa.binary()), ("head", pa.binary()), ("units", pa.binary()), ("unit_groups", pa.binary()), ("keys", pa.list_(pa.string())),
-            ("pairs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))), ("digests", pa.list_(pa.string())),
-        ])
         for i, batch in enumerate(gathered(batches, 1, BLOCK)):
             block = Block(batch.column(1).to_pylist(), pair)
-            groups, sizes = block.documents()
-            ends = _starts(sizes)
-            digests = []
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                joined = ";".join([block.keys[g] for g in groups[a:b].tolist()])
-                digests.append(hashlib.sha256(joined.encode()).hexdigest() if b > a else "")
-            ids = np.column_stack([batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)])
-            yield pa.record_batch([
-                pa.array([task + i]), pa.array([ids.astype("<i8").tobytes()]), pa.array([sizes.astype("<u4").tobytes()]), pa.array([groups.astype("<u4").tobytes()]),
-                pa.array([block.lengths.astype("<u4").tobytes()]), pa.array([block.keys], pa.list_(pa.string())),
-                pa.array([block.pair_counts(groups, sizes)], schema.field("pairs").type), pa.array([digests], pa.list_(pa.string())),
-            ], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK_SCHEMA)
+            own, counts = np.full(max(len(batch), len(block.keys)), task + i), PairCounts(block)
+            for at, to, groups, sizes in block.slices():
+                counts.add(groups, sizes)
+                ends = _starts(sizes)
+                raw, bounds, digests = groups.astype("<u4").tobytes(), (4 * ends).tolist(), []
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    joined = ";".join([block.keys[g] for g in groups[a:b].tolist()])
+                    digests.append(hashlib.sha256(joined.encode()).hexdigest() if b > a else "")
+                n_a, n_b = (_added(x, groups, ends) for x in block.lengths.T)
+                yield _rows(
+                    to - at, block=own[at:to], kind=np.full(to - at, DOCUMENT), doc_id=batch.column(0).slice(at, to - at), n_a=n_a, n_b=n_b, n_groups=sizes,
+                    groups=[raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], digest=digests,
+                )
+            n = len(block.keys)
+            yield _rows(n, block=own[:n], kind=np.full(n, KEY), at=np.arange(n), key=block.keys)
+            pairs = np.asarray(list(counts.pairs), np.int64).reshape(-1, 2)[counts.counts > 0]
+            yield _rows(len(pairs), kind=np.full(len(pairs), PAIR), a=pairs[:, 0], b=pairs[:, 1], n=counts.counts[counts.counts > 0])
+            del block, counts
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PARTS_DDL)
+
+
+def _added(column: np.ndarray, groups: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of a column of groups over the groups of each document."""
+    total = np.append(0, np.cumsum(column[groups]))
+    return total[ends[1:]] - total[ends[:-1]]
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """a, b, n (documents that hold the pair linked), best (whether n is the highest of the A id) of all pairs."""
-    pairs = blocks.select(F.explode("pairs").alias("p")).select("p.a", "p.b", "p.n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = blocks.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = written(pairs)
     top = pairs.groupBy("a").agg(F.max("n").alias("top"))
     return pairs.join(top, "a").select("a", "b", "n", (F.col("n") == F.col("top")).alias("best"))
@@ -267,39 +301,41 @@ def _dictionary(keys: DataFrame, a_path: str, b_path: str) -> DataFrame:
 def digest_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     blocks = written(_blocks(docs, a_path, b_path))
-    used = blocks.select("block", F.posexplode("keys").alias("at", "key"))
+    used = blocks.filter(F.col("kind") == KEY).select("block", "kind", "at", "key")
     links = _dictionary(used.select("key").distinct(), a_path, b_path)
     scored = links.join(pair_counts(blocks), ["a", "b"])
     one = scored.groupBy("key").agg(
         F.sum("m").alias("links"), F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("best"), F.sum(F.col("m") * F.col("n")).alias("count")
     )
-    # a block has a bounded number of groups, as it has a bounded number of bytes
-    back = used.join(one, "key").groupBy("block").agg(F.collect_list(F.struct("at", "links", "best", "count")).alias("values"))
-    slim = blocks.select("block", "ids", "head", "units", "unit_groups", "digests")
-    longs = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    # a block's groups come before its documents; both are rows of small size, so no batch holds more than some thousand documents
+    values = used.join(one, "key").select("block", "kind", "at", "links", "best", "count")
+    documents = blocks.filter(F.col("kind") == DOCUMENT).select("block", "kind", "doc_id", "n_a", "n_b", "n_groups", "groups", "digest")
+    both = values.unionByName(documents, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, table = None, [], None
         for batch in batches:
-            for i in range(len(batch)):
-                _, ids, head, units, lengths, digests = (batch.column(k)[i].as_py() for k in range(6))
-                values = batch.column(6)[i].values
-                table = np.zeros((len(lengths) // 8, 5), np.int64)
-                table[:, :2] = np.frombuffer(lengths, "<u4").reshape(-1, 2)
-                if values is not None:
-                    at, *rest = (values.field(k).to_numpy() for k in range(4))
-                    table[at, 2:] = np.column_stack(rest)
-                ids = np.frombuffer(ids, "<i8").reshape(-1, 2)
-                sizes, groups = np.frombuffer(head, "<u4").astype(np.int64), np.frombuffer(units, "<u4")
-                ends = _starts(sizes)
-
-                def added(column: np.ndarray) -> np.ndarray:
-                    """The sum over the groups of each document; one column at a time, as a block has millions of groups."""
-                    total = np.append(0, np.cumsum(column[groups]))
-                    return total[ends[1:]] - total[ends[:-1]]
-
-                a, b, links, best, count = map(added, table.T)
-                columns = [pa.array(ids[:, 0], mask=ids[:, 1] == 1), *map(pa.array, (a, b, sizes, links, best, count)), pa.array(digests, pa.string())]
-                yield pa.record_batch(columns, names=["doc_id", *longs, "groups_sha256"])
-
-    whole = slim.join(back, "block", "left")
-    return whole.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in longs), "groups_sha256 string"]))
+            block, kind = (batch.column(c).to_numpy() for c in ("block", "kind"))
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if first == last:
+                    continue
+                if block[first] != own:
+                    own, held, table = block[first], [], None
+                part = batch.slice(first, last - first)
+                if kind[first] == KEY:
+                    held.append(np.column_stack([part.column(c).to_numpy() for c in ("at", "links", "best", "count")]))
+                    continue
+                if table is None:
+                    rows = np.concatenate([*held, np.zeros((0, 4), np.int64)])
+                    table = np.zeros((3, int(rows[:, 0].max(initial=-1)) + 1), np.int64)
+                    table[:, rows[:, 0]] = rows[:, 1:].T
+                for at in range(0, len(part), 128):
+                    piece = part.slice(at, 128)
+                    groups = np.frombuffer(b"".join(piece.column("groups").to_pylist()), "<u4")
+                    ends = _starts(piece.column("n_groups").to_numpy())
+                    columns = [piece.column(c) for c in names[:4]] + [pa.array(_added(x, groups, ends)) for x in table] + [piece.column("digest")]
+                    yield pa.record_batch(columns, names=names)
+
+    return both.mapInArrow(run, ", ".join([f"{c} long" for c in names[:-1]] + ["groups_sha256 string"]))

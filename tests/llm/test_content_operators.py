@@ -170,6 +170,13 @@ def test_alignment_in_small_blocks(docs, rows, monkeypatch):
     assert as_rows(align.digest_documents(docs.repartition(7), A_PATH, B_PATH)) == whole
 
 
+def test_alignment_has_no_row_that_grows_with_its_block(spark):
+    """A block of many documents travels as small rows."""
+    rows = [(i, f"some words of text number {i % 50}") for i in range(3000)]
+    parts = align._blocks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), A_PATH, B_PATH)
+    assert parts.agg(F.max(F.length(F.to_json(F.struct(*parts.columns))))).first()[0] < 2000
+
+
 def test_alignment_of_an_empty_table(spark):
     got = align.digest_documents(spark.createDataFrame([], DOCS), A_PATH, B_PATH)
     assert got.count() == 0 and got.columns[0] == "doc_id"
