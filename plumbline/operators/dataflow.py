@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
+from .graph import checkpointed, dropped, stored
 from .interprocedural import MAX_CALL_DEPTH, PROOFS
 from .ranks import with_rank
 
@@ -152,42 +152,51 @@ def proven_sinks(edges: DataFrame, entries: DataFrame, definitions: DataFrame, g
     way passes one but some value is written after it: MODIFIED. If some way passes none: UNGUARDED. A sink that no way
     reaches is UNREACHABLE. guards counts those whose value arrives.
 
-    A guard counts as a definition on its edge, so one fixpoint of reaching definitions tells all: a sink is proven if
-    only guards reach it. Each variable is followed twice, with and without the writes, the latter being plain
-    dominance by the set of guards."""
-    name = lambda c: F.col(c).cast("string")
-    gates = checkpointed(guards.select("function", name("src").alias("src"), name("dst").alias("dst"), "variable", "kind").distinct())
-    gate = F.concat_ws(">", "src", "dst")
-    plain = checkpointed(edges.select("function", name("src").alias("src"), name("dst").alias("dst")).distinct())
-    cut = gates.select("function", "src", "dst").distinct()
-    passed = plain.join(cut, ["function", "src", "dst"], "left_semi").withColumn("gate", gate)
-    graph = plain.join(cut, ["function", "src", "dst"], "left_anti").union(passed.select("function", "src", F.col("gate").alias("dst"))).union(passed.select("function", F.col("gate").alias("src"), "dst"))
-    start = entries.select("function", F.lit("^").alias("src"), name("node").alias("dst"))
-    asked = checkpointed(sinks.select("function", name("node").alias("node"), "variable", "kind").distinct())
+    What arrives at a node is a set of bits for each variable and kind that some sink of the function asks for, 64 to a long:
+    that the node is reached, that some way has passed no guard, that some value is not proven, and one for each guard of the
+    function whose value arrives. Going on, a write leaves an unproven value only, a guard its own. Sets only grow, so a round
+    passes on what is new (semi-naive) and is one join and one aggregation by bit_or; it is kept as compressed files,
+    and those of the round before go. The rounds follow the depth of the graph."""
+    unproven, bare, reached = 1, 2, 4  # guards are numbered from 3
+    edge = ["function", "src", "dst"]
+    key = ["function", "node", "track", "word"]
+    asked = stored(sinks.select("function", "node", "variable", "kind").distinct())
     # a variable is followed for each kind that some sink asks for
-    wanted = checkpointed(asked.select("function", "variable", "kind").distinct())
-    follow = lambda df: df.join(wanted, [c for c in ("function", "variable", "kind") if c in df.columns])
-    tracked = lambda writes: F.to_json(F.struct("variable", "kind", writes.alias("writes"))).alias("variable")
-    at_gates = gates.select("function", gate.alias("node"), "variable", "kind")
-    at_start = wanted.select("function", F.lit("^").alias("node"), "variable", "kind")
-    written = follow(definitions.select("function", name("node").alias("node"), "variable")).select("function", "node", tracked(F.lit(True)))
-    marks = [follow(df).select("function", "node", tracked(F.lit(w))) for df in (at_gates, at_start) for w in (True, False)]
-    # what the start itself reaches; a definition in code that it does not reach is none
-    alive = start.select("function", F.col("src").alias("node"), F.lit("").alias("variable"))
-    reaching = checkpointed(reaching_definitions(graph.union(start), _all([checkpointed(x) for x in (written, *marks, alive)])))
-    alive = reaching.filter("variable = ''").select("function", F.col("node").alias("definition")).union(start.select("function", F.lit("^")))
-    reaching = reaching.filter("variable <> ''").join(alive.distinct(), ["function", "definition"], "left_semi").withColumnRenamed("variable", "tracked")
-    asked = asked.withColumn("writes", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("tracked", tracked(F.col("writes")))
-    by_guard = F.col("definition").contains(">")
-    seen = asked.join(reaching, ["function", "node", "tracked"], "left").groupBy("function", "node", "variable", "kind").agg(
-        F.count("definition").alias("n"),
-        F.bool_and(F.when(F.col("writes"), by_guard)).alias("proven"),
-        F.bool_and(F.when(~F.col("writes"), by_guard)).alias("passed"),
-        F.count_if(F.col("writes") & by_guard).alias("guards"),
+    tracks = stored(with_rank(asked.select("function", "variable", "kind").distinct(), [F.col("variable"), F.col("kind")], "track", by=["function"]))
+    # each input is stored by itself, as the shuffle files of a statement go at its end
+    gates = stored(guards.select(*edge, "variable", "kind").distinct().join(tracks, ["function", "variable", "kind"]).select(*edge, "track"))
+    gates = with_rank(gates, [F.col("src"), F.col("dst")], "n", by=["function", "track"]).withColumn("n", F.col("n") + 2)
+    gates = gates.groupBy(*edge).agg(F.collect_list(F.struct("track", "n")).alias("gates"))
+    writes = definitions.select("function", F.col("node").alias("src"), "variable").distinct().join(tracks, ["function", "variable"])
+    writes = stored(writes.groupBy("function", "src").agg(F.collect_list("track").alias("writes")))
+    # functions without a sink are not walked
+    steps = stored(edges.select(*edge).distinct().join(tracks.select("function").distinct(), "function", "left_semi"))
+    steps = stored(steps.join(gates, edge, "left").join(writes, ["function", "src"], "left"))
+    none, bit = F.lit(0).cast("long"), lambda x: F.lit(x).cast("long")
+    start = entries.select("function", "node").distinct().join(tracks.select("function", "track"), "function")
+    state = stored(start.select("function", "node", "track", none.alias("word"), bit(unproven | bare | reached).alias("seen"), bit(unproven | bare | reached).alias("fresh")))
+    sent = F.expr(f"""CASE
+        WHEN size(gate) > 0 THEN IF(word = 0 AND fresh & {reached} <> 0, array(struct(0L AS word, {reached}L AS came), struct(gate[0].n DIV 64 AS word, shiftleft(1L, CAST(gate[0].n % 64 AS INT)) AS came)), array())
+        WHEN coalesce(array_contains(writes, track), false) THEN IF(word = 0, array(struct(0L AS word, fresh & {bare | reached} | IF(fresh & {reached} <> 0, {unproven}L, 0L) AS came)), array())
+        ELSE array(struct(word, fresh AS came)) END""")
+    while True:
+        front = state.filter("fresh <> 0").select("function", F.col("node").alias("src"), "track", "word", "fresh")
+        if not _any(front):
+            break
+        came = front.join(steps, ["function", "src"]).withColumn("gate", F.expr("filter(coalesce(gates, array()), x -> x.track = track)"))
+        came = came.select("function", F.col("dst").alias("node"), "track", F.inline(sent)).select(*key, none.alias("seen"), "came")
+        both = state.select(*key, "seen", none.alias("came")).union(came).groupBy(*key).agg(F.bit_or("seen").alias("seen"), F.bit_or("came").alias("came"))
+        last, state = state, stored(both.select(*key, F.expr("seen | came").alias("seen"), F.expr("came & ~seen").alias("fresh")))
+        dropped(last)
+    whole = state.groupBy("function", "node", "track").agg(
+        F.bit_or(F.when(F.col("word") == 0, F.col("seen"))).alias("flags"),
+        F.sum(F.bit_count(F.expr(f"IF(word = 0, seen & ~{unproven | bare | reached}L, seen)"))).alias("guards"),
     )
-    verdict = F.when(F.col("n") == 0, "UNREACHABLE").when(F.col("proven"), "PROVEN").when(F.col("passed"), "MODIFIED").otherwise("UNGUARDED")
+    seen = asked.join(tracks, ["function", "variable", "kind"], "left").join(whole, ["function", "node", "track"], "left")
+    flag = lambda x: F.col("flags").bitwiseAND(bit(x)) != 0
+    verdict = F.when(F.col("flags").isNull(), "UNREACHABLE").when(~flag(unproven), "PROVEN").when(~flag(bare), "MODIFIED").otherwise("UNGUARDED")
     rule = F.element_at(F.create_map(*[F.lit(x) for kv in PROOFS.items() for x in kv]), F.col("kind"))
-    return seen.select("function", "node", "variable", "kind", rule.alias("rule_id"), verdict.alias("verdict"), "guards")
+    return seen.select("function", F.col("node").cast("string").alias("node"), "variable", "kind", rule.alias("rule_id"), verdict.alias("verdict"), F.coalesce("guards", none).alias("guards"))
 
 
 # -- calls ----------------------------------------------------------------------------------------------------------

@@ -38,7 +38,15 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes the files of stored() that nothing reads any more."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 # -- projection ---------------------------------------------------------------------------------------------

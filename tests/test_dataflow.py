@@ -128,6 +128,25 @@ def test_a_write_after_the_guard_undoes_it(spark):
     assert {(r.node, r.variable, r.kind, r.verdict) for r in got.collect()} == want
 
 
+def test_rounds_of_proven_sinks_leave_few_files(spark, tmp_path, monkeypatch):
+    """The tables of the rounds before are gone, however long the way is; 70 guards are more than the bits of one long."""
+    from plumbline.operators import graph
+
+    made, gone = [], []
+    real, drop = graph.stored, graph.dropped
+    monkeypatch.setattr(D, "stored", lambda df: made.append(real(df)) or made[-1])
+    monkeypatch.setattr(D, "dropped", lambda df: gone.append(df._stored_at) or drop(df))
+    sides = [(1, 0, i) for i in range(1, 71)] + [(1, i, 71) for i in range(1, 71)]
+    chain = [(1, i, i + 1) for i in range(71, 75)]
+    guards = table(spark, [(1, 0, i, "x", "PATH_CONFINEMENT") for i in range(1, 71)], EDGES + ", variable string, kind string")
+    sinks = table(spark, [(1, n, "x", "PATH_CONFINEMENT") for n in (0, 70, 71, 75)], "function long, node long, variable string, kind string")
+    writes = table(spark, [(1, 73, "x")], "function long, node long, variable string")
+    got = D.proven_sinks(table(spark, sides + chain, EDGES), table(spark, [(1, 0)], "function long, node long"), writes, guards, sinks)
+    assert {(r.node, r.verdict, r.guards) for r in got.collect()} == {("0", "UNGUARDED", 0), ("70", "PROVEN", 1), ("71", "PROVEN", 70), ("75", "MODIFIED", 0)}
+    kept = {df._stored_at for df in made} - set(gone)
+    assert len(gone) >= 5 and len(kept) <= 8
+
+
 def test_states_carry_what_each_way_makes_safe(spark):
     links = [(1, 0, 1, 0), (1, 1, 2, 4), (1, 0, 2, 2), (1, 2, 3, 0), (1, 3, 2, 1), (2, 0, 1, 4), (2, 1, 2, 0)]
     carried = D.carried_states(table(spark, links, EDGES + ", sanitizes long"), table(spark, [(1, 0), (2, 0)], "function long, node long"))
