@@ -8,9 +8,9 @@ standard deviations over trusted texts that the model was not fitted on. Every d
 score >= threshold. All trusted documents count, half of them (by a hash of the id) for the model and half for the
 threshold; the raw side counts all documents.
 
-Everything is DataFrame code. Counting is one aggregation over exploded n-grams that combines before its
-shuffle (at most `buckets` rows a task). The model is one row with an array of `buckets` doubles (512 KB at
-65,536), read as a scalar subquery, so scoring is a narrow pass without any shuffle or join.
+Everything is DataFrame code. Counting is one aggregation over n-grams made of exploded words, which Spark compiles
+as a whole; it combines before its shuffle (at most `buckets` rows a task). The model is one row with an array of
+`buckets` doubles (512 KB at 65,536), read as a scalar subquery, so scoring is a narrow pass without any shuffle or join.
 
 Cases: a null text has no words, fails the base rules and has score null; an empty text likewise; repeated
 rows are judged alike; labels may repeat or be null (a document counts as trusted once if any of its labels is 1);
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, checkpointed, word_list
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 REPEAT_WINDOW = 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 OUTPUT = (*BASE, "llr", "threshold", "kept")
@@ -35,24 +35,33 @@ OUTPUT = (*BASE, "llr", "threshold", "kept")
 BROADCAST_IDS = 1_000_000
 
 
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def with_repeat_words(docs: DataFrame, hashes: str = "_hashes", width: int = REPEAT_WINDOW) -> DataFrame:
-    """docs with n_repeat_words: words covered by windows of `width` words that occur twice or more in the
+def paired(hashes: str, step: int = 1) -> Column:
+    """The hash of each element of an array of hashes together with the one `step` places on."""
+    n = F.greatest(F.size(hashes) - step, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 1 + step, n), lambda x, y: F.xxhash64(x, y))
+
+
+def with_grams(docs: DataFrame, words: str = "_words") -> DataFrame:
+    """docs with the hashes of the words and of the pairs of neighbours: columns of their own, so that each is made once."""
+    return docs.withColumn("_hashes", hashed(F.col(words))).withColumn("_pairs", paired("_hashes"))
+
+
+def with_repeat_words(docs: DataFrame, pairs: str = "_pairs", width: int = REPEAT_WINDOW) -> DataFrame:
+    """docs with n_repeat_words: words covered by windows of `width` (2 or more) words that occur twice or more in the
     text, the first included.
 
-    Windows are 64-bit hashes in an array; most texts have as many distinct hashes as windows and end there.
-    Otherwise hashes are sorted with their places, places with an equal neighbour kept, and their covers added
-    up. Each step is a column of its own that later steps use more than once, so that it is computed once."""
-    windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - (width - 1)), lambda i: F.xxhash64(F.slice(hashes, i, width)))
-    none = F.array().cast("array<bigint>")
-    docs = docs.withColumn("_windows", F.when(F.size(hashes) > width, windows).otherwise(none))
+    Windows are 64-bit hashes in an array, made of those of half their width, from pairs up; most texts have as many
+    distinct hashes as windows and end there. Otherwise hashes are sorted with their places, places with an equal
+    neighbour kept, and their covers added up. Each step is a column of its own that later steps use more than once,
+    so that it is computed once."""
+    docs, span = docs.withColumn("_windows", F.col(pairs)), 2
+    while span < width:
+        step = min(span, width - span)
+        docs, span = docs.withColumn("_windows", paired("_windows", step)), span + step
     placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     empty = F.array().cast("array<struct<h:bigint,i:int>>")
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
@@ -71,31 +80,27 @@ def with_repeat_words(docs: DataFrame, hashes: str = "_hashes", width: int = REP
     return docs.withColumn("n_repeat_words", covered.cast("long")).drop("_windows", "_placed")
 
 
-def with_base_rules(docs: DataFrame, words: str = "_words", hashes: str = "_hashes") -> DataFrame:
-    """docs with the base columns; the arrays of words and of their hashes are columns of docs."""
+def with_base_rules(docs: DataFrame, words: str = "_words", pairs: str = "_pairs") -> DataFrame:
+    """docs with the base columns; the arrays of words and of the hashes of pairs are columns of docs. No white space is a
+    symbol, so symbols are counted in the text; the characters of words are those of all words put together."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    docs = docs.withColumns({"_bare": without(text, SPACE_CHARS), "_lines": lines})
-    docs = docs.withColumns(
+    docs = docs.withColumn("_lines", lines).withColumns(
         {
             "n_words": F.size(words).cast("long"),
-            "word_chars": F.length("_bare").cast("long"),
-            "n_symbols": (F.length("_bare") - F.length(without(F.col("_bare"), SYMBOLS))).cast("long"),
+            "word_chars": F.length(F.concat_ws("", words)).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
-    ).drop("_bare", "_lines")
-    docs = with_repeat_words(docs, hashes)
+    ).drop("_lines")
+    docs = with_repeat_words(docs, pairs)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return docs.withColumn("base_failed", failed)
 
 
-def gram_buckets(hashes: str, buckets: int) -> Column:
-    """Bucket numbers of all 1- and 2-grams: even buckets hold words, odd ones pairs."""
-    half = F.lit(buckets // 2)
-    ones = F.transform(hashes, lambda h: (2 * F.pmod(h, half)).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(hashes) - 1), lambda i: F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)))
-    twos = F.transform(pairs, lambda h: (2 * F.pmod(h, half) + 1).cast("int"))
-    return F.when(F.size(hashes) > 1, F.concat(ones, twos)).otherwise(ones)
+def bucket(h: Column, buckets: int, odd: int) -> Column:
+    """The bucket of a gram: even ones hold words, odd ones pairs."""
+    return (2 * F.pmod(h, F.lit(buckets // 2)) + odd).cast("int")
 
 
 def trusted_halves(trusted: DataFrame) -> DataFrame:
@@ -105,13 +110,23 @@ def trusted_halves(trusted: DataFrame) -> DataFrame:
     return ids.select("_t", (F.pmod(F.shiftright(F.xxhash64("_t"), 8), F.lit(2)) == 0).alias("_fit"))
 
 
-def hashed_words(docs: DataFrame, ids: DataFrame | None = None, n_ids: int = 0) -> DataFrame:
-    """(_hashes) of all documents, or of those with an id in ids (_t). Ids are broadcast up to BROADCAST_IDS of them; more are
+def words_of(docs: DataFrame, ids: DataFrame | None = None, n_ids: int = 0) -> DataFrame:
+    """(_words) of all documents, or of those with an id in ids (_t). Ids are broadcast up to BROADCAST_IDS of them; more are
     joined, and nulls do not take part in that."""
     if ids is not None:
         few = F.broadcast if n_ids <= BROADCAST_IDS else lambda df: df
         docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).join(few(ids), F.col("doc_id") == F.col("_t"), "left_semi")
-    return docs.select(hashed(word_list(F.col("text"))).alias("_hashes"))
+    return docs.select(word_list(F.col("text")).alias("_words"))
+
+
+def gram_rows(words: DataFrame, buckets: int) -> DataFrame:
+    """(b): the buckets of all 1- and 2-grams. Words become rows before they are hashed, as Spark compiles what works on rows
+    but evaluates functions over array elements one by one."""
+    both = F.arrays_zip(F.col("_words").alias("w"), F.slice("_words", 2, F.size("_words")).alias("x"))
+    rows = words.select(F.explode(both).alias("z"))
+    one, two = F.xxhash64("z.w"), F.xxhash64(F.xxhash64("z.w"), F.xxhash64("z.x"))
+    pair = F.when(F.col("z.x").isNotNull(), bucket(two, buckets, 1))  # the last word has none after it
+    return rows.select(F.explode(F.array(bucket(one, buckets, 0), pair)).alias("b")).filter(F.col("b").isNotNull())
 
 
 def fit_ratio(docs: DataFrame, ids: DataFrame, n_ids: int, buckets: int = 65_536, smooth: float = 1.0) -> DataFrame:
@@ -119,9 +134,9 @@ def fit_ratio(docs: DataFrame, ids: DataFrame, n_ids: int, buckets: int = 65_536
     the target side all with an id in ids."""
 
     def counted(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(F.explode(gram_buckets("_hashes", buckets)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias(name))
+        return gram_rows(rows, buckets).groupBy("b").agg(F.count(F.lit(1)).alias(name))
 
-    counts = counted(hashed_words(docs), "r").join(counted(hashed_words(docs, ids, n_ids), "t"), "b", "left")
+    counts = counted(words_of(docs), "r").join(counted(words_of(docs, ids, n_ids), "t"), "b", "left")
     every = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("b"))
     counts = every.join(counts, "b", "left").na.fill(0, ["t", "r"]).withColumn("odd", F.col("b") % 2)
     totals = counts.groupBy("odd").agg(F.sum("t").alias("tt"), F.sum("r").alias("rr"))
@@ -132,9 +147,13 @@ def fit_ratio(docs: DataFrame, ids: DataFrame, n_ids: int, buckets: int = 65_536
     return checkpointed(packed)
 
 
-def score(hashes: str, ratio: str, buckets: int) -> Column:
+def score(ratio: str, buckets: int, hashes: str = "_hashes", pairs: str = "_pairs") -> Column:
     """The mean log ratio over a document's n-grams; null without words."""
-    total = F.aggregate(gram_buckets(hashes, buckets), F.lit(0.0), lambda acc, b: acc + F.get(ratio, b))
+
+    def added(grams: str, start: Column, odd: int) -> Column:
+        return F.aggregate(grams, start, lambda acc, h: acc + F.get(ratio, bucket(h, buckets, odd)))
+
+    total = added(pairs, added(hashes, F.lit(0.0), 0), 1)
     return F.when(F.size(hashes) > 0, total / (2 * F.size(hashes) - 1))
 
 
@@ -155,16 +174,15 @@ def _judged(
     ratio = F.expr(f"(SELECT ratio FROM {view})")
 
     def scored(df: DataFrame) -> DataFrame:
-        return df.withColumn("_ratio", ratio).withColumn("llr", score("_hashes", "_ratio", buckets))
+        return with_grams(df).withColumn("_ratio", ratio).withColumn("llr", score("_ratio", buckets))
 
     if threshold is None:
-        good = scored(hashed_words(docs, halves.filter("not _fit"), n_ids))
+        good = scored(words_of(docs, halves.filter("not _fit"), n_ids))
         facts = good.agg(F.avg("llr").alias("m"), F.stddev_pop("llr").alias("d")).first()
         threshold = -1e9 if facts["m"] is None else round(facts["m"] - spread * facts["d"], 6)
     # what passes through is one struct, so that no name of docs meets a name used here
     out = docs.select(F.struct(*columns).alias("_doc"), "text", word_list(F.col("text")).alias("_words"))
-    out = out.withColumn("_hashes", hashed(F.col("_words")))
-    out = scored(with_base_rules(out))
+    out = with_base_rules(scored(out))
     kept = ~F.col("base_failed") & F.coalesce(F.col("llr") >= F.lit(threshold), F.lit(False))
     # always true; it keeps the optimizer from moving a filter on kept below the array columns, which would
     # put their definitions inside each other's lambdas and compute them once per window
