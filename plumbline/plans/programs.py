@@ -207,7 +207,7 @@ def _outline(spark, sf_dir):
     """, calls AS (SELECT file, declaration AS call, orderkey, name, asked FROM outline WHERE line > 0),
 near AS (SELECT c.call, o.declaration AS target, CASE WHEN o.line > 0 THEN 1 ELSE 2 END AS distance FROM calls c JOIN outline o ON o.file = c.file AND o.name = c.name AND o.arity = c.asked AND (o.line = 0 OR o.orderkey = c.orderkey)),
 best AS (SELECT call, min(distance) AS distance FROM near GROUP BY call),
-told AS (SELECT call, count(*) AS n, list(target ORDER BY target)[1:4] AS targets FROM near JOIN best USING (call, distance) GROUP BY call)
+told AS (SELECT call, count(*) AS n, list(target ORDER BY target) AS targets FROM near JOIN best USING (call, distance) GROUP BY call)
 SELECT call, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 1 THEN 'UNAMBIGUOUS_LOCAL' ELSE 'UNRESOLVED' END AS state, coalesce(n, 0)::BIGINT AS candidates, coalesce(array_to_string(targets, ','), '') AS targets FROM calls LEFT JOIN told USING (call)""",
     "outline", recursive=False,
 )
@@ -215,7 +215,7 @@ def lexical_targets(spark, sf_dir):
     """Each line calls what its order, or else its customer, declares under its flag with its discount as the number of arguments."""
     declarations, lines = _outline(spark, sf_dir)
     calls = lines.withColumnsRenamed({"declaration": "call", "asked": "arity"})
-    return C.lexical_targets(calls, declarations).withColumn("targets", F.array_join("targets", ","))
+    return C.lexical_targets(calls, declarations, most=None).withColumn("targets", F.array_join("targets", ","))
 
 
 @query(
