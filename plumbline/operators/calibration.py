@@ -23,14 +23,14 @@ def family_weights(rows: DataFrame, family: str = "family") -> DataFrame:
     return rows.join(both, F.col(family).eqNullSafe(F.col("_fam"))).drop("_fam")
 
 
-def fit_preprocessor(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+def fit_preprocessor(rows: DataFrame, features: Sequence[str], every: bool = False) -> DataFrame:
     """(feature, median, mean, scale, has_missing) after median imputation with population deviation; features that are
-    all missing or constant are left out."""
-    facts = rows.agg(*[F.count_if(F.col(f).isNull()).alias(f"k_{f}") for f in features]).first().asDict()
+    all missing or constant are left out, unless `every` is set. has_missing of no rows is null."""
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f).isNull()).alias(f"k_{f}") for f in features]).first().asDict()
     facts |= {f"m_{f}": (quantiles(rows, f).first() or {"median": None})["median"] for f in features}
     filled = [F.coalesce(F.col(f).cast("double"), F.lit(facts[f"m_{f}"])) for f in features]
     stats = rows.agg(*[x for f, v in zip(features, filled, strict=True) for x in (F.avg(v).alias(f"a_{f}"), F.stddev_pop(v).alias(f"s_{f}"))]).first()
-    out = [(f, float(facts[f"m_{f}"]), stats[f"a_{f}"], stats[f"s_{f}"], facts[f"k_{f}"] > 0) for f in features if facts[f"m_{f}"] is not None and stats[f"s_{f}"]]
+    out = [(f, facts[f"m_{f}"], stats[f"a_{f}"], stats[f"s_{f}"], facts[f"k_{f}"] > 0 if facts["n"] else None) for f in features if every or facts[f"m_{f}"] is not None and stats[f"s_{f}"]]
     return rows.sparkSession.createDataFrame(out, "feature string, median double, mean double, scale double, has_missing boolean")
 
 
